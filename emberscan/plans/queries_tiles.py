@@ -11,7 +11,6 @@ from emberscan.plans.registry import query
 from emberscan.plans.views import WIN, LOW_CUT, sparse_windows, tile_sql, windows, with_views
 
 R6 = lambda c: F.round(c, 6)
-N, FSC = F.lit(64), F.lit(2048.0)
 
 
 def every_index(spark, folder):
@@ -66,11 +65,14 @@ def dj_threshold_survivors(spark, folder):
 
 
 @query("sparse_roundtrip", with_views(WIN, tile_sql()) + """
-SELECT w.trigger_id, len(w.dense)::INT AS n, coalesce(sum(c.c), 0.0) IS NOT NULL AS same FROM win w LEFT JOIN coef c USING (trigger_id) GROUP BY 1, 2""")
+SELECT w.trigger_id, len(w.dense)::INT AS n, round(coalesce(sum(c.c * c.c), 0.0), 9) AS energy, round(coalesce(sum(c.c * c.k), 0.0), 9) AS moment
+FROM win w LEFT JOIN coef c USING (trigger_id) GROUP BY 1, 2""")
 def sparse_roundtrip(spark, folder):
-    full = tl.sparsify(windows(spark, folder), "dense", F.lit(0.0))
     back = ar.to_dense(F.col("wt_index"), F.col("wt_value"), F.col("n_coeff"))
-    return full.select("trigger_id", F.size(back).alias("n"), (back == F.col("dense")).alias("same"))
+    dense = sparse_windows(spark, folder).withColumn("dense", back)
+    place = F.sequence(F.lit(0), F.lit(63))
+    return dense.select("trigger_id", F.size("dense").alias("n"), F.round(ar.energy(F.col("dense")), 9).alias("energy"),
+                        F.round(ar.dot(F.col("dense"), place), 9).alias("moment"))
 
 
 @query("window_moments", with_views(WIN, tile_sql()) + """,
@@ -92,34 +94,27 @@ def window_moments(spark, folder):
     return m.select("trigger_id", *[R6(c).alias(c) for c in six], "freqMin", F.round("freqMean", 5).alias("freqMean"), "freqMax")
 
 
-def quantile_sql(lo: str, hi: str, scale: str) -> str:
-    """The sweep over interval edges, in SQL."""
-    return f"""
-b AS (SELECT trigger_id, {lo} AS lo, {hi} AS hi, energy AS e FROM tile),
+def quantile_sql(lo: str, hi: str) -> str:
+    """The same sweep over interval edges, in SQL."""
+    return with_views(WIN, tile_sql(), f"""b AS (SELECT trigger_id, {lo} AS lo, {hi} AS hi, energy AS e FROM tile),
 ed AS (SELECT trigger_id, t, sum(dh) AS dh FROM (
          SELECT trigger_id, lo AS t, e / (hi - lo) AS dh FROM b UNION ALL SELECT trigger_id, hi, -e / (hi - lo) FROM b) GROUP BY 1, 2),
-h AS (SELECT *, sum(dh) OVER (PARTITION BY trigger_id ORDER BY t) - dh AS before, lag(t) OVER (PARTITION BY trigger_id ORDER BY t) AS t0 FROM ed),
+h AS (SELECT *, sum(dh) OVER p - dh AS before, lag(t) OVER p AS t0 FROM ed WINDOW p AS (PARTITION BY trigger_id ORDER BY t)),
 c AS (SELECT *, sum(coalesce(before * (t - t0), 0)) OVER (PARTITION BY trigger_id ORDER BY t) AS upto FROM h),
-tot AS (SELECT trigger_id, max(upto) AS total FROM c GROUP BY 1),
-w AS (SELECT trigger_id, q, q * total AS want FROM tot, (SELECT unnest([0.05, 0.95]::DOUBLE[]) AS q)),
-seg AS (SELECT c.trigger_id, t, upto, lag(t) OVER p AS ta, lag(upto) OVER p AS ua FROM c WINDOW p AS (PARTITION BY trigger_id ORDER BY t))
-SELECT s.trigger_id, q, round({scale}, 6) AS quantile_value
+w AS (SELECT trigger_id, q, q * max(upto) AS want FROM c, (SELECT unnest([0.05, 0.95]::DOUBLE[]) AS q) GROUP BY trigger_id, q),
+seg AS (SELECT trigger_id, t, upto, lag(t) OVER p AS ta, lag(upto) OVER p AS ua FROM c WINDOW p AS (PARTITION BY trigger_id ORDER BY t))""") + """
+SELECT s.trigger_id, q, round(ta + (want - ua) / (upto - ua) * (t - ta), 6) AS quantile_value
 FROM seg s JOIN w ON w.trigger_id = s.trigger_id AND ua <= want AND want < upto"""
 
 
-@query("energy_quantiles_time", with_views(WIN, tile_sql(), quantile_sql("t_lo - w_gps", "t_hi - w_gps", "ta + (want - ua) / (upto - ua) * (t - ta)").strip().rsplit("\nSELECT", 1)[0])
-       + "SELECT" + quantile_sql("t_lo - w_gps", "t_hi - w_gps", "ta + (want - ua) / (upto - ua) * (t - ta)").rsplit("\nSELECT", 1)[1])
+@query("energy_quantiles_time", quantile_sql("t_lo - w_gps", "t_hi - w_gps"))
 def energy_quantiles_time(spark, folder):
     s = sparse_windows(spark, folder).withColumn("gps", F.lit(0.0))
     q = tl.energy_quantiles(tl.explode_tiles(s), ["trigger_id"], F.col("t_lo"), F.col("t_hi"), F.col("energy"), (0.05, 0.95))
     return q.select("trigger_id", "q", R6("quantile_value").alias("quantile_value"))
 
 
-LOG_LO, LOG_HI = "ln(greatest(f_lo, 1e-6::DOUBLE))", "ln(f_hi)"
-
-
-@query("energy_quantiles_band", with_views(WIN, tile_sql(), quantile_sql(LOG_LO, LOG_HI, "ta + (want - ua) / (upto - ua) * (t - ta)").strip().rsplit("\nSELECT", 1)[0])
-       + "SELECT" + quantile_sql(LOG_LO, LOG_HI, "ta + (want - ua) / (upto - ua) * (t - ta)").rsplit("\nSELECT", 1)[1])
+@query("energy_quantiles_band", quantile_sql("ln(greatest(f_lo, 1e-6::DOUBLE))", "ln(f_hi)"))
 def energy_quantiles_band(spark, folder):
     t = tl.explode_tiles(sparse_windows(spark, folder))
     low, high = F.log(F.greatest(F.col("f_lo"), F.lit(1e-6))), F.log("f_hi")
