@@ -15,11 +15,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberscan.functions import dsp
 from emberscan.functions.arrays import synthesis_weight
 from emberscan.operators.scan import exact_quantiles, lookup_join
 
+SERIES = T.ArrayType(T.DoubleType())
+
 
 def with_halo(chunks: DataFrame, length: int, before: int, after: int, keys: Sequence[str] = ("ifo",)) -> DataFrame:
     """`chunks` with `halo`: each chunk preceded by `before` and followed by `after` samples.
@@ -52,7 +55,7 @@ def with_halo(chunks: DataFrame, length: int, before: int, after: int, keys: Seq
         F.size(join(past)).alias("n_before"), F.size(join(next_)).alias("n_after"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(SERIES)
 def _convolve(halo: pd.Series, n_before: pd.Series, n_after: pd.Series, size: pd.Series, kernel: pd.Series,
               back: pd.Series, ahead: pd.Series) -> pd.Series:
     out = []
@@ -96,7 +99,7 @@ def _shared_kernel(chunks: DataFrame, length: int, kernel: np.ndarray, back: int
     """A long kernel shared by all rows rides in the function instead of in every row."""
     taps = np.asarray(kernel, dtype=float)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(SERIES)
     def run(halo: pd.Series, n_before: pd.Series, n_after: pd.Series, size: pd.Series) -> pd.Series:
         rows = zip(halo, n_before, n_after, size)
         return pd.Series([dsp.convolve_valid(np.concatenate([np.zeros(back - b), x, np.zeros(ahead - a)]), taps)[:n]
@@ -117,7 +120,7 @@ def autocorrelation(chunks: DataFrame, length: int, order: int, keys: Sequence[s
     """
     h = with_halo(chunks, length, 0, order, keys)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(SERIES)
     def lagged(halo: pd.Series, size: pd.Series) -> pd.Series:
         out = []
         for x, n in zip(halo, size):
@@ -165,7 +168,6 @@ def whiten(chunks: DataFrame, length: int, model: DataFrame, mode: str = "zero_p
     keys = list(keys)
     if mode == "forward":
         kernels = model.withColumn("kernel", F.col("poly"))
-        order = F.size("kernel") - 1
     elif mode == "double":
         kernels = _kernel_from_model(model, dsp.both_ways)
     elif mode == "zero_phase":
@@ -195,7 +197,7 @@ def measured_psd(chunks: DataFrame, length: int, fs: float, segment: int, keys:
     taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)
     norm = fs * float(taper @ taper)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(SERIES)
     def power(x: pd.Series) -> pd.Series:
         m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, segment))
         m = m - m.mean(axis=1, keepdims=True)
@@ -256,7 +258,7 @@ def search(windows: DataFrame, fs: float, threshold: float, bases: Sequence[str]
 # --- reconstruction ----------------------------------------------------------
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(SERIES)
 def inverse_window(index: pd.Series, value: pd.Series, n_coeff: pd.Series, wave: pd.Series) -> pd.Series:
     """The samples a window's surviving coefficients stand for, in its own basis."""
     out = []
@@ -325,7 +327,7 @@ def event_waveform(members: DataFrame, keys: Sequence[str], fs: float, strides:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def spectral_centroid(samples: pd.Series, fs: pd.Series) -> pd.Series:
     """Power-weighted frequency of a series, its mean left out."""
     out = []

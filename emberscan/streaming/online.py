@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -40,58 +39,94 @@ def online_rate(triggers: DataFrame, seconds: int = 60, late: str = "10 minutes"
         F.col("window.start").alias("started"), "ifo", "n", (F.col("n") / F.lit(float(seconds))).alias("rate_hz"))
 
 
-BLOCKS = "ifo string, first_sample bigint, samples array<double>"
-
-
-def online_filter(chunks: DataFrame, kernel: Sequence[float], ahead: int, factor: int = 1) -> DataFrame:
-    """A chunk stream `(ifo, chunk, samples)` through one finite filter, block by block.
-
-    What is kept per detector is the past the filter still needs and the samples
-    it has not seen the future of, so a block comes out once `ahead` samples
-    after it have arrived, with the position of the block and not of the last
-    read. Concatenated, the output is what filtering the whole series gives.
-    Chunks may arrive out of order; those early for their turn wait.
-    """
+STATE = ("pos bigint, turn bigint, held array<double>, waiting array<struct<chunk:bigint,samples:array<double>>>, "
+         "out_pos bigint, out array<double>")
+
+
+class _Front:
+    """What one detector's stream remembers: samples the filter still needs, chunks that came early,
+    and filtered samples no complete window has used up."""
+
+    def __init__(self, taps: np.ndarray, ahead: int, factor: int, saved: tuple | None):
+        self.taps, self.back, self.ahead, self.factor = taps, taps.size - 1 - ahead, ahead, factor
+        pos, turn, held, waiting, out_pos, out = saved or (0, -1, [], [], -1, [])
+        self.pos, self.turn, self.out_pos = pos, turn, out_pos
+        self.held, self.out = np.asarray(held, dtype=float), np.asarray(out, dtype=float)
+        self.waiting = {c: list(s) for c, s in (tuple(w) for w in waiting)}
+
+    def saved(self) -> tuple:
+        return (int(self.pos), int(self.turn), self.held.tolist(), sorted(self.waiting.items()), int(self.out_pos), self.out.tolist())
+
+    def read(self, batch: pd.DataFrame) -> None:
+        self.waiting.update({int(c): list(s) for c, s in zip(batch["chunk"], batch["samples"])})
+
+    def filter(self) -> None:
+        """Filter everything whose future has arrived onto the end of `out`."""
+        if self.turn < 0 and self.waiting:
+            self.turn = min(self.waiting)
+            self.held, self.pos = np.zeros(self.back), self.turn * len(self.waiting[self.turn])
+        while self.turn in self.waiting:
+            self.held = np.concatenate([self.held, self.waiting.pop(self.turn)])
+            self.turn += 1
+        ready = self.held.size - self.back - self.ahead
+        if ready <= 0:
+            return
+        y = dsp.convolve_valid(self.held, self.taps)[:ready]
+        skip = -self.pos % self.factor
+        if self.out_pos < 0:
+            self.out_pos = (self.pos + skip) // self.factor
+        self.out = np.concatenate([self.out, y[skip::self.factor]])
+        self.held, self.pos = self.held[ready:], self.pos + ready
+
+    def take_all(self) -> list[tuple[int, list]]:
+        got = [(self.out_pos, self.out.tolist())] if self.out.size else []
+        self.out_pos, self.out = self.out_pos + self.out.size, self.out[:0]
+        return got
+
+    def take_windows(self, window: int, step: int) -> list[tuple[int, list]]:
+        """Every complete window on the grid; samples no later window needs are let go."""
+        if self.out_pos < 0:
+            return []
+        start, got = -(-self.out_pos // step) * step, []
+        while start + window <= self.out_pos + self.out.size:
+            at = start - self.out_pos
+            got.append((start, self.out[at:at + window].tolist()))
+            start += step
+        drop = min(start - self.out_pos, self.out.size)
+        self.out_pos, self.out = self.out_pos + drop, self.out[drop:]
+        return got
+
+
+def _online(chunks: DataFrame, kernel: Sequence[float], ahead: int, factor: int, take, column: str) -> DataFrame:
     taps = np.asarray(kernel, dtype=float)
-    back = taps.size - 1 - ahead
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pos, turn, held, waiting = (0, None, [], {}) if not state.exists else _unpack(state.get)
-        held = np.asarray(held, dtype=float)
+        front = _Front(taps, ahead, factor, state.get if state.exists else None)
         for batch in batches:
-            waiting.update({int(c): list(s) for c, s in zip(batch["chunk"], batch["samples"])})
-        if turn is None and waiting:
-            turn = min(waiting)
-            held, pos = np.zeros(back), turn * len(waiting[turn])
-        while turn in waiting:
-            held = np.concatenate([held, waiting.pop(turn)])
-            turn += 1
-        ready = held.size - back - ahead
-        if ready > 0:
-            y = dsp.convolve_valid(held, taps)[:ready]
-            skip = -pos % factor
-            yield pd.DataFrame({"ifo": [key[0]], "first_sample": [pos + skip], "samples": [list(y[skip::factor])]})
-            held, pos = held[ready:], pos + ready
-        state.update((int(pos), -1 if turn is None else int(turn), [float(v) for v in held],
-                      [(c, s) for c, s in sorted(waiting.items())]))
+            front.read(batch)
+        front.filter()
+        got = take(front)
+        state.update(front.saved())
+        if got:
+            yield pd.DataFrame({"ifo": [key[0]] * len(got), "first_sample": [g[0] for g in got], column: [g[1] for g in got]})
 
     return chunks.groupBy("ifo").applyInPandasWithState(
-        step, BLOCKS, "pos bigint, turn bigint, held array<double>, waiting array<struct<chunk:bigint,samples:array<double>>>",
-        "append", GroupStateTimeout.NoTimeout)
+        step, f"ifo string, first_sample bigint, {column} array<double>", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def _unpack(saved: tuple) -> tuple[int, Any, list, dict]:
-    pos, turn, held, waiting = saved
-    return pos, None if turn < 0 else turn, held, {c: list(s) for c, s in (tuple(w) for w in waiting)}
+def online_filter(chunks: DataFrame, kernel: Sequence[float], ahead: int, factor: int = 1) -> DataFrame:
+    """A chunk stream `(ifo, chunk, samples)` through one finite filter, block by block.
+
+    A block comes out once `ahead` samples after it have arrived, under the
+    position of the block and not of the last read. Concatenated, the output is
+    what filtering the whole series gives. Chunks may arrive out of order.
+    """
+    return _online(chunks, kernel, ahead, factor, _Front.take_all, "samples")
 
 
-def online_windows(blocks: DataFrame, window: int, overlap: int) -> DataFrame:
-    """Analysis windows that lie inside one block; each block is searched as it comes."""
-    step = window - overlap
-    last = F.size("samples") - window
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
-    return blocks.withColumn("_i", F.explode(starts)).select(
-        "ifo", (F.col("first_sample") + F.col("_i")).alias("first_sample"), F.slice("samples", F.col("_i") + 1, window).alias("window"))
+def online_windows(chunks: DataFrame, kernel: Sequence[float], ahead: int, window: int, overlap: int, factor: int = 1) -> DataFrame:
+    """The same conditioning, cut into the search's windows, including those that span two blocks."""
+    return _online(chunks, kernel, ahead, factor, lambda f: f.take_windows(window, window - overlap), "window")
 
 
 def online_search(windows: DataFrame, fs: float, threshold: float) -> DataFrame:
