@@ -7,46 +7,66 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberscan.functions.geometry import arrival_delay, sites_table
+from emberscan.functions.geometry import SITES, SPEED_OF_LIGHT, sidereal_angle, sites_table
 from emberscan.operators.scan import lookup_join, prefix_scan
+from emberscan.session import shuffle_partitions
 
 
-def grid_cells(n_ra: int = 360, n_dec: int = 180) -> Column:
-    """`struct(cell, ra, dec)` per cell, even in right ascension and in the sine of declination."""
-    cells = F.sequence(F.lit(0), F.lit(n_ra * n_dec - 1))
-    ra = lambda c: (c % n_ra) * F.lit(2.0 * pi / n_ra)
-    dec = lambda c: F.asin(F.least(F.lit(1.0), F.lit(-1.0) + F.floor(c / n_ra) * F.lit(2.0 / (n_dec - 1))))
-    return F.transform(cells, lambda c: F.struct(c.alias("cell"), ra(c).alias("ra"), dec(c).alias("dec")))
+def with_grid(rows: DataFrame, n_ra: int, n_dec: int) -> DataFrame:
+    """Each row once per sky cell, with `cell, ra, dec` and the cell's direction `ux, uy, uz`.
+
+    Even in right ascension and in the sine of declination. Only numbers are
+    unrolled; the geometry is plain arithmetic on them, which is compiled.
+    """
+    cell = F.col("cell")
+    sine = F.least(F.lit(1.0), F.lit(-1.0) + F.floor(cell / n_ra) * F.lit(2.0 / (n_dec - 1)))
+    out = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_ra * n_dec - 1))))
+    out = out.withColumn("ra", (cell % n_ra) * F.lit(2.0 * pi / n_ra)).withColumn("dec", F.asin(sine))
+    # The direction before the Earth's rotation is taken off.
+    return out.withColumn("ux", F.cos("dec") * F.cos("ra")).withColumn("uy", F.cos("dec") * F.sin("ra")).withColumn("uz", F.sin("dec"))
 
 
 def localise(arrivals: DataFrame, n_ra: int = 360, n_dec: int = 180, key: str = "candidate_id") -> DataFrame:
     """Weight of every grid cell for every candidate: `(key, cell, ra, dec, weight)`, summing to one.
 
     `arrivals` has one row per candidate and detector: `key, ifo, gps, spread`.
-    The earliest detector is the reference. A candidate has a handful of
-    detectors and its cells are made from it, so the sky is a fixed number of
-    rows per candidate and nothing is crossed with anything.
+    The earliest detector is the reference. The arrivals are spread by candidate
+    once; the cells a candidate is unrolled into and their sum stay where it is,
+    so the sky -- a fixed number of rows per candidate -- is never shuffled.
     """
     sites = sites_table(arrivals.sparkSession)
-    a = arrivals.withColumn("ifo", F.upper("ifo")).join(F.broadcast(sites), on="ifo")
+    # Few and small rows that become many: their size would not tell adaptive
+    # execution to keep them apart, so the number of partitions is given.
+    spread = arrivals.repartition(shuffle_partitions(arrivals.sparkSession), key)
+    a = spread.withColumn("ifo", F.upper("ifo")).join(F.broadcast(sites), on="ifo")
     hit = F.struct(F.col("gps").alias("gps"), F.col("ifo").alias("ifo"), F.col("spread").alias("s"), "x", "y", "z")
     # As many entries as there are detectors on Earth.
     per = a.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("_h")).where(F.size("_h") >= 2)
-    sky = per.withColumn("_c", F.explode(grid_cells(n_ra, n_dec)))
-    ref = F.col("_h")[0]
-    place = lambda h: (h["x"], h["y"], h["z"])
-
-    def misfit(h: Column) -> Column:
-        expected = arrival_delay(F.col("_c.ra"), F.col("_c.dec"), ref["gps"], place(h), place(ref))
-        z = (expected - (h["gps"] - ref["gps"])) / F.sqrt(h["s"] * h["s"] + ref["s"] * ref["s"])
-        return z * z
-
-    others = F.slice("_h", 2, F.size("_h") - 1)
-    chi2 = F.aggregate(others, F.lit(0.0), lambda acc, h: acc + misfit(h))
-    w = sky.select(key, F.col("_c.cell").alias("cell"), F.col("_c.ra").alias("ra"), F.col("_c.dec").alias("dec"),
-                   F.exp(-0.5 * chi2).alias("_w"))
-    total = w.groupBy(key).agg(F.sum("_w").alias("_t"))
-    return lookup_join(w, total, [key]).select(
+    per = per.withColumn("_ref", F.col("_h")[0]).withColumn("_angle", sidereal_angle(F.col("_h")[0]["gps"]))
+    turn_c, turn_s = F.cos("_angle"), F.sin("_angle")
+    ref = F.col("_ref")
+
+    def baseline(h: Column) -> Column:
+        dx, dy, dz = (ref[c] - h[c] for c in "xyz")
+        return F.struct(
+            ((turn_c * dx - turn_s * dy) / SPEED_OF_LIGHT).alias("x"), ((turn_s * dx + turn_c * dy) / SPEED_OF_LIGHT).alias("y"),
+            (dz / SPEED_OF_LIGHT).alias("z"), (h["gps"] - ref["gps"]).alias("measured"),
+            (h["s"] * h["s"] + ref["s"] * ref["s"]).alias("var"))
+
+    per = per.select(key, F.transform(F.slice("_h", 2, F.size("_h") - 1), baseline).alias("_b"))
+    for i in range(len(SITES) - 1):
+        per = per.withColumn(f"_b{i}", F.get("_b", F.lit(i)))
+    cells = with_grid(per.drop("_b"), n_ra, n_dec)
+
+    def misfit(i: int) -> Column:
+        b = F.col(f"_b{i}")
+        off = F.col("ux") * b["x"] + F.col("uy") * b["y"] + F.col("uz") * b["z"] - b["measured"]
+        return F.coalesce(off * off / b["var"], F.lit(0.0))
+
+    chi2 = sum((misfit(i) for i in range(1, len(SITES) - 1)), misfit(0))
+    sky = cells.select(key, "cell", "ra", "dec", F.exp(-0.5 * chi2).alias("_w"))
+    total = sky.groupBy(key).agg(F.sum("_w").alias("_t"))
+    return sky.join(total, on=key).select(
         key, "cell", "ra", "dec", F.when(F.col("_t") > 0, F.col("_w") / F.col("_t")).otherwise(F.col("_w")).alias("weight"))
 
 

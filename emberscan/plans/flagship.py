@@ -11,6 +11,7 @@ from emberscan.operators.coincidence import nearest_coincidence
 from emberscan.operators.rank import rank_by_probability
 from emberscan.operators.slides import SLIDE, replicate, slide_events
 from emberscan.plans.views import SPAN_S, triggers
+from emberscan.session import cut_lineage
 
 LEFT, RIGHT, FLOOR = "click", "view", 1.0
 SHIFTS = [3600.0 * k + 17.0 for k in range(1, 21)]
@@ -26,7 +27,8 @@ def coincidences_with_slides(events: DataFrame, left: str, right: str, window_s:
 
 def ranked_candidates(spark: SparkSession, folder: str, window_s: float = 60.0, top: int | None = 50) -> DataFrame:
     events = triggers(spark, folder).where(F.col("EnWDF") >= FLOOR)
-    found = coincidences_with_slides(events, LEFT, RIGHT, window_s, SHIFTS, 0.0, SPAN_S)
+    # Read three times below -- zero lag, background, its size -- and far smaller than what it came from.
+    found = cut_lineage(coincidences_with_slides(events, LEFT, RIGHT, window_s, SHIFTS, 0.0, SPAN_S))
     zero = found.where(F.col(SLIDE) == 0).drop(SLIDE)
     background = found.where(F.col(SLIDE) > 0)
     ranked = rank_by_probability(zero, background, "network_enwdf", "id_a", SPAN_S)
