@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import pi, sin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +41,20 @@ def chirplike(f_start: Column, f_end: Column, duration: Column, rate: float = 20
     return F.transform(times, lambda t: _bell(t - 0.5 * duration, 0.25 * duration) * F.sin(phase(t)))
 
 
-def scattered_phase(t: Column, f_peak: Column, arch_period: Column) -> Column:
-    """Instantaneous frequency of an arch; its running sum is the phase."""
-    return f_peak * F.abs(F.sin(F.lit(pi) * t / arch_period))
+def scattered_light(f_peak: Column, arch_period: float, n_arches: int, rate: float = 2048.0) -> Column:
+    """Repeated arches. The phase is the running sum of the instantaneous frequency.
+
+    The sum runs over the samples of one waveform, inside its row.
+    """
+    duration = arch_period * n_arches
+    n = int(-(-duration * rate // 1))
+    time = lambda i: i / F.lit(float(rate))
+    # The running sum of |sin| is the same for every row but for the peak
+    # frequency in front of it, so it is one short list of numbers.
+    total, unit = 0.0, []
+    for i in range(n):
+        total += abs(sin(pi * i / rate / arch_period))
+        unit.append(total)
+    sums = F.array(*[F.lit(v) for v in unit])
+    envelope = lambda t: F.sin(F.lit(pi) * t / duration) * F.sin(F.lit(pi) * t / duration)
+    return F.transform(sums, lambda s, i: envelope(time(i)) * F.sin(F.lit(2.0 * pi / rate) * f_peak * s))

@@ -109,6 +109,45 @@ def _shared_kernel(chunks: DataFrame, length: int, kernel: np.ndarray, back: int
     return h.select(*keys, "chunk", run("halo", "n_before", "n_after", F.size("samples")).alias("samples"))
 
 
+def inject(series: DataFrame, waveforms: DataFrame, keys: Sequence[str] = ("ifo",)) -> DataFrame:
+    """`(keys, n, value)` with waveforms `(keys, first_n, scale, samples)` added where they fall.
+
+    Overlapping waveforms add up. One that runs past the series is refused.
+    """
+    keys = list(keys)
+    added = waveforms.select(*keys, "first_n", "scale", F.posexplode("samples").alias("i", "v")).select(
+        *keys, (F.col("first_n") + F.col("i")).alias("n"), (F.col("v") * F.col("scale")).alias("value"), F.lit(0).alias("_own"))
+    both = series.select(*keys, "n", "value", F.lit(1).alias("_own")).unionByName(added)
+    total = both.groupBy(*keys, "n").agg(F.sum("value").alias("value"), F.max("_own").alias("_own"))
+    inside = F.assert_true(F.col("_own") == 1, "a waveform runs past the series it is added to")
+    return total.withColumn("_ok", inside).where(F.col("_ok").isNull()).select(*keys, "n", "value")
+
+
+def optimal_snr(waveforms: DataFrame, psd: DataFrame, fs: float, low: float, high: float | None = None,
+                key: str = "id") -> DataFrame:
+    """Matched-filter size of each waveform against a measured density: `(key, snr)`.
+
+    `psd` is one row per frequency bin of one detector (`frequency, density`),
+    read off at the waveform's own frequencies by linear interpolation.
+    """
+    # The bins of one spectrum: half a segment's length of numbers.
+    table = psd.agg(F.array_sort(F.collect_list(F.struct("frequency", "density"))).alias("_psd"))
+    top = fs / 2 if high is None else high
+
+    @F.pandas_udf(T.DoubleType())
+    def size(samples: pd.Series, spectrum: pd.Series) -> pd.Series:
+        out = []
+        for x, s in zip(samples, spectrum):
+            grid = np.array([(v["frequency"], v["density"]) for v in s])
+            f = np.fft.rfftfreq(len(x), 1.0 / fs)
+            use = (f >= low) & (f <= top) & (f > 0)
+            power = np.abs(np.fft.rfft(x)[use] / fs) ** 2 / np.interp(f[use], grid[:, 0], grid[:, 1])
+            out.append(float(np.sqrt(4.0 * power.sum() * fs / len(x))))
+        return pd.Series(out, dtype="float64")
+
+    return waveforms.crossJoin(F.broadcast(table)).select(key, size("samples", "_psd").alias("snr"))
+
+
 # --- noise models ------------------------------------------------------------
 
 

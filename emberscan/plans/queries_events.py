@@ -8,10 +8,11 @@ from emberscan.operators import cluster as cl
 from emberscan.operators import events as ev
 from emberscan.operators import tiles as tl
 from emberscan.operators.components import label_rows
-from emberscan.operators.scan import islands
+from emberscan.operators.scan import exact_quantiles, islands
+from emberscan.operators.signal import combined_statistic
 from emberscan.plans.registry import query
 from emberscan.plans.queries_tiles import LADDER_SQL
-from emberscan.plans.views import TRIG, WIN, sparse_windows, tile_sql, triggers, with_views
+from emberscan.plans.views import TRIG, WIN, sparse_windows, tile_sql, triggers, windows, with_views
 from emberscan.session import cut_lineage
 
 R6 = lambda c: F.round(c, 6)
@@ -304,3 +305,57 @@ def dbscan_labels(spark, folder):
 def greedy_labels(spark, folder):
     t = triggers(spark, folder).select("id", "ifo", "gps", "freqMean")
     return cl.greedy(t, "gps", "freqMean", "id", 600.0, 20.0)
+
+
+# --- cluster coefficients ----------------------------------------------------
+
+BY_LABEL = """
+ext AS (SELECT label, count(*)::BIGINT AS n, min(gps) AS s, max(gps + n_coeff / fs) AS e FROM win GROUP BY 1)"""
+
+
+def members(spark, folder):
+    """Windows grouped by their label, as the clusters of the coefficient operators."""
+    return sparse_windows(spark, folder).withColumn("cluster_id", F.col("label"))
+
+
+@query("cluster_extent", with_views(WIN, BY_LABEL) + """
+SELECT label AS cluster_id, n AS n_triggers, 64::BIGINT AS n_coeff, round(s, 6) AS gps_start, round(e, 6) AS gps_end, 0.125::DOUBLE AS noise_scale, round(e - s, 6) AS duration FROM ext""")
+def cluster_extent(spark, folder):
+    e = ev.cluster_extent(members(spark, folder))
+    return e.select("cluster_id", "n_triggers", "n_coeff", R6("gps_start").alias("gps_start"), R6("gps_end").alias("gps_end"),
+                    "noise_scale", R6("duration").alias("duration"))
+
+
+@query("cluster_map", with_views(WIN, tile_sql(), BY_LABEL) + """
+SELECT tile.label AS cluster_id, (level + 1)::INT AS row, least(greatest(floor(((t_lo + t_hi) * 0.5::DOUBLE - s) / (e - s) * 16), 0), 15)::INT AS col, round(max(abs(c) / 0.125), 6) AS value
+FROM tile JOIN ext ON ext.label = tile.label GROUP BY 1, 2, 3""")
+def cluster_map(spark, folder):
+    m = members(spark, folder)
+    c = ev.cluster_map(m, tl.explode_tiles(m, ["trigger_id", "ifo", "cluster_id"]), 16)
+    return c.select("cluster_id", "row", "col", R6("value").alias("value"))
+
+
+@query("scored_by_reconstruction", with_views(WIN) + """,
+tp AS (SELECT i, CASE WHEN i < 16 THEN 0.5 * (1 - cos(pi() * (i + 1) / 17.0)) WHEN i >= 48 THEN 0.5 * (1 - cos(pi() * (64 - i) / 17.0)) ELSE 1.0 END AS w FROM (SELECT unnest(generate_series(0, 63)) AS i)),
+st AS (SELECT label, round(gps * 2048)::BIGINT + i AS n, sum(dense[i + 1] * w) / sum(w) AS v FROM win, tp WHERE label < 5 GROUP BY 1, 2),
+rec AS (SELECT label, sqrt(sum(v * v)) / 0.125 AS e FROM st GROUP BY 1),
+own AS (SELECT label, max(sqrt(list_sum(list_transform(dense, lambda x: x * x))) / 0.125) AS w, count(*)::BIGINT AS n FROM win GROUP BY 1)
+SELECT own.label AS cluster_id, round(coalesce(e, w), 6) AS "EnWDF", round(w, 6) AS "EnWDF_window", CASE WHEN e IS NOT NULL THEN n END AS n_windows FROM own LEFT JOIN rec USING (label)""")
+def scored_by_reconstruction(spark, folder):
+    """Half the clusters have a reconstruction; the rest fall back to their loudest window."""
+    w = windows(spark, folder).withColumnsRenamed({"dense": "samples", "label": "cluster_id"})
+    w = w.withColumn("EnWDF", F.sqrt(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v * v)) / F.col("sigma"))
+    stitched = combined_statistic(w.where("cluster_id < 5"), ["cluster_id"], 2048.0, 64, 16)
+    events = w.groupBy("cluster_id").agg(F.max("EnWDF").alias("EnWDF"))
+    s = ev.score_by_reconstruction(events, stitched)
+    return s.select("cluster_id", R6("EnWDF").alias("EnWDF"), R6("EnWDF_window").alias("EnWDF_window"), "n_windows")
+
+
+@query("loudest_tiles", with_views(WIN, tile_sql()) + """,
+cut AS (SELECT trigger_id, quantile_cont(abs(c), 0.9::DOUBLE) AS q FROM tile GROUP BY 1)
+SELECT tile.trigger_id, k, round(abs(c), 6) AS size FROM tile JOIN cut ON cut.trigger_id = tile.trigger_id WHERE abs(c) >= q""")
+def loudest_tiles(spark, folder):
+    """The tenth of each trigger's surviving tiles that are largest, as drawn in a report."""
+    t = numbered_tiles(spark, folder).withColumn("size", F.abs("c"))
+    cut = exact_quantiles(t, ["trigger_id"], "size", [0.9], "_cut").drop("q")
+    return t.join(cut, "trigger_id").where(F.col("size") >= F.col("_cut")).select("trigger_id", "k", R6("size").alias("size"))

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from emberscan.functions import arrays as ar
 from emberscan.functions import dsp
 from emberscan.functions import waveforms as wf
+from emberscan.operators import cluster
 from emberscan.operators import coherence as ch
 from emberscan.operators import coincidence as co
 from emberscan.operators import learn
 from emberscan.operators import signal as sg
 from emberscan.operators import sky as sk
 from emberscan.operators import tiles as tl
-from emberscan.operators.cluster import percolate, trigger_labels
+from emberscan.operators.cluster import trigger_labels
 from emberscan.operators.rangejoin import neighbour_pairs
-from emberscan.operators.scan import lookup_join
-from emberscan.plans.queries_events import GRAPH, graph_nodes, numbered_tiles, percolated
+from emberscan.plans import pipelines as pl
+from emberscan.plans.queries_events import graph_nodes, numbered_tiles, percolated
 from emberscan.plans.registry import query
 from emberscan.plans.views import TRIG, WIN, sparse_windows, table, tile_sql, triggers, windows, with_views
 from emberscan.session import cut_lineage, ensure_checkpoint_dir
@@ -383,3 +384,116 @@ def online_windows(spark, folder):
     e = stream_of(spark, folder, "embeddings").select(F.lit("S1").alias("ifo"), F.col("vec_id").alias("chunk"), ar.doubles(F.col("embedding")).alias("samples"))
     w = run_stream(spark, online.online_windows(e, [1.0, -0.5], 0, 128, 32), "online-windows")
     return w.select("first_sample", R6(ar.energy(F.col("window"))).alias("energy"))
+
+
+# --- pipelines ---------------------------------------------------------------
+
+
+@query("coloured_series", with_views(SMP) + """
+SELECT n // 64 AS chunk, round(sum(x * x), 5) AS energy, round(max(x) FILTER (WHERE n % 64 = 0), 5) AS first_x, round(max(x) FILTER (WHERE n % 64 = 63), 5) AS last_x FROM smp GROUP BY 1""")
+def coloured_series(spark, folder):
+    """Whitening and colouring undo each other, so the check is the series itself."""
+    c = chunks(spark, folder)
+    model = cut_lineage(sg.fit_ar(c, LENGTH, 8))
+    back = sg.colour(cut_lineage(sg.whiten(c, LENGTH, model, mode="forward")), LENGTH, model, 256)
+    s = F.col("samples")
+    return back.select("chunk", F.round(ar.energy(s), 5).alias("energy"), F.round(s[0], 5).alias("first_x"), F.round(s[63], 5).alias("last_x"))
+
+
+@query("double_whitened_series")
+def double_whitened_series(spark, folder):
+    c = chunks(spark, folder)
+    return sg.whiten(c, LENGTH, sg.fit_ar(c, LENGTH, 16), mode="double")
+
+
+@query("injected_series", with_views(SMP) + """,
+w AS (SELECT vec_id * 64 + i - 1 AS n, 2.0::DOUBLE * sin(0.3::DOUBLE * (i - 1)) AS v FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM embeddings WHERE label = 3))
+SELECT smp.n, round(x + coalesce(v, 0), 6) AS value FROM smp LEFT JOIN w ON w.n = smp.n""")
+def injected_series(spark, folder):
+    c = chunks(spark, folder)
+    series = c.select("ifo", F.col("chunk"), F.posexplode("samples").alias("i", "value")).select("ifo", (F.col("chunk") * 64 + F.col("i")).alias("n"), "value")
+    wave = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sin(F.lit(0.3) * i))
+    at = table(spark, folder, "embeddings").where("label = 3").select(
+        F.lit("S1").alias("ifo"), (F.col("vec_id") * 64).alias("first_n"), F.lit(2.0).alias("scale"), wave.alias("samples"))
+    return sg.inject(series, at).select("n", R6("value").alias("value"))
+
+
+@query("optimal_snr")
+def optimal_snr(spark, folder):
+    c = chunks(spark, folder)
+    psd = sg.measured_psd(c, LENGTH, FS, 64).select("frequency", "density")
+    return sg.optimal_snr(c.select(F.col("chunk").alias("id"), "samples"), psd, FS, 32.0)
+
+
+@query("front_end_triggers")
+def front_end_triggers(spark, folder):
+    """Band-pass, noise fit, whitening and the search at two window lengths."""
+    return pl.front_end(chunks(spark, folder), LENGTH, FS, [64, 128], [16, 32], 3.0, band=(60.0, 900.0), ar_order=16, sqrt_order=32)
+
+
+@query("search_to_wavegram_events")
+def search_to_wavegram_events(spark, folder):
+    """What the search finds, percolated into events and scored on their reconstruction."""
+    t = found(spark, folder, 3.0).withColumn("trigger_id", F.col("first_sample"))
+    return pl.wavegram_events(cut_lineage(t), FS, 128, 32, 0.02)
+
+
+@query("canonical_search")
+def canonical_search(spark, folder):
+    """One-to-one candidates with the rate of seeded slides: the canonical search."""
+    t = triggers(spark, folder)
+    config = co.CoincidenceConfig(light_travel_time_s=4.0, timing_jitter_s=0.5)
+    return pl.search_with_background(t.where("ifo = 'click'"), t.where("ifo = 'view'"), pl.one_to_one_finder(config), 0.0, 2592000.0, n_slides=10)
+
+
+@query("wavegram_search")
+def wavegram_search(spark, folder):
+    """The same with candidates described by their maps, ranked on the shape-weighted statistic."""
+    nodes = cut_lineage(pl.node_grids(graph_nodes(spark, folder)).withColumn("id", F.col("trigger_id")))
+    span = nodes.agg(F.max("gps")).first()[0] + 1.0
+    return pl.search_with_background(
+        nodes.where("ifo = 'H1'"), nodes.where("ifo = 'L1'"), pl.wavegram_finder(NET), 0.0, span, n_slides=10, min_shift_s=0.5,
+        score="network_shape_weighted", ids=("node_i", "node_j"))
+
+
+@query("message_passing_scores")
+def message_passing_scores(spark, folder):
+    """Cross-detector edges scored from their ends, each end seeing its own detector's neighbours."""
+    t = cut_lineage(triggers(spark, folder).where(F.col("ifo").isin("click", "view")))
+    config = co.CoincidenceConfig(light_travel_time_s=4.0, timing_jitter_s=0.5)
+    e = co.candidate_edges(t.where("ifo = 'click'"), t.where("ifo = 'view'"), config).select(
+        F.col("id_l").alias("src"), F.col("id_r").alias("dst"), "dt_s", "frequency_overlap", "time_overlap", "cost")
+    e = cut_lineage(e.withColumn("label", (F.col("cost") < 1.0).cast("int")))
+    scorer = learn.MessagePassingScorer(["EnWDF", "freqMean", "duration"], ["dt_s", "frequency_overlap", "time_overlap"])
+    intra = ch.intra_edges(t, 300.0)
+    return scorer.fit(t, intra, e).score(t, intra, e)
+
+
+@query("detector_edge_scores")
+def detector_edge_scores(spark, folder):
+    """One detector's own edges scored after two rounds of messages along them."""
+    nodes = graph_nodes(spark, folder)
+    e = cut_lineage(cluster.detector_edges(nodes).withColumn("label", (F.col("time_overlap") > 0).cast("int")))
+    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    scorer = learn.MessagePassingScorer(["EnWDF", "snrPeak", "duration"], ["onset_gap", "frequency_overlap", "log_energy_ratio"], rounds=2, prefix="edge")
+    return scorer.fit(nodes, both, e, node_id="trigger_id").score(nodes, both, e, node_id="trigger_id")
+
+
+@query("sky_contains_truth")
+def sky_contains_truth(spark, folder):
+    """Whether each map's 90% region holds the cell its own weight peaks in: it always must."""
+    s = cut_lineage(sk.localise(arrivals(spark, folder), 24, 12))
+    peak = s.groupBy("candidate_id").agg(F.max(F.struct("weight", "ra", "dec")).alias("_p"))
+    truth = peak.select("candidate_id", F.col("_p.ra").alias("ra_true"), F.col("_p.dec").alias("dec_true"))
+    return sk.contains(s, truth)
+
+
+@query("scattered_light", with_views(TRIG) + """,
+s AS (SELECT id, k, i, i / 256.0::DOUBLE AS t FROM trig, (SELECT unnest(generate_series(0, 255)) AS i) WHERE ifo = 'error'),
+p AS (SELECT id, i, t, 2 * pi() * sum((20.0 + k) * abs(sin(pi() * t / 0.25))) OVER (PARTITION BY id ORDER BY i) / 256.0 AS ph FROM s)
+SELECT id, round(sum(pow(pow(sin(pi() * t), 2) * sin(ph), 2)), 6) AS energy FROM p GROUP BY 1""")
+def scattered_light(spark, folder):
+    """Arches of one second at 256 Hz, their phase the running sum of an absolute sine."""
+    t = triggers(spark, folder).where("ifo = 'error'").select("id", (F.lit(20.0) + F.col("k")).alias("f_peak"))
+    x = t.select("id", wf.scattered_light(F.col("f_peak"), 0.25, 4, 256.0).alias("x"))
+    return x.select("id", R6(ar.energy(F.col("x"))).alias("energy"))
