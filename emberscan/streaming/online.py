@@ -58,7 +58,7 @@ class _Front:
         return (int(self.pos), int(self.turn), self.held.tolist(), sorted(self.waiting.items()), int(self.out_pos), self.out.tolist())
 
     def read(self, batch: pd.DataFrame) -> None:
-        self.waiting.update({int(c): list(s) for c, s in zip(batch["chunk"], batch["samples"])})
+        self.waiting.update({int(c): np.asarray(s, dtype=float).tolist() for c, s in zip(batch["chunk"], batch["samples"])})
 
     def filter(self) -> None:
         """Filter everything whose future has arrived onto the end of `out`."""

@@ -10,19 +10,7 @@ from pyspark.sql import functions as F
 from emberscan.operators import cluster as cl
 from emberscan.operators.assignment import assign_one_to_one
 from emberscan.operators.components import component_labels
-
-
-def labels_of(n, edges):
-    root = list(range(n))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-    for a, b in edges:
-        ra, rb = find(a), find(b)
-        root[max(ra, rb)] = min(ra, rb)
-    return [find(i) for i in range(n)]
+from tests_support import labels_of
 
 
 @pytest.mark.parametrize("shape", ["random", "path", "star", "none"])
