@@ -98,15 +98,14 @@ EVENT_COLUMNS = ("id", "gpsPeak", "gpsStart", "duration", "tSpread", "freqMin",
 
 
 def candidate_edges(left: DataFrame, right: DataFrame, config: CoincidenceConfig,
-                    ifos: Sequence[str] = (), keys: Sequence[str] = (),
-                    carry: Sequence[str] = ()) -> DataFrame:
+                    ifos: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """Every pair of events one signal could have produced, with the cost of pairing them.
 
     Admission is on the extents, not on an instant. The left extent is dilated
     by the largest tolerance any pair may claim to find what can meet, then
     each pair is held to its own tolerance.
     """
-    keys, cols = list(keys), [*EVENT_COLUMNS, *carry]
+    keys, cols = list(keys), list(EVENT_COLUMNS)
     cap = config.maximum_tolerance(ifos)
     a = left.select(*keys, *cols).withColumn("_lo", F.col("gpsStart") - cap).withColumn(
         "_hi", F.col("gpsStart") + F.col("duration") + cap)

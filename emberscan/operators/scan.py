@@ -205,3 +205,13 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how:
         F.element_at(F.array(F.col(c)), 1).alias(c) if c in on else F.col(c) for c in small.columns
     ])
     return big.join(hidden, on=on, how=how)
+
+
+def attach(big: DataFrame, small: DataFrame, on: Sequence[str] | str, max_rows: int, how: str = "inner") -> DataFrame:
+    """Join a table that is expected to be small, by broadcast only once it has been seen to be.
+
+    `small` is counted, at most one row past `max_rows`, so pass it written out.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), on=on, how=how)
+    return lookup_join(big, small, on, how)

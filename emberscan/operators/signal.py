@@ -19,8 +19,11 @@ from pyspark.sql import types as T
 
 from emberscan.functions import dsp
 from emberscan.functions.arrays import synthesis_weight
-from emberscan.operators.scan import exact_quantiles, lookup_join
+from emberscan.operators.scan import attach, exact_quantiles, lookup_join
+from emberscan.session import cut_lineage
 
+# What a broadcast table may hold.
+BROADCAST_BYTES = 64 << 20
 SERIES = T.ArrayType(T.DoubleType())
 
 
@@ -67,17 +70,15 @@ def _convolve(halo: pd.Series, n_before: pd.Series, n_after: pd.Series, size: pd
 
 def fir(chunks: DataFrame, length: int, kernel: Sequence[float], ahead: int, keys: Sequence[str] = ("ifo",)) -> DataFrame:
     """Each chunk filtered by one kernel, `ahead` of whose taps look into the future. Beyond the series it is zero."""
-    taps = F.array(*[F.lit(float(v)) for v in kernel])
-    return fir_by_row(chunks.withColumn("kernel", taps), length, len(kernel) - 1 - ahead, ahead, keys)
+    return _shared_kernel(chunks, length, np.asarray(kernel, dtype=float), len(kernel) - 1 - ahead, ahead, keys)
 
 
-def fir_by_row(chunks: DataFrame, length: int, back: int, ahead: int, keys: Sequence[str] = ("ifo",)) -> DataFrame:
-    """`fir` with the taps in a `kernel` column that is one per key; all have `back + ahead + 1` taps."""
+def fir_by_key(chunks: DataFrame, kernels: DataFrame, length: int, back: int, ahead: int, keys: Sequence[str] = ("ifo",)) -> DataFrame:
+    """`fir` with one kernel per key: `kernels` has `keys, kernel`, all of `back + ahead + 1` taps."""
     keys = list(keys)
-    kernels = chunks.groupBy(*keys).agg(F.first("kernel").alias("kernel"))
     h = with_halo(chunks.select(*keys, "chunk", "samples"), length, back, ahead, keys)
-    # One row per detector or per detector and segment.
-    h = lookup_join(h, kernels, keys)
+    # A row per detector and segment; beyond what fits in memory it is joined like any table.
+    h = attach(h, kernels.select(*keys, "kernel"), keys, max_rows=BROADCAST_BYTES // (8 * (back + ahead + 1)))
     y = _convolve("halo", "n_before", "n_after", F.size("samples"), "kernel", F.lit(back), F.lit(ahead))
     return h.select(*keys, "chunk", y.alias("samples"))
 
@@ -213,11 +214,10 @@ def whiten(chunks: DataFrame, length: int, model: DataFrame, mode: str = "zero_p
         kernels = _kernel_from_model(model, lambda p: dsp.both_ways(dsp.half_power_polynomial(p, sqrt_order)[0]))
     else:
         raise ValueError(f"unknown whitening {mode!r}")
-    kernels = kernels.select(*keys, "kernel")
+    kernels = cut_lineage(kernels.select(*keys, "kernel"))
     taps = kernels.select(F.max(F.size("kernel"))).first()[0]
     back, ahead = (taps - 1, 0) if mode == "forward" else (taps // 2, taps // 2)
-    # One model per detector or segment.
-    return fir_by_row(lookup_join(chunks, kernels, keys), length, back, ahead, keys)
+    return fir_by_key(chunks, kernels, length, back, ahead, keys)
 
 
 def colour(chunks: DataFrame, length: int, model: DataFrame, taps: int, keys: Sequence[str] = ("ifo",)) -> DataFrame:
@@ -225,8 +225,8 @@ def colour(chunks: DataFrame, length: int, model: DataFrame, taps: int, keys: Se
     def response(p: np.ndarray) -> np.ndarray:
         h = dsp.inverse_response(p)[:taps]
         return np.concatenate([h, np.zeros(taps - h.size)])
-    kernels = _kernel_from_model(model, response).select(*keys, "kernel")
-    return fir_by_row(lookup_join(chunks, kernels, list(keys)), length, taps - 1, 0, keys)
+    kernels = cut_lineage(_kernel_from_model(model, response).select(*keys, "kernel"))
+    return fir_by_key(chunks, kernels, length, taps - 1, 0, keys)
 
 
 def measured_psd(chunks: DataFrame, length: int, fs: float, segment: int, keys: Sequence[str] = ("ifo",)) -> DataFrame:
@@ -277,17 +277,21 @@ def search(windows: DataFrame, fs: float, threshold: float, bases: Sequence[str]
            carry: Sequence[str] = ("ifo", "first_sample")) -> DataFrame:
     """Triggers: per window the winning basis and its surviving coefficients, where the statistic passes.
 
-    One matrix product per basis and Arrow batch; rows stay where they are.
+    One filter bank per basis over a bounded block of windows; rows stay where they are.
     """
     names = tuple(bases)
 
     @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ':', 1) for f in search_schema().split(', '))}>")
     def transform(x: pd.Series) -> pd.DataFrame:
-        best = dsp.best_basis(np.vstack(x.to_numpy()), names, soft)
-        kept = [np.flatnonzero(c) for c in best["coeff"]]
-        return pd.DataFrame({"wave": best["wave"], "sigma": best["sigma"], "EnWDF": best["EnWDF"],
-                             "wt_index": [k.astype("int32") for k in kept],
-                             "wt_value": [c[k] for c, k in zip(best["coeff"], kept)]})
+        parts = []
+        step = max(dsp.BLOCK // max(len(x.iloc[0]), 1), 1) if len(x) else 1
+        for lo in range(0, len(x), step):
+            best = dsp.best_basis(np.vstack(x.iloc[lo:lo + step].to_numpy()), names, soft)
+            kept = [np.flatnonzero(c) for c in best["coeff"]]
+            parts.append(pd.DataFrame({"wave": best["wave"], "sigma": best["sigma"], "EnWDF": best["EnWDF"],
+                                       "wt_index": [k.astype("int32") for k in kept],
+                                       "wt_value": [c[k] for c, k in zip(best["coeff"], kept)]}))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["wave", "sigma", "EnWDF", "wt_index", "wt_value"])
 
     n = F.size("window").cast("long")
     return windows.withColumn("_t", transform("window")).where(F.col("_t.EnWDF") > threshold).select(
@@ -302,8 +306,9 @@ def inverse_window(index: pd.Series, value: pd.Series, n_coeff: pd.Series, wave:
     """The samples a window's surviving coefficients stand for, in its own basis."""
     out = []
     for i, v, n, name in zip(index, value, n_coeff, wave):
-        rows = dsp.transform_matrix(name, int(n))[np.asarray(i, dtype=int)]
-        out.append(np.asarray(v, dtype=float) @ rows)
+        dense = np.zeros(int(n))
+        dense[np.asarray(i, dtype=int)] = np.asarray(v, dtype=float)
+        out.append(dsp.inverse(dense, name)[0])
     return pd.Series(out)
 
 

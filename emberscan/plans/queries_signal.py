@@ -215,7 +215,7 @@ def network_table(spark, folder):
     nodes = cut_lineage(graph_nodes(spark, folder).withColumn("id", F.col("trigger_id")).withColumn(
         "grid", ar.to_dense(F.col("wt_index"), F.transform("wt_value", lambda v: F.abs(v) / F.lit(0.125)), F.col("n_coeff"))))
     pick = lambda i: nodes.where(F.col("ifo") == i)
-    edges = co.candidate_edges(pick("H1"), pick("L1"), NET, carry=["grid"])
+    edges = ch.with_maps(co.candidate_edges(pick("H1"), pick("L1"), NET), pick("H1"), pick("L1"))
     return ch.candidate_table(edges, coherence_of(spark, folder))
 
 
@@ -451,8 +451,9 @@ def wavegram_search(spark, folder):
     """The same with candidates described by their maps, ranked on the shape-weighted statistic."""
     nodes = cut_lineage(pl.node_grids(graph_nodes(spark, folder)).withColumn("id", F.col("trigger_id")))
     span = nodes.agg(F.max("gps")).first()[0] + 1.0
+    a, b = nodes.where("ifo = 'H1'"), nodes.where("ifo = 'L1'")
     return pl.search_with_background(
-        nodes.where("ifo = 'H1'"), nodes.where("ifo = 'L1'"), pl.wavegram_finder(NET), 0.0, span, n_slides=10, min_shift_s=0.5,
+        a.drop("grid"), b.drop("grid"), pl.wavegram_finder(NET, a, b), 0.0, span, n_slides=10, min_shift_s=0.5,
         score="network_shape_weighted", ids=("node_i", "node_j"))
 
 
@@ -497,3 +498,52 @@ def scattered_light(spark, folder):
     t = triggers(spark, folder).where("ifo = 'error'").select("id", (F.lit(20.0) + F.col("k")).alias("f_peak"))
     x = t.select("id", wf.scattered_light(F.col("f_peak"), 0.25, 4, 256.0).alias("x"))
     return x.select("id", R6(ar.energy(F.col("x"))).alias("energy"))
+
+
+# --- the transform and the noise model, where SQL can follow them ------------
+
+HAAR_SEARCH = """
+k AS (SELECT unnest(generate_series(0, 63)) AS k), lv AS (SELECT k, CASE WHEN k = 0 THEN 0 ELSE floor(log2(k))::INT END AS lev FROM k),
+b AS (SELECT k, i, CASE WHEN k = 0 THEN 0.125::DOUBLE WHEN i // (64 // (1 << lev)) = k - (1 << lev) THEN sqrt(pow(2.0, lev)) / 8.0 * (CASE WHEN i % (64 // (1 << lev)) < 32 // (1 << lev) THEN 1 ELSE -1 END) ELSE 0 END AS w
+      FROM lv, (SELECT unnest(generate_series(0, 63)) AS i)),
+c AS (SELECT trigger_id, k, sum(dense[i + 1] * w) AS c FROM win, b WHERE w <> 0 GROUP BY 1, 2),
+s AS (SELECT trigger_id, median(abs(c)) / 0.6745 AS sigma FROM c GROUP BY 1),
+t AS (SELECT c.trigger_id, sigma, sqrt(sum(c * c)) / sigma AS e, count(*)::INT AS n FROM c JOIN s USING (trigger_id) WHERE abs(c) >= sigma * sqrt(2 * ln(64.0::DOUBLE)) GROUP BY 1, 2)"""
+
+
+@query("haar_search", with_views(WIN, HAAR_SEARCH) + """
+SELECT trigger_id, 'Haar' AS wave, round(sigma, 6) AS sigma, round(e, 6) AS "EnWDF", n AS n_kept FROM t WHERE e > 3.0""")
+def haar_search(spark, folder):
+    w = windows(spark, folder).select("trigger_id", F.col("trigger_id").alias("first_sample"), F.col("dense").alias("window"))
+    t = sg.search(w, FS, 3.0, bases=["Haar"], carry=["trigger_id", "first_sample"])
+    return t.select("trigger_id", "wave", R6("sigma").alias("sigma"), R6("EnWDF").alias("EnWDF"), F.size("wt_index").alias("n_kept"))
+
+
+AR2 = """
+r AS (SELECT sum(x * x) / count(*) AS r0, sum(x * x1) / count(*) AS r1, sum(x * x2) / count(*) AS r2
+      FROM (SELECT x, coalesce(lead(x) OVER (ORDER BY n), 0) AS x1, coalesce(lead(x, 2) OVER (ORDER BY n), 0) AS x2 FROM smp)),
+m AS (SELECT -(r1 * (r0 - r2)) / (r0 * r0 - r1 * r1) AS a1, -(r0 * r2 - r1 * r1) / (r0 * r0 - r1 * r1) AS a2, r0, r1, r2 FROM r)"""
+
+
+@query("ar_model_second_order", with_views(SMP, AR2) + """
+SELECT round(sqrt(r0 + a1 * r1 + a2 * r2), 6) AS sigma, round(a1, 6) AS a1, round(a2, 6) AS a2 FROM m""")
+def ar_model_second_order(spark, folder):
+    m = sg.fit_ar(chunks(spark, folder), LENGTH, 2)
+    return m.select(R6("sigma").alias("sigma"), R6(F.col("poly")[1]).alias("a1"), R6(F.col("poly")[2]).alias("a2"))
+
+
+@query("whitened_forward", with_views(SMP, AR2) + """,
+y AS (SELECT n, x + a1 * coalesce(lag(x) OVER (ORDER BY n), 0) + a2 * coalesce(lag(x, 2) OVER (ORDER BY n), 0) AS y FROM smp, m)
+SELECT n // 64 AS chunk, round(sum(y * y), 6) AS energy, round(max(y) FILTER (WHERE n % 64 = 0), 6) AS first_y, round(max(y) FILTER (WHERE n % 64 = 63), 6) AS last_y FROM y GROUP BY 1""")
+def whitened_forward(spark, folder):
+    c = chunks(spark, folder)
+    return chunk_facts(sg.whiten(c, LENGTH, cut_lineage(sg.fit_ar(c, LENGTH, 2)), mode="forward"))
+
+
+@query("whitened_both_ways", with_views(SMP, AR2) + """,
+k AS (SELECT 0 AS j, 1 + a1 * a1 + a2 * a2 AS c FROM m UNION ALL SELECT unnest([-1, 1]), a1 + a1 * a2 FROM m UNION ALL SELECT unnest([-2, 2]), a2 FROM m),
+y AS (SELECT a.n, sum(c * coalesce(b.x, 0)) AS y FROM smp a CROSS JOIN k LEFT JOIN smp b ON b.n = a.n - j GROUP BY 1)
+SELECT n // 64 AS chunk, round(sum(y * y), 6) AS energy, round(max(y) FILTER (WHERE n % 64 = 0), 6) AS first_y, round(max(y) FILTER (WHERE n % 64 = 63), 6) AS last_y FROM y GROUP BY 1""")
+def whitened_both_ways(spark, folder):
+    c = chunks(spark, folder)
+    return chunk_facts(sg.whiten(c, LENGTH, cut_lineage(sg.fit_ar(c, LENGTH, 2)), mode="double"))
