@@ -33,11 +33,16 @@ def percolate(tiles: DataFrame, time_tol_s: float, row_id: str, keys: Sequence[s
     """
     keys = list(keys)
     # The bands of a dyadic ladder: one per octave, a few dozen over all lengths.
-    bands = tiles.select("f_lo", "f_hi").distinct()
+    bands = cut_lineage(tiles.select("f_lo", "f_hi").distinct().coalesce(1))
     lower = bands.select(F.col("f_lo").alias("a_lo"), F.col("f_hi").alias("a_hi"))
     upper = bands.select(F.col("f_lo").alias("b_lo"), F.col("f_hi").alias("b_hi"))
     touch = lower.join(F.broadcast(upper), (F.col("a_lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("a_hi"))
                        & (F.struct("a_lo", "a_hi") <= F.struct("b_lo", "b_hi")))
+    # A band on its own is covered by any pair it is in, and scanned alone only without one.
+    own = (F.col("a_lo") == F.col("b_lo")) & (F.col("a_hi") == F.col("b_hi"))
+    met = touch.where(~own)
+    paired = met.select("a_lo", "a_hi").union(met.select("b_lo", "b_hi")).distinct()
+    touch = cut_lineage(met.unionByName(touch.where(own).join(F.broadcast(paired), on=["a_lo", "a_hi"], how="left_anti")).coalesce(1))
     pair = F.xxhash64("a_lo", "a_hi", "b_lo", "b_hi").alias("_pair")
     sides = touch.select(pair, F.explode(F.array_distinct(F.array(
         F.struct(F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi")),

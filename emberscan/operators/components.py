@@ -10,6 +10,8 @@ from emberscan.session import cut_lineage
 # A vertex with more than this share of the edges is a hub. There can be no
 # more hubs than twice the inverse of the share, which bounds what is broadcast.
 HUB_SHARE = 1e-4
+# Fewer rows than this meet in one task without harm.
+HUB_ROWS = 10_000
 
 
 def _minimum_of_neighbours(edges: DataFrame, total: int) -> DataFrame:
@@ -20,7 +22,9 @@ def _minimum_of_neighbours(edges: DataFrame, total: int) -> DataFrame:
     number of them -- get theirs by broadcast and stay where they are.
     """
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
-    hubs = F.broadcast(least.where(F.col("deg") > max(total * HUB_SHARE, 10_000)).select("u", F.col("m").alias("_hub_m")))
+    if total <= HUB_ROWS:
+        return edges.join(least.select("u", "m"), on="u")
+    hubs = F.broadcast(least.where(F.col("deg") > max(total * HUB_SHARE, HUB_ROWS)).select("u", F.col("m").alias("_hub_m")))
     marked = edges.join(hubs, on="u", how="left")
     plain = marked.where(F.col("_hub_m").isNull()).drop("_hub_m").join(least.select("u", "m"), on="u")
     hub = marked.where(F.col("_hub_m").isNotNull()).select("u", "v", F.col("_hub_m").alias("m"))

@@ -180,7 +180,8 @@ def threshold_at_far(spark, folder):
 
 
 @query("efficiency_at_far", with_views(SCORES, POP) + """,
-r AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS k FROM bgp), c AS (SELECT score AS cut FROM r WHERE k = 20)
+r AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS k FROM bgp),
+c AS (SELECT CASE WHEN n <= 20 THEN '-infinity'::DOUBLE ELSE (SELECT score FROM r WHERE k = 20) END AS cut FROM (SELECT count(*) AS n FROM bgp))
 SELECT 2.0::DOUBLE AS far_per_day, cut AS threshold, TRUE AS measurable, count(*)::BIGINT AS n_found, round(count(*) / 500.0::DOUBLE, 6) AS efficiency
 FROM fgp, c WHERE score >= cut GROUP BY cut""")
 def efficiency_at_far(spark, folder):
@@ -192,7 +193,9 @@ STATS = """
 st AS (SELECT positive, 'score' AS statistic, score FROM scores UNION ALL SELECT positive, 'inverse', 1e6::DOUBLE / (1.0 + score) FROM scores),
 t AS (SELECT unnest([0.5, 1.0, 3.0]::DOUBLE[]) AS far_per_day),
 r AS (SELECT statistic, score, row_number() OVER (PARTITION BY statistic ORDER BY score DESC) AS k FROM st WHERE NOT positive),
-cut AS (SELECT statistic, far_per_day, score AS threshold FROM t JOIN r ON r.k = floor(far_per_day * 10.0))"""
+size AS (SELECT statistic, count(*) AS n FROM r GROUP BY 1),
+cut AS (SELECT s.statistic, far_per_day, CASE WHEN far_per_day * 10.0 >= n THEN '-infinity'::DOUBLE ELSE r.score END AS threshold
+        FROM t CROSS JOIN size s LEFT JOIN r ON r.statistic = s.statistic AND r.k = floor(far_per_day * 10.0))"""
 
 
 @query("compare_statistics", with_views(SCORES, STATS) + """
@@ -213,7 +216,9 @@ def mode(spark, folder, name="length"):
 mo AS (SELECT 'all' AS mode, positive, score FROM scores UNION ALL SELECT 'clean', positive, score FROM scores WHERE toxic = 0),
 t AS (SELECT unnest([0.5, 1.0]::DOUBLE[]) AS far_per_day),
 r AS (SELECT mode, score, row_number() OVER (PARTITION BY mode ORDER BY score DESC) AS k FROM mo WHERE NOT positive),
-cut AS (SELECT mode, far_per_day, score AS threshold FROM t JOIN r ON r.k = floor(far_per_day * 10.0))""") + """
+size AS (SELECT mode, count(*) AS n FROM r GROUP BY 1),
+cut AS (SELECT s.mode, far_per_day, CASE WHEN far_per_day * 10.0 >= n THEN '-infinity'::DOUBLE ELSE r.score END AS threshold
+        FROM t CROSS JOIN size s LEFT JOIN r ON r.mode = s.mode AND r.k = floor(far_per_day * 10.0))""") + """
 SELECT c.mode, far_per_day, threshold, TRUE AS measurable, count(f.score)::BIGINT AS n_found, round(count(f.score) / 400.0::DOUBLE, 6) AS efficiency
 FROM cut c LEFT JOIN mo f ON f.positive AND f.mode = c.mode AND f.score >= threshold GROUP BY 1, 2, 3""")
 def compare_modes(spark, folder):

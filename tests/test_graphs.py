@@ -27,6 +27,18 @@ def test_components(spark, shape):
     assert set(got.index) == on_edge and all(got[v] == want[v] for v in on_edge)
 
 
+def test_hubs_take_the_broadcast_way(spark, monkeypatch):
+    from emberscan.operators import components
+    monkeypatch.setattr(components, "HUB_ROWS", 20)
+    rng = np.random.default_rng(3)
+    n = 400
+    edges = [[0, i] for i in range(1, 200)] + [[i, 399] for i in range(200, 399)] + rng.integers(200, n, (50, 2)).tolist()
+    df = spark.createDataFrame(pd.DataFrame(edges, columns=["src", "dst"]))
+    got = component_labels(df).toPandas().set_index("vertex").component
+    want = labels_of(n, edges)
+    assert all(got[v] == want[v] for v in got.index) and len(got) == n
+
+
 def best_by_force(edges):
     left, right = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
     cost = {(a, b): c for a, b, c in edges}
