@@ -20,7 +20,7 @@ from emberscan.operators import tiles as tl
 from emberscan.operators.cluster import trigger_labels
 from emberscan.operators.rangejoin import neighbour_pairs
 from emberscan.plans import pipelines as pl
-from emberscan.plans.queries_events import graph_nodes, numbered_tiles, percolated
+from emberscan.plans.queries_events import PERCOLATED, RWITH, graph_nodes, numbered_tiles, percolated
 from emberscan.plans.registry import query
 from emberscan.plans.views import TRIG, WIN, sparse_windows, table, tile_sql, triggers, windows, with_views
 from emberscan.session import cut_lineage, ensure_checkpoint_dir
@@ -153,14 +153,29 @@ def combined_statistic(spark, folder):
     return c.select("label", "ifo", R6("EnWDF").alias("EnWDF"), R6("loudest_window").alias("loudest_window"), R6("span_s").alias("span_s"), "windows")
 
 
-@query("wavegram_events")
+WAVEGRAM = """,
+lab AS (SELECT trigger_id, cluster_id FROM (SELECT trigger_id, cluster_id, row_number() OVER (PARTITION BY trigger_id ORDER BY round(sum(energy), 9) DESC, cluster_id) AS rn
+  FROM pix GROUP BY 1, 2) WHERE rn = 1),
+x AS (SELECT c.trigger_id, gps, i, sum(c.c * CASE WHEN k = 0 THEN 0.125 ELSE
+        CASE WHEN i // (64 // (1 << lev)) = k - (1 << lev) THEN sqrt(pow(2.0, lev)) / 8.0 * (CASE WHEN i % (64 // (1 << lev)) < 32 // (1 << lev) THEN 1 ELSE -1 END) ELSE 0 END END) AS x
+      FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE floor(log2(k))::INT END AS lev FROM coef) c, (SELECT unnest(generate_series(0, 63)) AS i) GROUP BY 1, 2, 3),
+tp AS (SELECT i, CASE WHEN i < 16 THEN 0.5 * (1 - cos(pi() * (i + 1) / 17.0)) WHEN i >= 48 THEN 0.5 * (1 - cos(pi() * (64 - i) / 17.0)) ELSE 1.0 END AS w FROM (SELECT unnest(generate_series(0, 63)) AS i)),
+st AS (SELECT cluster_id, round(gps * 2048)::BIGINT + x.i AS n, sum(x * w) / sum(w) AS v FROM x JOIN tp ON tp.i = x.i JOIN lab USING (trigger_id) GROUP BY 1, 2),
+nm AS (SELECT cluster_id, sqrt(sum(v * v)) / 0.125 AS e FROM st GROUP BY 1),
+tr AS (SELECT cluster_id, w_gps AS gps, trigger_id, sqrt(sum(energy)) / 0.125 AS e FROM tile JOIN lab USING (trigger_id) GROUP BY 1, 2, 3)"""
+
+
+@query("wavegram_events", RWITH + WIN + "," + tile_sql() + PERCOLATED + WAVEGRAM + """
+SELECT cluster_id, round(max(nm.e), 6) AS "EnWDF", round(max(tr.e), 6) AS loudest_window, round(max(gps) - min(gps) + 0.03125, 6) AS span_s, count(*)::BIGINT AS windows
+FROM tr JOIN nm USING (cluster_id) GROUP BY 1""")
 def wavegram_events(spark, folder):
     """Percolate tiles, give each trigger its cluster, score each cluster on its reconstruction."""
     pixels = percolated(spark, folder)
     labels = trigger_labels(pixels)
     s = tl.window_moments(sparse_windows(spark, folder)).join(labels, "trigger_id")
     s = s.withColumn("samples", sg.inverse_window("wt_index", "wt_value", "n_coeff", F.lit("Haar")))
-    return sg.combined_statistic(cut_lineage(s), ["cluster_id"], FS, 64, 16)
+    e = sg.combined_statistic(cut_lineage(s), ["cluster_id"], FS, 64, 16)
+    return e.select("cluster_id", R6("EnWDF").alias("EnWDF"), R6("loudest_window").alias("loudest_window"), R6("span_s").alias("span_s"), "windows")
 
 
 @query("waveform_overlap_lags", with_views(WIN) + """,
