@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import product
 from math import sqrt
 
 import pandas as pd
@@ -194,30 +195,30 @@ def tile_edges(tiles: DataFrame, time_tolerance: float = 1.0, minimum_significan
 
 # --- density clustering -------------------------------------------------------
 
-# A cell whose diagonal is one holds points that are all neighbours; cells up to
-# two apart on either axis can hold a point at distance one.
-CELL = 1.0 / sqrt(2.0)
-NEAR = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) < 4]
+# Sub-cells along each axis of a cell, by which two cells of cores are compared.
 FINE = 8
 
 
-def _near_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows entered in every cell that may hold a neighbour, as `(nx, ny)`."""
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in NEAR]))
-    return df.withColumn("_s", steps).withColumn("nx", F.col("cx") + F.col("_s.i")).withColumn(
-        "ny", F.col("cy") + F.col("_s.j")).drop("_s")
+def _cell_width(axes: int) -> float:
+    """The width at which a cell's diagonal is one, so that its points are all neighbours."""
+    return 1.0 / sqrt(axes)
 
 
-def _close(a: str, b: str) -> Column:
-    dx, dy = F.col("x" + a) - F.col("x" + b), F.col("y" + a) - F.col("y" + b)
-    return dx * dx + dy * dy <= 1.0
+def _offsets(axes: int) -> list[tuple[int, ...]]:
+    """Cell steps within which a point at distance one can lie.
+
+    Cells are half-open, so two that are `k` steps apart on an axis are more
+    than `k - 1` widths apart on it.
+    """
+    gap = lambda step: max(abs(step) - 1, 0) ** 2
+    return [o for o in product(range(-2, 3), repeat=axes) if sum(map(gap, o)) < axes]
 
 
-def dbscan(points: DataFrame, x: Column, y: Column, row_id: str, min_samples: int = 2,
+def dbscan(points: DataFrame, axes: Sequence[Column], row_id: str, min_samples: int = 2,
            keys: Sequence[str] = ("ifo",)) -> DataFrame:
-    """Density clusters at distance one in the scaled plane; `cluster_id` is -1 for noise.
+    """Density clusters at distance one in the scaled axes, two or three of them; `cluster_id` is -1 for noise.
 
-    The plane is cut into cells whose points are all neighbours of each other. A
+    The space is cut into cells whose points are all neighbours of each other. A
     cell with `min_samples` points makes them all core without a comparison, so
     only points of sparse cells look around, and each cell is looked at by a
     bounded number of them. Core cells are then linked to one another: from the
@@ -225,66 +226,88 @@ def dbscan(points: DataFrame, x: Column, y: Column, row_id: str, min_samples: in
     do not. A border point takes the lowest-numbered cluster it touches; a
     cluster is named by its least core id.
     """
-    keys = list(keys)
-    p = points.select(*keys, row_id, x.alias("x"), y.alias("y"))
-    p = p.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
-    cell = [*keys, "cx", "cy"]
+    keys, d = list(keys), len(axes)
+    width, dims = _cell_width(d), range(d)
+    at = lambda prefix, suffix="": [f"{prefix}{i}{suffix}" for i in dims]
+    steps = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(d)])
+
+    def looking_from(df: DataFrame) -> DataFrame:
+        """Rows entered in every cell that may hold a neighbour, as `n0, n1, ...`."""
+        out = df.withColumn("_s", F.explode(steps))
+        return out.withColumns({f"n{i}": F.col(f"c{i}") + F.col("_s")[i] for i in dims}).drop("_s")
+
+    def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        return df.select(*keys, *[F.col(a).alias(b) for a, b in names.items()])
+
+    def close(a: str, b: str) -> Column:
+        return sum((F.pow(F.col(x) - F.col(y), 2) for x, y in zip(at("x", a), at("x", b))), F.lit(0.0)) <= 1.0
+
+    p = points.select(*keys, row_id, *[x.alias(f"x{i}") for i, x in enumerate(axes)])
+    p = p.withColumns({f"c{i}": F.floor(F.col(f"x{i}") / width) for i in dims})
+    cell, near = [*keys, *at("c")], [*keys, *at("n")]
     sizes = p.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_cell"))
     p = cut_lineage(lookup_join(p, sizes, cell))
-    there = p.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col(row_id).alias("id_b"),
-                     F.col("x").alias("x_b"), F.col("y").alias("y_b"))
+    there = rename(p, {**dict(zip(at("c"), at("n"))), row_id: "id_b", **dict(zip(at("x"), at("x", "_b")))})
     sparse = p.where(F.col("n_cell") < min_samples)
-    looking = _near_cells(sparse.withColumnsRenamed({row_id: "id_a", "x": "x_a", "y": "y_a"}), keys)
-    counts = looking.join(there, on=[*keys, "nx", "ny"]).where(_close("_a", "_b")).groupBy("id_a").agg(
+    as_a = {**dict(zip(at("c"), at("c"))), row_id: "id_a", **dict(zip(at("x"), at("x", "_a")))}
+    counts = looking_from(rename(sparse, as_a)).join(there, on=near).where(close("_a", "_b")).groupBy("id_a").agg(
         F.count(F.lit(1)).alias("n"))
     sparse_core = counts.where(F.col("n") >= min_samples).select(F.col("id_a").alias(row_id))
-    core = cut_lineage(p.where(F.col("n_cell") >= min_samples).unionByName(sparse.join(sparse_core, on=row_id)))
+    core = cut_lineage(p.where(F.col("n_cell") >= min_samples).unionByName(sparse.join(sparse_core, on=row_id).select(*p.columns)))
 
     # Cores of one cell are one cluster, named by the least of them.
     heads = core.groupBy(*cell).agg(F.min(row_id).alias("head"))
-    sub = core.withColumn("sx", F.floor(F.col("x") / (CELL / FINE))).withColumn("sy", F.floor(F.col("y") / (CELL / FINE)))
-    boxes = cut_lineage(sub.groupBy(*cell, "sx", "sy").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+    sub = core.withColumns({f"s{i}": F.floor(F.col(f"x{i}") / (width / FINE)) for i in dims})
+    boxes = cut_lineage(sub.groupBy(*cell, *at("s")).agg(
+        *[F.min(f"x{i}").alias(f"lo{i}") for i in dims], *[F.max(f"x{i}").alias(f"hi{i}") for i in dims],
         F.min(row_id).alias("any_id")))
-    a = _near_cells(boxes, keys).select(*keys, "nx", "ny", *[F.col(c).alias(c + "_a") for c in
-                    ("cx", "cy", "sx", "sy", "x0", "x1", "y0", "y1", "any_id")])
-    b = boxes.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"),
-                     *[F.col(c).alias(c + "_b") for c in ("sx", "sy", "x0", "x1", "y0", "y1", "any_id")])
-    met = a.join(b, on=[*keys, "nx", "ny"]).where(
-        (F.col("cx_a") < F.col("nx")) | ((F.col("cx_a") == F.col("nx")) & (F.col("cy_a") < F.col("ny"))))
-    far = lambda s: F.greatest(F.col(s + "1_b") - F.col(s + "0_a"), F.col(s + "1_a") - F.col(s + "0_b"))
-    apart = lambda s: F.greatest(F.col(s + "0_b") - F.col(s + "1_a"), F.col(s + "0_a") - F.col(s + "1_b"), F.lit(0.0))
-    met = met.withColumn("_most", far("x") * far("x") + far("y") * far("y")).withColumn(
-        "_least", apart("x") * apart("x") + apart("y") * apart("y")).where(F.col("_least") <= 1.0)
-    pair = [*keys, "cx_a", "cy_a", "nx", "ny"]
-    met = cut_lineage(met)
+    box = [*at("s"), *at("lo"), *at("hi"), "any_id"]
+    a = rename(looking_from(boxes), {**{c: c for c in at("n")}, **dict(zip(at("c"), at("c", "_a"))), **{c: c + "_a" for c in box}})
+    b = rename(boxes, {**dict(zip(at("c"), at("n"))), **{c: c + "_b" for c in box}})
+    # Each pair of cells once, the one that sorts first on the left.
+    met = a.join(b, on=near).where(F.struct(*at("c", "_a")) < F.struct(*at("n")))
+    span = lambda i: F.greatest(F.col(f"hi{i}_b") - F.col(f"lo{i}_a"), F.col(f"hi{i}_a") - F.col(f"lo{i}_b"))
+    apart = lambda i: F.greatest(F.col(f"lo{i}_b") - F.col(f"hi{i}_a"), F.col(f"lo{i}_a") - F.col(f"hi{i}_b"), F.lit(0.0))
+    square = lambda f: sum((f(i) * f(i) for i in dims), F.lit(0.0))
+    met = cut_lineage(met.withColumn("_most", square(span)).withColumn("_least", square(apart)).where(F.col("_least") <= 1.0))
+    pair = [*keys, *at("c", "_a"), *at("n")]
     sure = met.where(F.col("_most") <= 1.0).groupBy(*pair).agg(F.min(F.struct("any_id_a", "any_id_b")).alias("_e"))
     open_ = met.where(F.col("_most") > 1.0).join(sure.select(*pair), on=pair, how="left_anti")
-    pts = sub.select(*keys, "cx", "cy", "sx", "sy", F.col(row_id).alias("id"), "x", "y").distinct()
-    rename = lambda s, at: pts.select(*keys, *[F.col(c).alias(m) for c, m in zip(
-        ("cx", "cy", "sx", "sy", "id", "x", "y"), (*at, "sx" + s, "sy" + s, "id" + s, "x" + s, "y" + s))])
+    side = lambda s, cells: rename(sub, {**dict(zip(at("c"), cells)), **{c: c + s for c in [*at("s"), *at("x")]}, row_id: "id" + s})
     tested = (
-        open_.select(*pair, "sx_a", "sy_a", "sx_b", "sy_b")
-        .join(rename("_a", ("cx_a", "cy_a")), on=[*keys, "cx_a", "cy_a", "sx_a", "sy_a"])
-        .join(rename("_b", ("nx", "ny")), on=[*keys, "nx", "ny", "sx_b", "sy_b"])
-        .where(_close("_a", "_b")).groupBy(*pair).agg(F.min(F.struct("id_a", "id_b")).alias("_e")))
+        open_.select(*pair, *at("s", "_a"), *at("s", "_b"))
+        .join(side("_a", at("c", "_a")), on=[*keys, *at("c", "_a"), *at("s", "_a")])
+        .join(side("_b", at("n")), on=[*keys, *at("n"), *at("s", "_b")])
+        .where(close("_a", "_b")).groupBy(*pair).agg(F.min(F.struct("id_a", "id_b")).alias("_e")))
     edges = lookup_join(core, heads, cell).select(F.col(row_id).alias("src"), F.col("head").alias("dst")).unionByName(
         sure.select(F.col("_e.any_id_a").alias("src"), F.col("_e.any_id_b").alias("dst"))).unionByName(
         tested.select(F.col("_e.id_a").alias("src"), F.col("_e.id_b").alias("dst")))
     labelled = cut_lineage(label_rows(core, edges, row_id, output="cluster_id"))
 
     rest = sparse.join(sparse_core, on=row_id, how="left_anti")
-    near_core = labelled.select(*keys, F.col("cx").alias("nx"), F.col("cy").alias("ny"), F.col("cluster_id").alias("c_b"),
-                                F.col("x").alias("x_b"), F.col("y").alias("y_b"))
-    border = _near_cells(rest.withColumnsRenamed({row_id: "id_a", "x": "x_a", "y": "y_a"}), keys).join(
-        near_core, on=[*keys, "nx", "ny"]).where(_close("_a", "_b")).groupBy(F.col("id_a").alias(row_id)).agg(
-        F.min("c_b").alias("cluster_id"))
+    near_core = rename(labelled, {**dict(zip(at("c"), at("n"))), "cluster_id": "c_b", **dict(zip(at("x"), at("x", "_b")))})
+    border = looking_from(rename(rest, as_a)).join(near_core, on=near).where(close("_a", "_b")).groupBy(
+        F.col("id_a").alias(row_id)).agg(F.min("c_b").alias("cluster_id"))
     ids = labelled.select(row_id, "cluster_id", F.lit(True).alias("is_core")).unionByName(
         border.select(row_id, "cluster_id", F.lit(False).alias("is_core")))
     return points.join(ids, on=row_id, how="left").withColumn(
         "cluster_id", F.coalesce("cluster_id", F.lit(-1))).withColumn("is_core", F.coalesce("is_core", F.lit(False)))
 
 
+def cluster_triggers(triggers: DataFrame, method: str = "dbscan", time_eps_s: float = 0.5, freq_eps_hz: float = 50.0,
+                     min_samples: int = 2, stat_weight: float = 0.0, time: str = "gpsPeak", frequency: str = "freqMean",
+                     statistic: str = "EnWDF", row_id: str = "id", keys: Sequence[str] = ("ifo",)) -> DataFrame:
+    """Triggers with `cluster_id`, by density or by greedy merging, every detector on its own."""
+    if method == "greedy":
+        return greedy(triggers, time, frequency, row_id, time_eps_s, freq_eps_hz, min_samples, keys)
+    if method != "dbscan":
+        raise ValueError(f"unknown clustering method {method!r}")
+    axes = [F.col(time) / time_eps_s, F.col(frequency) / freq_eps_hz]
+    if stat_weight > 0:
+        axes.append(F.lit(stat_weight) * F.log10(F.greatest(F.col(statistic), F.lit(TINY))))
+    return dbscan(triggers, axes, row_id, min_samples, keys)
+
+
 def greedy(triggers: DataFrame, time: str, frequency: str, row_id: str, time_eps: float, freq_eps: float,
            min_samples: int = 2, keys: Sequence[str] = ("ifo",)) -> DataFrame:
     """Time-ordered merging into the first open group whose last member is close enough.

@@ -287,7 +287,7 @@ def dbscan_core_flags(spark, folder):
 
 def dbscan(spark, folder):
     t = triggers(spark, folder).select("id", "ifo", "gps", "freqMean")
-    return cl.dbscan(t, F.col("gps") / 300.0, F.col("freqMean") / 20.0, "id", min_samples=3)
+    return cl.dbscan(t, [F.col("gps") / 300.0, F.col("freqMean") / 20.0], "id", min_samples=3)
 
 
 @query("dbscan_labels", RWITH + TRIG + """,
@@ -301,6 +301,18 @@ def dbscan_labels(spark, folder):
     return dbscan(spark, folder).select("id", "cluster_id")
 
 
+@query("dbscan_with_loudness", RWITH + TRIG + """,
+p AS (SELECT id, ifo, gps / 300.0 AS x, "freqMean" / 20.0 AS y, 2.0::DOUBLE * log10(greatest("EnWDF", 1e-12)) AS z FROM trig),
+nb AS (SELECT a.id AS s, b.id AS d FROM p a JOIN p b ON a.ifo = b.ifo AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1.0),
+core AS (SELECT s AS id FROM nb GROUP BY 1 HAVING count(*) >= 3)""" + recursive_labels(
+    "SELECT id FROM core", "SELECT s, d FROM nb WHERE s <> d AND s IN (SELECT id FROM core) AND d IN (SELECT id FROM core)") + """
+SELECT p.id, coalesce(c.comp, (SELECT min(cc.comp) FROM nb JOIN cc ON cc.id = nb.d WHERE nb.s = p.id), -1) AS cluster_id
+FROM p LEFT JOIN cc c ON c.id = p.id""")
+def dbscan_with_loudness(spark, folder):
+    c = cl.cluster_triggers(triggers(spark, folder), "dbscan", 300.0, 20.0, min_samples=3, stat_weight=2.0)
+    return c.select("id", "cluster_id")
+
+
 @query("greedy_labels")
 def greedy_labels(spark, folder):
     t = triggers(spark, folder).select("id", "ifo", "gps", "freqMean")

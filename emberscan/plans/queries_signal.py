@@ -388,7 +388,7 @@ def online_coincidence(spark, folder):
     def side(kind):
         e = stream_of(spark, folder, "events")
         return e.where(F.col("event_type") == kind).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
-    pairs = online.online_coincidence(side("click"), side("view"), 60, late="40 days")
+    pairs = online.online_coincidence(side("click"), side("view"), 60)
     return run_stream(spark, pairs.select("id_l", "id_r"), "online-coincidence")
 
 

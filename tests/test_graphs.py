@@ -95,7 +95,7 @@ def points(n=400, seed=4):
 @pytest.mark.parametrize("min_samples", [2, 5])
 def test_dbscan(spark, min_samples):
     p = points()
-    got = cl.dbscan(spark.createDataFrame(p), F.col("x"), F.col("y"), "id", min_samples).toPandas().sort_values("id")
+    got = cl.dbscan(spark.createDataFrame(p), [F.col("x"), F.col("y")], "id", min_samples).toPandas().sort_values("id")
     d = (p.x.to_numpy()[:, None] - p.x.to_numpy()[None]) ** 2 + (p.y.to_numpy()[:, None] - p.y.to_numpy()[None]) ** 2 <= 1.0
     core = d.sum(1) >= min_samples
     lab = labels_of(len(p), [(i, j) for i, j in zip(*np.nonzero(d)) if core[i] and core[j]])
