@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscan.functions import wavelet as wv
+from emberscan.functions.arrays import energy as energy_of
 from emberscan.functions.arrays import survivors
 from emberscan.operators.scan import SLAB, lookup_join, range_slabs, scan_slabs
 
@@ -58,6 +59,15 @@ def normalised_energy(energy: Column, sigma: Column) -> Column:
     return F.when(good, energy / (sigma * sigma))
 
 
+def energy_diagnostics(triggers: DataFrame, sigma: str = "sigma") -> DataFrame:
+    """Norm, energy and count of the stored coefficients, and how far the statistic is from theirs."""
+    t = triggers.withColumn("wavelet_energy", energy_of(F.col("wt_value")))
+    t = t.withColumn("wavelet_l2", F.sqrt("wavelet_energy")).withColumn(
+        "nActiveCoeff", F.size(F.filter("wt_value", lambda v: v != 0)))
+    t = t.withColumn("EnWDF_from_coeff", F.when(F.col(sigma) > 0, F.col("wavelet_l2") / F.col(sigma)))
+    return t.withColumn("EnWDF_residual", F.col("EnWDF") - F.col("EnWDF_from_coeff"))
+
+
 def _fold(items: Column, f) -> Column:
     return F.aggregate(items, F.lit(0.0), lambda acc, t: acc + f(t))
 

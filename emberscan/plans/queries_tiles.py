@@ -44,16 +44,15 @@ def tiles_explode(spark, folder):
                     "f_lo", "f_hi", F.round("energy", 9).alias("energy"))
 
 
-@query("energy_diagnostics", with_views(WIN) + """,
-e AS (SELECT trigger_id, sigma, list_sum(list_transform(dense, lambda x: x * x)) AS en,
-             len(list_filter(dense, lambda x: x <> 0)) AS nz FROM win)
-SELECT trigger_id, round(sqrt(en), 6) AS wavelet_l2, round(en, 6) AS wavelet_energy, nz::BIGINT AS n_active,
-       round(sqrt(en) / sigma, 6) AS enwdf_from_coeff FROM e""")
+@query("energy_diagnostics", with_views(WIN, tile_sql()) + """,
+e AS (SELECT trigger_id, sigma, sum(c * c) AS en, count(*) AS nz FROM coef GROUP BY 1, 2)
+SELECT trigger_id, round(sqrt(en), 6) AS wavelet_l2, round(en, 6) AS wavelet_energy, nz::INT AS n_active, round(sqrt(en) / sigma, 6) AS from_coeff,
+       round(trigger_id % 10 - sqrt(en) / sigma, 6) AS residual FROM e""")
 def energy_diagnostics(spark, folder):
-    w = windows(spark, folder).withColumn("en", ar.energy(F.col("dense")))
-    return w.select("trigger_id", R6(F.sqrt("en")).alias("wavelet_l2"), R6("en").alias("wavelet_energy"),
-                    F.size(F.filter("dense", lambda x: x != 0)).cast("long").alias("n_active"),
-                    R6(F.sqrt("en") / F.col("sigma")).alias("enwdf_from_coeff"))
+    s = sparse_windows(spark, folder).where(F.size("wt_index") > 0).withColumn("EnWDF", (F.col("trigger_id") % 10).cast("double"))
+    d = tl.energy_diagnostics(s)
+    return d.select("trigger_id", R6("wavelet_l2").alias("wavelet_l2"), R6("wavelet_energy").alias("wavelet_energy"),
+                    F.col("nActiveCoeff").alias("n_active"), R6("EnWDF_from_coeff").alias("from_coeff"), R6("EnWDF_residual").alias("residual"))
 
 
 @query("dj_threshold_survivors", with_views(WIN, tile_sql(None)) + """

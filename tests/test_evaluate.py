@@ -163,6 +163,14 @@ def test_schedules_and_schema_guards(spark):
         clean.temporal_split(frame(spark, gps_candidate=[1.0, 1.0])).collect()
 
 
+def test_window_lengths_and_energy_fallback(spark):
+    one = frame(spark, id=[1, 2], n_coeff=[64, 64], EnWDF=[3.0, 4.0])
+    assert clean.single_window_length(one).count() == 2
+    with pytest.raises(Exception, match="mix window lengths"):
+        clean.single_window_length(frame(spark, id=[1, 2], n_coeff=[64, 128])).collect()
+    assert [r.e for r in one.select(clean.coefficient_energy(one).alias("e")).collect()] == [9.0, 16.0]
+
+
 def test_logistic_baseline_and_anomaly(spark, tmp_path):
     rng = np.random.default_rng(1)
     n = 400
