@@ -17,7 +17,7 @@ from emberscan.operators.components import component_labels, label_rows
 from emberscan.operators.rangejoin import neighbour_pairs, overlap_join
 from emberscan.operators.scan import islands, lookup_join
 from emberscan.operators.tiles import bands_touch
-from emberscan.session import cut_lineage
+from emberscan.session import cut_lineage, ship_package
 
 # --- percolation over tiles ---------------------------------------------------
 
@@ -344,6 +344,7 @@ def greedy(triggers: DataFrame, time: str, frequency: str, row_id: str, time_eps
                     labels.append(rid)
             yield pd.DataFrame({row_id: batch[row_id], "cluster_id": labels})
 
+    ship_package(triggers.sparkSession)
     kind = triggers.schema[row_id].dataType.simpleString()
     labels = cut_lineage(streamed.mapInPandas(merge, f"{row_id} {kind}, cluster_id {kind}"))
     sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))

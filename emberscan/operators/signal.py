@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from emberscan.functions import dsp
 from emberscan.functions.arrays import synthesis_weight
 from emberscan.operators.scan import attach, exact_quantiles, lookup_join
-from emberscan.session import cut_lineage
+from emberscan.session import cut_lineage, ship_package
 
 # What a broadcast table may hold.
 BROADCAST_BYTES = 64 << 20
@@ -36,6 +36,7 @@ def with_halo(chunks: DataFrame, length: int, before: int, after: int, keys: Seq
     """
     keys = list(keys)
     back, ahead = ceil(before / length), ceil(after / length)
+    ship_package(chunks.sparkSession)
     # Offset o: this chunk is o places before (negative: after) the receiver.
     offsets = F.explode(F.sequence(F.lit(-ahead), F.lit(back)))
     o = F.col("_o")
@@ -280,6 +281,7 @@ def search(windows: DataFrame, fs: float, threshold: float, bases: Sequence[str]
     One filter bank per basis over a bounded block of windows; rows stay where they are.
     """
     names = tuple(bases)
+    ship_package(windows.sparkSession)
 
     @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ':', 1) for f in search_schema().split(', '))}>")
     def transform(x: pd.Series) -> pd.DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,29 @@ def local_session(cpus: int = 8, partitions: int = 8, memory: str = "8g") -> Spa
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application.
+
+    Functions that run in a worker import it there, and a worker sees neither
+    the driver's path nor its folder. Spark serves the archive from the driver.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='emberscan-package-')}/emberscan", "zip",
+                                  root_dir=package.parent, base_dir=package.name)
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; make one only for a local run."""
     sc = spark.sparkContext

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberscan.functions import dsp
 from emberscan.operators.signal import search
+from emberscan.session import ship_package
 
 
 def online_coincidence(left: DataFrame, right: DataFrame, window_s: float, late: str = "10 minutes") -> DataFrame:
@@ -99,6 +100,7 @@ class _Front:
 
 def _online(chunks: DataFrame, kernel: Sequence[float], ahead: int, factor: int, take, column: str) -> DataFrame:
     taps = np.asarray(kernel, dtype=float)
+    ship_package(chunks.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         front = _Front(taps, ahead, factor, state.get if state.exists else None)
