@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscan.llm import langid, minhash, packing, rules, token_cache
+from emberscan.llm import langid, minhash, packing, rules, suffixes, token_cache
 from emberscan.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashConfig(words=4))
+
+
+@query("op8_suffixes")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberscan.session import ensure_checkpoint_dir, ship_package
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession) -> str:
     """The shared scratch folder: the one the cluster names, or a temporary one in a local run."""
@@ -26,7 +28,13 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write `df` to shared storage and read it back: lineage ends here, and a lost executor costs only a re-read."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    # What the write shuffled is not needed again once the table stands.
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
