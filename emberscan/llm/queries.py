@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscan.llm import langid, minhash, packing, rules, suffixes, token_cache
+from emberscan.llm import langid, links, minhash, packing, quantised, rules, suffixes, token_cache
 from emberscan.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffixes")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op4_product_quantisation")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_link_graph")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.judge(table(spark, sf_dir, "pages"))
