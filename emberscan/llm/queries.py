@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscan.llm import langid, links, minhash, packing, quantised, rules, suffixes, token_cache
+from emberscan.llm import chat, langid, links, minhash, mixing, packing, quantised, rules, suffixes, token_cache
 from emberscan.llm.store import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_link_graph")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op1_chat_roles")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op7_soft_mixing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
