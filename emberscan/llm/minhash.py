@@ -15,7 +15,7 @@ from emberscan.llm.graph import components
 from emberscan.llm.store import prepare, written
 
 #: Rows of one list that are compared in one task; longer lists are compared block by block.
-BLOCK = 256
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -148,19 +148,48 @@ def _alike_in_size(n: str, m: str, percent: int) -> F.Column:
 
 def _compare_blocks(config: MinHashConfig):
     def compare(key, table):
-        """Pairs of two blocks of one list, of different components, that agree in enough coordinates."""
-        _, one, two = (k.as_py() for k in key)
+        """Links between two blocks of one list that join components, as a forest: one row for each two that meet.
+
+        A pair is looked at in the first of the lists it shares, if its components differ, its sizes allow the similarity
+        and its signatures agree in enough coordinates; then its full sets are compared.
+        """
+        spot, one, two = (k.as_py() for k in key)
         table = table.combine_chunks()
-        block, rep, comp, n = (table.column(c).to_numpy() for c in ("block", "rep", "comp", "n"))
-        tokens = np.stack(table.column("tokens").to_numpy(zero_copy_only=False)).view(np.uint64)
+        block, rep, n = (table.column(c).to_numpy() for c in ("block", "rep", "n"))
+        comp = table.column("comp").to_numpy().copy()
+        tokens = np.stack(table.column("tokens").to_numpy(zero_copy_only=False)).astype(np.uint32)
+        lists = [np.array(x) for x in table.column("lists").to_pylist()]
+        # The lists below this one that a member is in, as a padded table.
+        lists = [np.sort(x[x < spot]) for x in lists]
+        width = max(1, *map(len, lists))
+        before = np.stack([np.concatenate((x, np.full(width - len(x), np.iinfo(np.int64).max))) for x in lists])
+        blobs = table.column("shingles").to_pylist()
+        sizes = np.array([len(x) // 8 for x in blobs])
         left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
         a, b = [], []
         for i in left.tolist():
             others = right[rep[right] > rep[i]] if one == two else right
             others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= config.percent * np.maximum(n[others], n[i]))]
             others = others[(tokens[others] == tokens[i]).sum(axis=1) >= config.matches]
-            a += [rep[i]] * len(others)
-            b += rep[others].tolist()
+            if len(lists[i]) and len(others):
+                others = others[~np.isin(before[others], lists[i]).any(axis=1)]
+            if not len(others):
+                continue
+            own = np.frombuffer(blobs[i], np.uint64)
+            for lo in range(0, len(others), 128):
+                some = others[lo:lo + 128]
+                # Links found meanwhile may have joined some of them.
+                some = some[comp[some] != comp[i]]
+                if not len(some):
+                    continue
+                flat = np.frombuffer(b"".join([blobs[j] for j in some.tolist()]), np.uint64)
+                met = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(met.astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+                for j in some[100 * both >= config.percent * (sizes[i] + sizes[some] - both)].tolist():
+                    if comp[j] != comp[i]:
+                        a.append(rep[i])
+                        b.append(rep[j])
+                        comp[comp == comp[j]] = comp[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return compare
 
@@ -177,8 +206,8 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     2. Classes are posted under the prefix of their signature (`_posted`).
     3. In every list each member is compared with the list's first one, the best such pair of a class first; pairs
        whose ends are linked already are skipped. A group of n near copies so costs about n comparisons, not n squared.
-    4. Lists that still hold more than one component are compared whole, in blocks, across components only; pairs that
-       agree in `matches` coordinates are retained.
+    4. Lists that still hold more than one component are compared whole, in blocks, across components only, each pair in
+       the first list it shares; pairs that agree in `matches` coordinates are retained, and a block sends on a forest.
     Every link, of step 3 or 4, is confirmed on the two full sets.
 
     Defined results: a text without words, or NULL, has an empty set and is linked with nothing; a text of fewer words
@@ -212,18 +241,20 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
         labels = written(components(links), "labels")
 
     members = written(_with_components(posted.join(lists.select("token"), "token"), labels, "rep", "comp"), "members")
-    # Many coordinates of one group give the same list; one of them is enough.
-    unfinished = members.groupBy("token").agg(
+    open_lists = members.groupBy("token").agg(
         F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("digest"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    unfinished = unfinished.where("lo != hi").groupBy("size", "digest").agg(F.min("token").alias("token"))
-    unfinished = written(unfinished.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "unfinished")
-    if not unfinished.isEmpty():
-        dealt = (members.join(unfinished, "token").join(reps.select("rep", "tokens"), "rep")
+    open_lists = written(open_lists.where("lo != hi").drop("lo", "hi"), "open")
+    if not open_lists.isEmpty():
+        # Many coordinates of one group give the same list; it is compared under the least of its tokens.
+        one_of = open_lists.groupBy("size", "digest").agg(F.min("token").alias("spot"))
+        spots = written(open_lists.join(one_of, ["size", "digest"]).select("token", "spot", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "spots")
+        placed = members.join(spots, "token").groupBy("rep", "n", "comp").agg(F.collect_set(F.struct("spot", "blocks")).alias("spots"))
+        whole = placed.join(reps.select("rep", "tokens"), "rep").join(sets, "rep").withColumn("lists", F.col("spots.spot"))
+        dealt = (whole.withColumn("at", F.explode("spots")).withColumn("spot", F.col("at.spot")).withColumn("blocks", F.col("at.blocks")).drop("at", "spots")
                  .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
                  .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .withColumn("one", F.least("block", "with")).withColumn("two", F.greatest("block", "with")))
-        found = dealt.groupBy("token", "one", "two").applyInArrow(_compare_blocks(config), "a long, b long").distinct()
-        rest = written(confirmed(written(found, "pairs"), sets, config.percent), "links")
+        rest = written(dealt.groupBy("spot", "one", "two").applyInArrow(_compare_blocks(config), "a long, b long"), "links")
         if not rest.isEmpty():
             labels = written(components(links.unionByName(rest)), "labels")
 
