@@ -15,6 +15,8 @@ from emberscan.llm.store import prepare, written
 
 #: Turns that one task decodes together; longer conversations are decoded in blocks, and blocks of blocks.
 BLOCK = 64
+#: Added to block numbers, so that those of negative turns are not negative and blocks of blocks always come to one.
+LOWEST = 1 << 60
 
 # Names that transcripts give their speakers, by what they usually stand for.
 MARKERS = {
@@ -22,8 +24,9 @@ MARKERS = {
     "assistant": ("assistant", "ai", "bot", "agent", "answer", "a", "model", "gpt"),
     "system": ("system", "instruction", "instructions", "context"),
 }
-_MARKER = re.compile(r"^\s*(?:\*\*|\[|<\|?|#+\s*)?(" + "|".join(sorted((m for names in MARKERS.values() for m in names), key=len, reverse=True))
-                     + r")(?:\*\*|\]|\|?>)?\s*[:>\]]\s*(?:\*\*)?\s*", re.IGNORECASE)
+_NAMES = "|".join(sorted((m for names in MARKERS.values() for m in names), key=len, reverse=True))
+_SPEAKER = rf"(?:\*\*|\[|<\|?|#+\s*)?({_NAMES})(?:(?:\*\*)?\s*:|\|?>|\]\s*:?)"
+_MARKER = re.compile(rf"^\s*{_SPEAKER}\s*(?:\*\*)?\s*", re.IGNORECASE)
 _KIND = {name: 1 + k for k, names in enumerate(MARKERS.values()) for name in names}
 
 #: Values of each feature: marker, length, lines, question mark.
@@ -97,13 +100,12 @@ def _blocked(turns: DataFrame) -> DataFrame:
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     key = F.when(alone, F.concat(F.lit("-"), F.sha2(F.concat_ws("\x01", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)))
     return rows.withColumn("chain", F.coalesce(key, F.col("conv_id").cast("string"))).withColumn(
-        "block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(0)).cast("long"))
+        "block", F.coalesce(F.floor(F.col("turn") / BLOCK) + F.lit(LOWEST), F.lit(0)).cast("long"))
 
 
 def split_transcripts(raw: DataFrame) -> DataFrame:
     """`conv_id, turn, text` from one text per conversation, cut before marked lines and at empty ones."""
-    names = "|".join(sorted(_KIND, key=len, reverse=True))
-    parts = F.split("text", rf"\n(?i)(?=\s*(?:\*\*|\[|<\|?|#+\s*)?(?:{names})(?:\*\*|\]|\|?>)?\s*[:>\]])|\n\s*\n")
+    parts = F.split("text", rf"\n(?i)(?=\s*{_SPEAKER})|\n\s*\n")
     return raw.select("conv_id", F.posexplode(F.filter(parts, lambda p: F.trim(p) != "")).alias("turn", "text"))
 
 

@@ -154,20 +154,21 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> Data
     comes from the largest eigenvalue of the domains' moments, another few numbers.
     """
     k = len(targets)
-    scale = np.maximum(np.array(targets, float), 1e-9)
     p = [F.col("posterior")[i] for i in range(k)]
-    moments = rows.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+    moments = rows.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)),
+                       *(F.coalesce(F.sum(F.col("n_tokens") * p[i]), F.lit(0.0)).alias(f"mass{i}") for i in range(k))).first()
+    # Misses are measured against what a domain has now, which keeps the problem well conditioned whatever the targets.
+    scale = np.maximum(np.array([moments[f"mass{i}"] for i in range(k)]), 1e-9)
     gram = np.array([[moments[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / np.sqrt(np.outer(scale, scale))
     largest = float(np.linalg.eigvalsh(gram).max())
     current = rows.withColumn("rate", F.lit(1.0))
     if not largest > 0:
         return current
-    # Rates take their step in units of sqrt(scale); a length below 2 / largest converges, 1.8 does so quickly.
-    length = 1.8 / largest
+    length = 1 / largest
     for step in range(1, steps + 1):
         totals = current.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * p[i]).alias(f"t{i}") for i in range(k))).first()
         miss = np.array([totals[f"t{i}"] for i in range(k)]) - np.array(targets)
-        if np.abs(miss / scale).max() < TOLERANCE:
+        if np.abs(miss).max() < TOLERANCE * max(targets):
             break
         shift = sum((p[i] * float(length * miss[i] / scale[i]) for i in range(k)), F.lit(0.0))
         current = current.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - shift))
