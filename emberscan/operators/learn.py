@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberscan.functions.intervals import finite
+from emberscan.operators.clean import require
 from emberscan.operators.coherence import EDGE_FEATURES
 from emberscan.operators.scan import lookup_join
 
@@ -19,9 +20,7 @@ BASELINE_FEATURES = (*EDGE_FEATURES, "network_min_enwdf", "network_enwdf")
 
 
 def _checked(table: DataFrame, features: Sequence[str]) -> DataFrame:
-    missing = [f for f in features if f not in table.columns]
-    if missing:
-        raise KeyError(f"the candidate table carries no {missing}")
+    require(table, features, "features")
     clean = {f: F.when(finite(F.col(f).cast("double")), F.col(f).cast("double")).otherwise(F.lit(0.0)) for f in features}
     return table.withColumns({f"_f_{f}": e for f, e in clean.items()})
 
@@ -41,12 +40,12 @@ def _scored(rows: DataFrame, model: PipelineModel, features: Sequence[str], pref
 
 def balanced_weight(table: DataFrame, label: str) -> DataFrame:
     """Weights that give both classes the same total; one class alone is refused."""
-    counts = {r[0]: r[1] for r in table.groupBy(F.col(label).cast("int")).count().limit(3).collect()}
-    if set(counts) != {0, 1}:
-        raise ValueError("the labels carry a single class, so no ranking can be fitted")
-    total = sum(counts.values())
-    weight = F.when(F.col(label) == 1, F.lit(total / (2.0 * counts[1]))).otherwise(F.lit(total / (2.0 * counts[0])))
-    return table.withColumn("_weight", weight)
+    of = F.col(label).cast("int")
+    seen = table.agg(F.count_if(of == 1).alias("ones"), F.count_if(of == 0).alias("zeros"), F.count("*").alias("rows")).first()
+    if not seen["ones"] or not seen["zeros"] or seen["ones"] + seen["zeros"] < seen["rows"]:
+        raise ValueError(f"{seen['rows']} labels with {seen['ones']} ones and {seen['zeros']} zeros tell no two classes apart")
+    half = seen["rows"] / 2.0
+    return table.withColumn("_weight", F.when(of == 1, half / seen["ones"]).otherwise(half / seen["zeros"]))
 
 
 class LogisticBaseline:

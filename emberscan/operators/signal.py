@@ -32,9 +32,13 @@ def with_halo(chunks: DataFrame, length: int, before: int, after: int, keys: Seq
 
     Each chunk sends its edge to the chunks within reach. A chunk whose
     neighbours are missing -- the ends of the series, a gap -- gets a shorter
-    halo, told by `n_before` and `n_after`.
+    halo, told by `n_before` and `n_after`. A chunk of fewer than `length`
+    samples is where a series breaks off: it takes from those before it, gives
+    to them, and nothing joins up across its end.
     """
     keys = list(keys)
+    fits = F.assert_true(F.size("samples") <= length, "a chunk is longer than the stated length")
+    chunks = chunks.withColumn("_ok", fits).where(F.col("_ok").isNull()).drop("_ok")
     back, ahead = ceil(before / length), ceil(after / length)
     ship_package(chunks.sparkSession)
     # Offset o: this chunk is o places before (negative: after) the receiver.
@@ -44,14 +48,14 @@ def with_halo(chunks: DataFrame, length: int, before: int, after: int, keys: Seq
     from_past = F.slice("samples", F.greatest(F.lit(1), F.lit(1 - before) + o * length), length)
     reach_ahead = F.greatest(F.lit(0), F.least(F.lit(length), F.lit(after) - (-o - 1) * length))
     piece = F.when(o == 0, F.col("samples")).when(o > 0, from_past).otherwise(F.slice("samples", 1, reach_ahead))
-    sent = chunks.withColumn("_o", offsets).select(*keys, (F.col("chunk") + o).alias("chunk"), o.alias("_o"), piece.alias("_x"))
+    sent = chunks.withColumn("_o", offsets).select(*keys, (F.col("chunk") + o).alias("chunk"), o.alias("_o"), piece.alias("_x"), (F.size("samples") == length).alias("_whole"))
     # A receiver holds at most one piece per offset, a number fixed by the filter.
-    got = sent.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct((-F.col("_o")).alias("at"), "_x"))).alias("_p"))
+    got = sent.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct((-F.col("_o")).alias("at"), "_x", F.col("_whole").alias("whole")))).alias("_p"))
     here = F.filter("_p", lambda p: p["at"] == 0)
     # Pieces only count while they join up with the chunk itself.
-    have = F.transform("_p", lambda p: p["at"])
-    past = F.filter("_p", lambda p: (p["at"] < 0) & F.forall(F.sequence(p["at"], F.lit(0)), lambda k: F.array_contains(have, k)))
-    next_ = F.filter("_p", lambda p: (p["at"] > 0) & F.forall(F.sequence(F.lit(0), p["at"]), lambda k: F.array_contains(have, k)))
+    whole = F.transform(F.filter("_p", lambda p: p["whole"]), lambda p: p["at"])
+    past = F.filter("_p", lambda p: (p["at"] < 0) & F.forall(F.sequence(p["at"], F.lit(-1)), lambda k: F.array_contains(whole, k)))
+    next_ = F.filter("_p", lambda p: (p["at"] > 0) & F.forall(F.sequence(F.lit(0), p["at"] - 1), lambda k: F.array_contains(whole, k)))
     join = lambda ps: F.flatten(F.transform(ps, lambda p: p["_x"]))
     got = got.where(F.size(here) > 0)
     return got.select(
@@ -186,9 +190,10 @@ def fit_ar(chunks: DataFrame, length: int, order: int, keys: Sequence[str] = ("i
 
     @F.pandas_udf("struct<sigma:double,poly:array<double>,reflection:array<double>>")
     def solve(r: pd.Series) -> pd.DataFrame:
-        fits = [dsp.levinson(v, order) for v in r]
-        return pd.DataFrame({"sigma": [float(np.sqrt(max(e, 0.0))) for _, e, _ in fits],
-                             "poly": [p for p, _, _ in fits], "reflection": [k for _, _, k in fits]})
+        if r.empty:
+            return pd.DataFrame({"sigma": [], "poly": [], "reflection": []})
+        poly, error, reflection = dsp.levinson(np.stack(r.to_list()), order)
+        return pd.DataFrame({"sigma": np.sqrt(np.maximum(error, 0.0)), "poly": list(poly), "reflection": list(reflection)})
 
     return rows.withColumn("_m", solve("_r")).select(*keys, "_m.sigma", "_m.poly", "_m.reflection")
 
@@ -222,9 +227,11 @@ def whiten(chunks: DataFrame, length: int, model: DataFrame, mode: str = "zero_p
 
 
 def colour(chunks: DataFrame, length: int, model: DataFrame, taps: int, keys: Sequence[str] = ("ifo",)) -> DataFrame:
-    """Undo `forward` whitening: the model's own response, cut to `taps` where it has died away."""
+    """Undo `forward` whitening by the model's own response, which must have died away within `taps` samples."""
     def response(p: np.ndarray) -> np.ndarray:
-        h = dsp.inverse_response(p)[:taps]
+        h = dsp.inverse_response(p)
+        if h.size > taps:
+            raise ValueError(f"the model's response takes {h.size} taps, more than the {taps} given")
         return np.concatenate([h, np.zeros(taps - h.size)])
     kernels = cut_lineage(_kernel_from_model(model, response).select(*keys, "kernel"))
     return fir_by_key(chunks, kernels, length, taps - 1, 0, keys)

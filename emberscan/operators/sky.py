@@ -33,15 +33,22 @@ def localise(arrivals: DataFrame, n_ra: int = 360, n_dec: int = 180, key: str =
     The earliest detector is the reference. The arrivals are spread by candidate
     once; the cells a candidate is unrolled into and their sum stay where it is,
     so the sky -- a fixed number of rows per candidate -- is never shuffled.
+    Refused are detectors without a site, candidates of one detector, and
+    arrivals without a time or a positive spread: their sky would be made up.
     """
     sites = sites_table(arrivals.sparkSession)
     # Few and small rows that become many: their size would not tell adaptive
     # execution to keep them apart, so the number of partitions is given.
     spread = arrivals.repartition(shuffle_partitions(arrivals.sparkSession), key)
-    a = spread.withColumn("ifo", F.upper("ifo")).join(F.broadcast(sites), on="ifo")
+    a = spread.withColumn("ifo", F.upper("ifo")).join(F.broadcast(sites), on="ifo", how="left")
+    known = F.assert_true(F.col("x").isNotNull(), "an arrival is at a detector whose site is not known")
+    timed = F.assert_true(F.coalesce((F.col("spread") > 0) & ~F.isnan("gps"), F.lit(False)), "an arrival has no time or no positive spread")
+    a = a.withColumn("_ok", F.coalesce(known, timed)).where(F.col("_ok").isNull()).drop("_ok")
     hit = F.struct(F.col("gps").alias("gps"), F.col("ifo").alias("ifo"), F.col("spread").alias("s"), "x", "y", "z")
     # As many entries as there are detectors on Earth.
-    per = a.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("_h")).where(F.size("_h") >= 2)
+    per = a.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("_h"))
+    paired = F.assert_true(F.size("_h") >= 2, "a candidate has arrivals at one detector only")
+    per = per.withColumn("_ok", paired).where(F.col("_ok").isNull()).drop("_ok")
     per = per.withColumn("_ref", F.col("_h")[0]).withColumn("_angle", sidereal_angle(F.col("_h")[0]["gps"]))
     turn_c, turn_s = F.cos("_angle"), F.sin("_angle")
     ref = F.col("_ref")

@@ -238,9 +238,10 @@ def on_band_rows(tiles: DataFrame, ladder: DataFrame) -> DataFrame:
 
 
 def band_mask(tiles: DataFrame, ladder: DataFrame, keys: Sequence[str] = TRIGGER_KEYS) -> DataFrame:
-    """One bit per occupied band row; the ladder must fit a long."""
+    """One bit per occupied band row; a ladder of more than 64 bands does not fit and is refused."""
     bit = F.expr("shiftleft(1L, cast(row as int))")
-    return on_band_rows(tiles, ladder).groupBy(*keys).agg(F.bit_or(bit).alias("band_mask"))
+    fits = F.assert_true(F.col("row") < 64, "the ladder has more than 64 bands")
+    return on_band_rows(tiles, ladder).withColumn("_ok", fits).where(F.col("_ok").isNull()).drop("_ok").groupBy(*keys).agg(F.bit_or(bit).alias("band_mask"))
 
 
 def bands_touch(left: Column, right: Column, adjacency: int = 1) -> Column:

@@ -28,11 +28,17 @@ def read_samples(spark: SparkSession, path: str, ifo: str | None = None, start:
 
 
 def rechunk(samples: DataFrame, length: int, keys: tuple[str, ...] = ("ifo",)) -> DataFrame:
-    """`(keys, n, value)` to full chunks of `length` samples; a gap drops the chunk it falls in."""
+    """`(keys, n, value)` to chunks of `length` samples; where a series breaks off, its last chunk is shorter.
+
+    A chunk that begins late or has a hole cannot be told by its number alone and is refused; start a new key there.
+    """
     at = F.floor(F.col("n") / length)
     # A chunk is `length` entries by definition.
     grouped = samples.groupBy(*keys, at.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("_s"))
-    return grouped.where(F.size("_s") == length).select(*keys, "chunk", F.transform("_s", lambda s: s["value"]).alias("samples"))
+    first, last = F.col("_s")[0]["n"], F.element_at("_s", -1)["n"]
+    solid = (first == F.col("chunk") * length) & (last - first + 1 == F.size("_s"))
+    told = F.assert_true(solid, "a chunk begins late or has a hole")
+    return grouped.withColumn("_ok", told).where(F.col("_ok").isNull()).select(*keys, "chunk", F.transform("_s", lambda s: s["value"]).alias("samples"))
 
 
 def save_model(model: DataFrame, path: str) -> None:

@@ -62,22 +62,28 @@ def _row_reader(spark: SparkSession):
 
 def read_triggers(spark: SparkSession, path: str | list[str], ifo: str | None = None, pattern: str = "*.parquet",
                   foreign: bool = False) -> DataFrame:
-    """Triggers under a path, measurements as doubles and NaN as NULL.
+    """Triggers under run folders, measurements as doubles and NaN as NULL.
 
-    With `foreign`, the files are read once by the row reader and kept in the
+    A run is a folder of files, or what `write_triggers` made: there, `ifo` and `n_coeff` are folders, which a filter on
+    them prunes. With `foreign`, the files are read once by the row reader and kept in the
     checkpoint folder; write them with `write_triggers` to be rid of the detour.
     """
     from emberscan.session import cut_lineage
 
     paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    found = set(reader.parquet(*paths).columns)
-    missing = {"wt_index", "wt_value"} - found
-    if missing:
-        raise ValueError(f"these are not trigger files: no column {sorted(missing)}")
-    raw = reader.schema(T.StructType([f for f in TRIGGER if f.name in found]
-                                     + [T.StructField(c, T.StringType()) for c in ("ifo",) if c in found])).parquet(*paths)
-    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
+    reader = spark.read.option("pathGlobFilter", pattern)
+    runs = [reader.parquet(p) for p in paths]
+    for run in runs:
+        lacking = {"wt_index", "wt_value"} - set(run.columns)
+        if lacking:
+            raise ValueError(f"these are not trigger files: no column {sorted(lacking)}")
+    own = {f.name: f for f in [*TRIGGER, T.StructField("ifo", T.StringType())]}
+    raw = None
+    for path_, run in zip(paths, runs, strict=True):
+        kept = T.StructType([own[c] for c in run.columns if c in own])
+        part = reader.schema(kept).parquet(path_).withColumn("_file", F.col("_metadata.file_path"))
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    found = set(raw.columns)
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in (*TIMES, *MEASURED) if c in found}
     out = raw.withColumns(clean)
     if foreign:
@@ -95,8 +101,10 @@ def with_stride(triggers: DataFrame, folder: str) -> DataFrame:
         .json(folder).select((F.col("window") - F.col("overlap")).alias("_hop"), (F.col("sampling") / F.col("ResamplingFactor")).alias("_rate"),
                              F.regexp_extract(F.col("_metadata.file_path"), r"-Win(\d+)\.json", 1).alias("_win"),
                              F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("_dir")))
-    t = triggers.withColumn("_win", F.regexp_extract("_file", WINDOW_IN_NAME, 1)).withColumn(
-        "_dir", F.regexp_extract("_file", r"^(.*)/[^/]*$", 1))
+    # A file's window is in its name, or is its partition; its run is the folder above, or above the partitions.
+    named = F.regexp_extract("_file", WINDOW_IN_NAME, 1)
+    t = triggers.withColumn("_win", F.when(named != "", named).otherwise(F.col("n_coeff").cast("string"))).withColumn(
+        "_dir", F.regexp_extract("_file", r"^(.*?)(?:/[^/=]+=[^/]*)*/[^/]*$", 1))
     # One sidecar per run and window length.
     joined = t.join(beside, on=["_dir", "_win"], how="left")
     told = F.assert_true(F.col("_rate").isNotNull() & (F.col("_hop") > 0), "a trigger file has no usable run parameters beside it")

@@ -120,3 +120,12 @@ def test_greedy_follows_the_sequential_rule(spark):
         for *_, members in groups:
             want = members[0] if len(members) >= 2 else -1
             assert all(got[m] == want for m in members)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_ties_go_to_the_same_pairs_at_every_size(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(g, i, j, float(rng.integers(1, 3)) if g else 1.0) for g in range(3) for i in range(n) for j in range(n + 1) if g < 2 or rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "g long, l long, r long, c double")
+    chosen = [sorted(map(tuple, assign_one_to_one(df, ["g"], "l", "r", "c", local_edges=k).select("g", "l", "r").collect())) for k in (0, 3, 5000)]
+    assert chosen[0] == chosen[1] == chosen[2]

@@ -25,10 +25,14 @@ def test_triggers_round_trip(spark, tmp_path):
     df = tr.triggers_from_records(spark, records(), "H1").unionByName(tr.triggers_from_records(spark, records(20), "L1"))
     path = str(tmp_path / "out")
     tr.write_triggers(df, path)
-    back = spark.read.parquet(path)
+    back = tr.read_triggers(spark, path)
     assert back.count() == 70 and back.where("ifo = 'L1'").count() == 20
-    plan = back.where("ifo = 'L1'")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(ifo" in plan
+    plan = back.where("ifo = 'L1' and n_coeff = 64")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ifo" in plan and "n_coeff" in plan.split("PartitionFilters")[1].split("]")[0]
+    columns = [c for c in df.columns if c not in tr.MEASURED]
+    assert sorted(map(repr, back.select(columns).collect())) == sorted(map(repr, df.select(columns).collect()))
+    (tmp_path / "out" / "parametersUsed-Win64.json").write_text(json.dumps(dict(window=64, overlap=16, sampling=8192, ResamplingFactor=4)))
+    assert {r.stride for r in tr.with_stride(back, path).select("stride").collect()} == {48 / 2048}
 
 
 def test_bad_indices_are_refused(spark, tmp_path):
@@ -76,7 +80,10 @@ def test_samples_and_models(spark, tmp_path):
     sm.write_samples(c, str(tmp_path / "s"))
     assert sm.read_samples(spark, str(tmp_path / "s"), "H1", 5.0, 9.0).select("chunk").distinct().count() == 3
     long_ = c.select("ifo", (F.col("chunk") * 4).alias("b"), F.posexplode("samples").alias("i", "value")).select("ifo", (F.col("b") + F.col("i")).alias("n"), "value")
-    assert sm.rechunk(long_.where("n <> 17"), 8).count() == 9
+    with pytest.raises(Exception, match="has a hole"):
+        sm.rechunk(long_.where("n <> 17"), 8).collect()
+    short = sm.rechunk(long_.where("n < 77"), 8)
+    assert sorted(r.n for r in short.select(F.size("samples").alias("n")).collect()) == [5] + [8] * 9
     model = spark.createDataFrame([("H1", 1.0, [1.0, -0.5])], "ifo string, sigma double, poly array<double>")
     sm.save_model(model, str(tmp_path / "m"))
     assert sm.load_model(spark, str(tmp_path / "m")).first().poly == [1.0, -0.5]
