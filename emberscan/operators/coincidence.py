@@ -149,8 +149,26 @@ def one_to_one_candidates(left: DataFrame, right: DataFrame, config: Coincidence
         F.sqrt(F.greatest(sa * sb, F.lit(0.0))).alias("network_geometric_enwdf"), F.lit(2).alias("n_ifos"))
 
 
+def by_detector_pair(events: DataFrame, ifos: Sequence[str], name: str = "pair") -> tuple[DataFrame, DataFrame]:
+    """The left and right events of every detector pair, with the pair as a column to join within.
+
+    A detector is in as many pairs as there are other detectors, which bounds the copies of an event.
+    """
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in combinations(ifos, 2)])
+    rows = events.withColumn("_p", F.explode(pairs))
+    side = lambda c: rows.where(F.col("ifo") == F.col(f"_p.{c}")).withColumn(name, F.concat_ws(",", "_p.a", "_p.b")).drop("_p")
+    return side("a"), side("b")
+
+
 def pairwise_network(events: DataFrame, ifos: Sequence[str], config: CoincidenceConfig) -> DataFrame:
-    """`one_to_one_candidates` of every detector pair, tagged with the pair."""
+    """`one_to_one_candidates` of every detector pair, tagged with the pair.
+
+    With a stated travel time all pairs are one job, the pair being a key; otherwise each pair has a tolerance of its own.
+    """
+    if config.light_travel_time_s is not None:
+        left, right = by_detector_pair(events, ifos, "ifos_involved")
+        found = one_to_one_candidates(left, right, config, (), ["ifos_involved"])
+        return found.select(*[c for c in found.columns if c != "ifos_involved"], "ifos_involved")
     found = None
     for a, b in combinations(ifos, 2):
         rows = one_to_one_candidates(events.where(F.col("ifo") == a), events.where(F.col("ifo") == b), config, (a, b))

@@ -17,6 +17,14 @@ from emberscan.plans.views import SPAN_S, TRIG, WIN, table, triggers, windows, w
 R6 = lambda c: F.round(c, 6)
 
 
+# All detectors of the table; cross-detector queries join within every pair of them.
+IFOS = ("click", "error", "purchase", "signup", "view")
+
+
+def detector_pairs(spark, folder, *columns):
+    return co.by_detector_pair(triggers(spark, folder).select("ifo", *columns), IFOS)
+
+
 def detector(spark, folder, ifo):
     return triggers(spark, folder).where(F.col("ifo") == ifo)
 
@@ -31,29 +39,28 @@ def neighbour_pairs(spark, folder):
 
 
 @query("cross_pairs", with_views(TRIG) + """
-SELECT a.id AS id_l, b.id AS id_r FROM trig a JOIN trig b ON a.ifo = 'click' AND b.ifo = 'view'
+SELECT a.id AS id_l, b.id AS id_r FROM trig a JOIN trig b ON a.ifo < b.ifo
 AND b.gps >= a.gps - 90.0 AND b.gps <= a.gps + 90.0""")
 def cross_pairs(spark, folder):
-    a, b = (detector(spark, folder, i).select("id", "gps") for i in ("click", "view"))
-    return rj.cross_pairs(a, b, "gps", "gps", 90.0).select("id_l", "id_r")
+    a, b = detector_pairs(spark, folder, "id", "gps")
+    return rj.cross_pairs(a, b, "gps", "gps", 90.0, ["pair"]).select("id_l", "id_r")
 
 
 @query("interval_pairs", with_views(TRIG) + """
-SELECT a.id AS id_l, b.id AS id_r FROM trig a JOIN trig b ON a.ifo = 'click' AND b.ifo = 'view'
+SELECT a.id AS id_l, b.id AS id_r FROM trig a JOIN trig b ON a.ifo < b.ifo
 AND b."gpsStart" BETWEEN a."gpsStart" - 20.0 AND a."gpsEnd" """)
 def interval_pairs(spark, folder):
-    a = detector(spark, folder, "click").select("id", "gpsStart", "gpsEnd")
-    b = detector(spark, folder, "view").select("id", "gpsStart")
-    return rj.interval_pairs(a, b, ("gpsStart", "gpsEnd"), "gpsStart", 20.0).select("id_l", "id_r")
+    a, b = detector_pairs(spark, folder, "id", "gpsStart", "gpsEnd")
+    return rj.interval_pairs(a, b.drop("gpsEnd"), ("gpsStart", "gpsEnd"), "gpsStart", 20.0, ["pair"]).select("id_l", "id_r")
 
 
 @query("overlapping_extents", with_views(TRIG) + """
-SELECT a.id AS id_l, b.id AS id_r FROM trig a JOIN trig b ON a.ifo = 'error' AND b.ifo = 'signup'
+SELECT a.id AS id_l, b.id AS id_r FROM trig a JOIN trig b ON a.ifo < b.ifo
 AND a."gpsStart" <= b."gpsEnd" AND b."gpsStart" <= a."gpsEnd" """)
 def overlapping_extents(spark, folder):
-    a, b = (detector(spark, folder, i).select("id", "gpsStart", "gpsEnd") for i in ("error", "signup"))
+    a, b = detector_pairs(spark, folder, "id", "gpsStart", "gpsEnd")
     span = ("gpsStart", "gpsEnd")
-    return rj.overlap_join(a, b, span, span).select("id_l", "id_r")
+    return rj.overlap_join(a, b, span, span, ["pair"]).select("id_l", "id_r")
 
 
 @query("points_inside_extents", with_views(TRIG) + """
@@ -139,12 +146,11 @@ def assignment_1to1(spark, folder):
 @query("pairwise_network")
 def pairwise_network(spark, folder):
     t = triggers(spark, folder)
-    return co.pairwise_network(t, ["click", "view", "error"], CONFIG)
+    return co.pairwise_network(t, IFOS, CONFIG)
 
 
-IFOS = ("click", "error", "view")
 NETWORK = """
-nodes AS (SELECT * FROM trig WHERE ifo IN ('click', 'error', 'view')),
+nodes AS (SELECT * FROM trig),
 nedge AS (SELECT a.id AS s, b.id AS d FROM nodes a JOIN nodes b ON a.ifo <> b.ifo AND abs(a.gps - b.gps) <= 60.0),
 cc(id, comp) USING KEY (id) AS (
   SELECT id, id AS comp FROM nodes
@@ -157,10 +163,11 @@ mem AS (SELECT n.*, cc.comp FROM nodes n JOIN cc ON cc.id = n.id)"""
 SELECT comp AS component, round(sum(gps * "EnWDF") / sum("EnWDF"), 5) AS gps_candidate, string_agg(DISTINCT ifo, ',' ORDER BY ifo) AS ifos_involved,
        round(sqrt(sum("EnWDF" * "EnWDF")), 6) AS network_enwdf, count(DISTINCT ifo)::INT AS n_ifos, count(*)::BIGINT AS n_triggers_in_candidate,
        max("EnWDF") FILTER (WHERE ifo = 'click') AS enwdf_click, max("EnWDF") FILTER (WHERE ifo = 'error') AS enwdf_error,
+       max("EnWDF") FILTER (WHERE ifo = 'purchase') AS enwdf_purchase, max("EnWDF") FILTER (WHERE ifo = 'signup') AS enwdf_signup,
        max("EnWDF") FILTER (WHERE ifo = 'view') AS enwdf_view
 FROM mem GROUP BY comp HAVING count(DISTINCT ifo) >= 2""")
 def network_components(spark, folder):
-    t = triggers(spark, folder).where(F.col("ifo").isin(*IFOS))
+    t = triggers(spark, folder)
     pairs = {(a, b): 60.0 for a in IFOS for b in IFOS if a < b}
     c = co.network_candidates(t, IFOS, pairs)
     return c.select("component", F.round("gps_candidate", 5).alias("gps_candidate"), "ifos_involved",
