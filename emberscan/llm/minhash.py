@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberscan.llm.batches import Joined, chunks, mix, shingles
 from emberscan.llm.graph import components
-from emberscan.llm.store import prepare, written
+from emberscan.llm.store import prepare, workspace, written
 
 #: Rows of one list that are compared in one task; longer lists are compared block by block.
 BLOCK = 1024
@@ -215,8 +215,12 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     `doc_id` is linked with nothing (component NULL, not kept); an empty table gives an empty result; other columns are
     ignored. `kept` marks the least document of each component.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    with workspace(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, config))
+
+
+def _near_duplicates(docs: DataFrame, config: MinHashConfig) -> DataFrame:
+    prepare(docs.sparkSession)
     rows = written(described(docs, config), "signatures")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")

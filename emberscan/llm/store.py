@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,6 +12,8 @@ from emberscan.session import ensure_checkpoint_dir, ship_package
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
 
 def folder(spark: SparkSession) -> str:
     """The shared scratch folder: the one the cluster names, or a temporary one in a local run."""
@@ -35,9 +39,52 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
+    for paths in _open:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Working tables written inside are deleted at the end. What is yielded writes a table that stays.
+
+    Only for operators that hand back such a table: nothing may still read the others then.
+    """
+    paths: list[str] = []
+    stays: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = written(df, "result")
+        stays.append(paths[-1])
+        return out
+
+    _open.append(paths)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+    _delete(spark, [p for p in paths if p not in stays])
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a working table that nothing reads any more."""
+    _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
+
+
 def prepare(spark: SparkSession) -> None:
-    """Call first in an operator that runs Python on the executors."""
+    """Call first in an operator that runs Python on the executors: ships the package, and keeps what a task is handed
+    at a time to some megabytes of text, on both sides of the pipe."""
     ship_package(spark)
+    for name, most in ARROW_LIMITS.items():
+        stated = spark.conf.get(name)
+        if not (stated.isdigit() and 0 < int(stated) <= most):
+            spark.conf.set(name, str(most))

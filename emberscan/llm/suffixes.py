@@ -17,15 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberscan.llm.batches import Joined, chunks, mix
-from emberscan.llm.store import prepare, written
+from emberscan.llm.store import discard, prepare, workspace, written
 
 LENGTH = 50
 GRAM = 24
 #: Longer texts are worked on in pieces of this size that overlap by a window less one byte.
 SEGMENT = 4 << 20
 #: Anchors, and bytes of runs, that a task holds before it sends them on.
-HELD_ANCHORS = 1 << 21
-HELD_BYTES = 1 << 25
+HELD_ANCHORS = 1 << 19
+HELD_BYTES = 1 << 23
 #: Bytes of text for each bucket of sorted suffixes, up to so many buckets.
 BUCKET_BYTES = 4 << 20
 MAX_BUCKETS = 1 << 16
@@ -390,8 +390,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     loses nor takes anything; rows that repeat an id and text are judged alike; an empty table gives an empty result;
     other columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    with workspace(docs.sparkSession) as keep:
+        return keep(_repeated_bytes(docs, length, with_text))
+
+
+def _repeated_bytes(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_id"))
     digests = written(base.select(
@@ -419,18 +423,19 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
 
     answers = (rows.select("text_id", "text").mapInArrow(_anchored(splitters, length), _ANCHOR_DDL)
                .groupBy("bucket").applyInArrow(_shared_anchors, _COVER_DDL))
-    wanted = written(answers.groupBy("text_id").agg(F.collect_list("payload").alias("anchors")), "anchors")
-    wanted = wanted.join(classes.select("text_id", "rep"), "text_id").select(F.col("rep").alias("doc_id"), "text_id", "rep", "anchors")
+    found = written(answers.groupBy("text_id").agg(F.collect_list("payload").alias("anchors")), "anchors")
+    wanted = found.join(classes.select("text_id", "rep"), "text_id").select(F.col("rep").alias("doc_id"), "text_id", "rep", "anchors")
     runs = written(rows.join(wanted, ["doc_id", "text_id"]).select("text_id", "rep", "text", "anchors")
                    .mapInArrow(_compared_runs(splitters, length), _RUN_DDL), "runs")
+    discard(found)
     # One row per bucket comes to the driver, MAX_BUCKETS at most.
     weights = {r["bucket"]: r["weight"] for r in runs.where("text_id is null").groupBy("bucket").agg(F.sum("weight").alias("weight")).collect()}
     usual = max(1, sum(weights.values()) // max(1, len(weights)))
     large = {b: -(-w // usual) for b, w in weights.items() if w > 2 * usual}
-    if large:
-        runs = runs.mapInArrow(_split_windows(large, length), _RUN_DDL)
-    covers = runs.groupBy("bucket", "sub").applyInArrow(_judge_bucket(length), _COVER_DDL)
+    judged = runs if not large else runs.mapInArrow(_split_windows(large, length), _RUN_DDL)
+    covers = judged.groupBy("bucket", "sub").applyInArrow(_judge_bucket(length), _COVER_DDL)
     covers = written(covers.groupBy("text_id").agg(F.collect_list("payload").alias("covers")), "covers")
+    discard(runs)
     named = covers.join(classes.select("text_id", "rep"), "text_id").select(F.col("rep").alias("doc_id"), "text_id", "covers")
     schema = "text_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     cut = written(rows.join(named, ["doc_id", "text_id"]).select("text_id", "text", "covers")
