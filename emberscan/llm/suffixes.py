@@ -58,18 +58,33 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _places(texts: list[bytes], length: int) -> Iterator[tuple[int, int]]:
+    """Row and offset of each piece."""
+    for row, text in enumerate(texts):
+        for base in range(0, max(1, len(text) - length + 1), SEGMENT):
+            yield row, base
+
+
 class Segments(Joined):
     """Texts, long ones in overlapping pieces, with the row and the offset that each piece comes from."""
 
-    def __init__(self, texts: list[bytes], length: int):
-        rows, bases, pieces = [], [], []
-        for row, text in enumerate(texts):
-            for base in range(0, max(1, len(text) - length + 1), SEGMENT):
-                rows.append(row)
-                bases.append(base)
-                pieces.append(text[base:base + SEGMENT + length - 1])
-        super().__init__(pieces)
-        self.rows, self.bases = np.array(rows, np.int64), np.array(bases, np.int64)
+    def __init__(self, texts: list[bytes], length: int, places: list[tuple[int, int]] | None = None):
+        places = list(_places(texts, length)) if places is None else places
+        super().__init__([texts[row][base:base + SEGMENT + length - 1] for row, base in places])
+        self.rows, self.bases = (np.array([x[k] for x in places], np.int64) for k in (0, 1))
+
+    @classmethod
+    def of(cls, texts: list[bytes], length: int) -> Iterator[Segments]:
+        """The pieces of all texts, about `SEGMENT` bytes at a time, so that no array grows with the length of a text."""
+        held, size = [], 0
+        for row, base in _places(texts, length):
+            held.append((row, base))
+            size += min(SEGMENT, len(texts[row]) - base)
+            if size >= SEGMENT:
+                yield cls(texts, length, held)
+                held, size = [], 0
+        if held:
+            yield cls(texts, length, held)
 
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Anchor, first window, number of windows, and print of the anchor's 24 bytes, for each run."""
@@ -77,6 +92,8 @@ class Segments(Joined):
         none = np.empty(0, np.int64)
         if size < length:
             return none, none, none, np.empty(0, np.uint64)
+        if size > int(_LOW):
+            raise ValueError("positions have 24 bits: take long texts by Segments.of")
         at = np.arange(size - GRAM + 1)
         prints = self.fingerprints(at, at + GRAM)
         # The print's upper bits order, the position's 24 bits break ties to the left: equal windows agree on both.
@@ -192,14 +209,14 @@ def _anchored(splitters: Splitters, length: int):
         held, count = [], 0
         for batch in batches:
             for part, texts in chunks(batch):
-                segments = Segments(texts, length)
-                anchors, first, _, prints = segments.runs(length)
                 ids = part.column("text_id").to_numpy()
-                held.append((prints, segments.leads(anchors), ids[segments.rows[segments.owner(first)]]))
-                count += len(prints)
-                if count >= HELD_ANCHORS:
-                    yield settle(held)
-                    held, count = [], 0
+                for segments in Segments.of(texts, length):
+                    anchors, first, _, prints = segments.runs(length)
+                    held.append((prints, segments.leads(anchors), ids[segments.rows[segments.owner(first)]]))
+                    count += len(prints)
+                    if count >= HELD_ANCHORS:
+                        yield settle(held)
+                        held, count = [], 0
         if count:
             yield settle(held)
     return run
@@ -267,31 +284,31 @@ def _compared_runs(splitters: Splitters, length: int):
         held, chars, size = [], [], 0
         for batch in batches:
             for part, texts in chunks(batch):
-                segments = Segments(texts, length)
-                anchors, first, counts, prints = segments.runs(length)
-                owner = segments.owner(first)
-                rows = segments.rows[owner]
                 shared = [np.frombuffer(b"".join(x), np.uint64) for x in part.column("anchors").to_pylist()]
                 salt = mix(np.arange(len(texts), dtype=np.uint64) + _U(1))
                 mine = np.sort(np.concatenate([s ^ salt[k] for k, s in enumerate(shared)])) if shared else np.empty(0, np.uint64)
-                asked = prints ^ salt[rows]
-                keep = np.zeros(len(asked), bool)
-                if len(mine):
-                    keep = mine[np.minimum(np.searchsorted(mine, asked), len(mine) - 1)] == asked
-                anchors, first, counts, prints, owner, rows = (x[keep] for x in (anchors, first, counts, prints, owner, rows))
-                sizes = counts + length - 1
-                ends = np.cumsum(sizes)
-                total = int(ends[-1]) if len(ends) else 0
-                places = np.repeat(first - (ends - sizes), sizes) + np.arange(total)
-                starts = first - segments.starts[owner] + segments.bases[owner]
-                marks = segments.fingerprints(first, first + sizes) ^ mix(counts.astype(np.uint64))
-                held.append((marks, segments.leads(anchors), prints, part.column("text_id").to_numpy()[rows],
-                             part.column("rep").to_numpy()[rows], starts, counts, size + ends - sizes))
-                chars.append(segments.bytes[places])
-                size += total
-                if size >= HELD_BYTES:
-                    yield settle(held, chars)
-                    held, chars, size = [], [], 0
+                ids, docs = part.column("text_id").to_numpy(), part.column("rep").to_numpy()
+                for segments in Segments.of(texts, length):
+                    anchors, first, counts, prints = segments.runs(length)
+                    owner = segments.owner(first)
+                    rows = segments.rows[owner]
+                    asked = prints ^ salt[rows]
+                    keep = np.zeros(len(asked), bool)
+                    if len(mine):
+                        keep = mine[np.minimum(np.searchsorted(mine, asked), len(mine) - 1)] == asked
+                    anchors, first, counts, prints, owner, rows = (x[keep] for x in (anchors, first, counts, prints, owner, rows))
+                    sizes = counts + length - 1
+                    ends = np.cumsum(sizes)
+                    total = int(ends[-1]) if len(ends) else 0
+                    places = np.repeat(first - (ends - sizes), sizes) + np.arange(total)
+                    starts = first - segments.starts[owner] + segments.bases[owner]
+                    marks = segments.fingerprints(first, first + sizes) ^ mix(counts.astype(np.uint64))
+                    held.append((marks, segments.leads(anchors), prints, ids[rows], docs[rows], starts, counts, size + ends - sizes))
+                    chars.append(segments.bytes[places])
+                    size += total
+                    if size >= HELD_BYTES:
+                        yield settle(held, chars)
+                        held, chars, size = [], [], 0
         if held:
             yield settle(held, chars)
     return run
@@ -411,11 +428,11 @@ def _repeated_bytes(docs: DataFrame, length: int, with_text: bool) -> DataFrame:
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in chunks(batch):
-                segments = Segments(texts, length)
-                anchors, _, _, prints = segments.runs(length)
-                some = prints % _U(64) == 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)) for x in (segments.leads(anchors[some]), prints[some])], ["lead", "print"])
+                for segments in Segments.of(texts, length):
+                    anchors, _, _, prints = segments.runs(length)
+                    some = prints % _U(64) == 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x.view(np.int64)) for x in (segments.leads(anchors[some]), prints[some])], ["lead", "print"])
 
     share = min(1.0, SAMPLE / max(1, total["n"]))
     sample = rows.select("text").sample(share, seed=17).mapInArrow(sampled, "lead long, print long").collect()

@@ -100,6 +100,18 @@ def test_long_texts_are_cut_with_an_overlap(monkeypatch):
     assert windows(parts) == windows(whole) == list(range(len(text) - 49))
 
 
+def test_passages_behind_16_mib_of_a_text_are_found(spark):
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    long = letters[rng.integers(0, 27, 17 << 20)].tobytes().decode()
+    early, late = long[1000:1400], long[-5000:-4600]
+    docs = spark.createDataFrame([(1, f"{early} {late}"), (2, long)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffixes.repeated_bytes(docs, with_text=True).collect()}
+    assert got[1]["n_removed"] == 0
+    assert got[2]["n_removed"] in range(800, 804) and got[2]["n_spans"] == 2
+    assert early not in got[2]["kept_text"] and late not in got[2]["kept_text"]
+
+
 def test_splitters_keep_equal_keys_together():
     rng = np.random.default_rng(2)
     leads, prints = rng.integers(0, 4, 5000).astype(np.uint64), rng.integers(0, 50, 5000).astype(np.uint64)
