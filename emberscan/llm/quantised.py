@@ -16,13 +16,11 @@ from emberscan.llm.store import prepare, written
 THRESHOLD = 0.93
 #: Vectors the centroids and codebooks are fitted on, at most; every vector is indexed.
 SAMPLE = 20_000
-#: Vectors per coarse list aimed at, and bounds on the number of lists.
+#: Vectors of a label per coarse list aimed at, and bounds on the number of lists.
 PER_LIST = 800
 MAX_LISTS = 1024
 SUBSPACES = 8
 CODES = 64
-#: Lists are probed as far as a linked vector may lie beyond the border to them, in deviations of a random direction.
-DEVIATIONS = 4.0
 #: Indexed vectors, and queries, that meet in one task.
 BLOCK = 1024
 
@@ -62,8 +60,8 @@ class Quantiser:
         own, squares = self.nearest(x)
         apart = np.linalg.norm(self.centres[own][:, None] - self.centres[None], axis=2)
         beyond = (squares - squares[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-        # A random shift of length `reach` moves across a border by reach / sqrt(size) on average.
-        return own, beyond <= reach * min(1.0, DEVIATIONS / np.sqrt(self.size))
+        # All of a list lies on its side of the border, so nothing nearer than the border can be there.
+        return own, beyond <= reach + 1e-9
 
     def encode(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and how far the decoded residual is off."""
@@ -161,8 +159,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     1. Equal vectors of a label are one class; only classes are compared, links count copies.
     2. Coarse centroids and residual codebooks are fitted on a sample of at most `SAMPLE` classes. Every class is indexed
-       in its nearest list, and asks its own and each later list that a linked vector may be in (`Quantiser.probes`:
-       four deviations across the border; tests measure the recall).
+       in its nearest list, and asks its own and each later list that a linked vector may be in (`Quantiser.probes`: the
+       border is no further than a linked vector, so no link is lost).
     3. A list, however long, meets its queries in blocks. In a block, distances to the codes are looked up in tables of
        each query; the error of a code is added to the reach, so the look-up loses nothing. What passes is reranked by
        the exact cosine in double precision.
@@ -178,7 +176,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = written(rows.mapInArrow(_prepared, "vec_id long, label string, unit binary, digest binary"), "units")
     usable = rows.where("unit is not null and label is not null and vec_id is not null")
     classes = written(usable.groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "classes")
-    count = classes.count()
+    # Lists are kept by label, so the largest label says how many there should be.
+    count = classes.groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     lists = int(min(MAX_LISTS, max(4, count // PER_LIST)))
     # A bounded sample comes to the driver; its order is that of a hash, so it does not depend on the layout.
     sample = classes.select("unit").orderBy(F.xxhash64("rep")).limit(SAMPLE).collect()

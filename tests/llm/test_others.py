@@ -161,6 +161,25 @@ def test_recall_of_borderline_pairs():
     assert (near <= reach + error[:500] + 1e-9).all()
 
 
+@pytest.mark.parametrize(("size", "rank"), [(64, 4), (256, 8), (768, 20)])
+def test_no_pair_is_lost_where_vectors_have_few_dimensions(size, rank):
+    rng = np.random.default_rng(12)
+    basis = np.linalg.qr(rng.normal(size=(size, rank)))[0]
+    x = rng.normal(size=(3000, rank))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.9301 * x + np.sqrt(1 - 0.9301 ** 2) * side
+    x, y = x @ basis.T, y @ basis.T
+    model = quantised.Quantiser(size, x, 64)
+    reach = np.sqrt(2 - 2 * 0.93)
+    own_x, probe_x = model.probes(x, reach)
+    own_y, probe_y = model.probes(y, reach)
+    k = np.arange(len(x))
+    assert np.where(own_x <= own_y, probe_x[k, own_y], probe_y[k, own_x]).all()
+
+
 def test_vectors_of_the_shared_table(spark, folder):
     rows = [(r["vec_id"], list(r["embedding"]), r["label"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     n, comps = exact_links(rows)
