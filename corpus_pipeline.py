@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberscan.llm import langid, minhash, mixing, packing, suffixes
 from emberscan.llm.store import written
+from emberscan.operators import scan
 
 #: Texts whose nearest language is not at least so near are in none of the learned languages.
 LEAST_COSINE = 0.03
@@ -24,11 +25,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least. Of rows that repeat an id, one stays."""
-    judged = written(minhash.near_duplicates(docs).select("doc_id", "kept"), "judged")
-    rows = docs.join(judged.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    repeated = not judged.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty()
-    return rows.dropDuplicates(["doc_id"]) if repeated else rows
+    """One document of each group of near-duplicates: the least. Rows with equal id and text are one document, rows that
+    share only the id are different ones. A row without an id is not kept, whatever its text."""
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    named = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id"), key.alias("_key")).agg(F.count("*").alias("_rows"))
+    named = written(named, "named")
+    if named.groupBy("_id").count().where("count > 1").isEmpty():
+        kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+        kept = written(named.join(kept, "_id", "left_semi").select("_key"), "kept")
+    else:
+        # The operator takes an id for one document, so each document gets its place in the order of ids for one.
+        ranked = written(scan.prefix_scan(named.withColumn("_one", F.lit(1)), [], ["_id", "_key"], sums={"_place": "_one"}).select("_key", "_place"), "ranked")
+        texts = docs.select(key.alias("_key"), "text").join(ranked, "_key").select(F.col("_place").cast("long").alias("doc_id"), "text")
+        kept = minhash.near_duplicates(texts).where("kept").select(F.col("doc_id").alias("_place")).distinct()
+        kept = written(ranked.join(kept, "_place", "left_semi").select("_key"), "kept")
+    rows = docs.withColumn("_key", key).where("doc_id is not null").join(kept, "_key", "left_semi")
+    return (rows if named.where("_rows > 1").isEmpty() else rows.dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,3 +285,13 @@ def test_pipeline_stages_on_odd_rows(spark, folder):
     assert len(ids) == len(set(ids)) and 7 in ids and 40 not in ids and None not in ids
     cut = {r["doc_id"]: r for r in stages["repeated_passages"](spark, docs, folder).collect()}
     assert 40 not in cut and cut[7]["text"] == dict(texts)[7] and cut[201]["n_chars"] == len(cut[201]["text"])
+
+
+def test_different_texts_of_one_id_are_different_documents(spark, folder):
+    rng = random.Random(11)
+    one, two, three = (support.prose(rng, 60) for _ in range(3))
+    texts = [(1, one), (5, one), (5, two), (5, two), (6, two), (-9, three), (8, three + " end")]
+    docs = support.documents(spark, texts)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, folder)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted([(1, one), (5, two), (-9, three)])
