@@ -12,11 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberscan.llm.store import prepare, written
+from emberscan.operators import scan
 
 #: Turns that one task decodes together; longer conversations are decoded in blocks, and blocks of blocks.
 BLOCK = 64
-#: Added to block numbers, so that those of negative turns are not negative and blocks of blocks always come to one.
-LOWEST = 1 << 60
 
 # Names that transcripts give their speakers, by what they usually stand for.
 MARKERS = {
@@ -38,7 +37,7 @@ def observe(text: str | None) -> tuple[int, ...]:
     text = text or ""
     found = _MARKER.match(text)
     lines = sum(1 for line in text.split("\n") if line.strip())
-    return (_KIND[found[1].lower()] if found else 0, min(7, len(text).bit_length() // 2), min(3, lines), int("?" in text[-200:] or "¿" in text[:200]))
+    return (_KIND[found[1].lower()] if found else 0, min(7, len(text).bit_length() // 2), min(3, lines), int("?" in text or "¿" in text))
 
 
 def render(role: str, text: str | None) -> str:
@@ -92,15 +91,16 @@ def best_path(steps: np.ndarray, enter: int, leave: int) -> list[int]:
 
 
 def _blocked(turns: DataFrame) -> DataFrame:
-    """Each distinct turn once, with the conversation it is decoded in and its block there.
+    """Each distinct turn once, with the conversation it is decoded in, its rank there from 1, and its block of ranks.
 
     A turn without a conversation or a place in one stands alone: its key is made of itself.
     """
     rows = turns.groupBy("conv_id", "turn", "text").agg(F.count("*").alias("n_rows"), *([F.min("role").alias("role")] if "role" in turns.columns else []))
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     key = F.when(alone, F.concat(F.lit("-"), F.sha2(F.concat_ws("\x01", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256)))
-    return rows.withColumn("chain", F.coalesce(key, F.col("conv_id").cast("string"))).withColumn(
-        "block", F.coalesce(F.floor(F.col("turn") / BLOCK) + F.lit(LOWEST), F.lit(0)).cast("long"))
+    rows = rows.withColumn("alone", alone).withColumn("chain", F.coalesce(key, F.col("conv_id").cast("string")))
+    ranked = scan.prefix_scan(rows.withColumn("_one", F.lit(1)), ["chain"], ["turn", "text"], sums={"nth": "_one"})
+    return ranked.drop("_one").withColumn("block", F.floor((F.col("nth") - 1) / BLOCK).cast("long"))
 
 
 def split_transcripts(raw: DataFrame) -> DataFrame:
@@ -112,16 +112,22 @@ def split_transcripts(raw: DataFrame) -> DataFrame:
 def fit(turns: DataFrame) -> Hmm:
     """Count a model from turns with known roles; what reaches the driver is counts by role and feature value."""
     prepare(turns.sparkSession)
-    labelled = turns.where("role is not null").select("conv_id", F.col("turn").cast("long"), F.col("text").cast("string"), F.col("role").cast("string"))
-    rows = _blocked(labelled)
+    rows = _blocked(turns.select("conv_id", F.col("turn").cast("long"), F.col("text").cast("string"), F.col("role").cast("string")))
+    # The last turn of a block is also what comes before the next one.
+    last = rows.where(F.col("nth") % BLOCK == 0).withColumn("block", F.col("block") + 1)
+    rows = written(rows.withColumn("counts", F.lit(True)).unionByName(last.withColumn("counts", F.lit(False)).withColumn("text", F.lit(None).cast("string"))), "turns")
 
     def counted(table):
-        table = table.sort_by([("turn", "ascending"), ("text", "ascending")])
+        table = table.sort_by("nth")
         out: dict[tuple[str, str, int], int] = {}
         before = None
-        for turn, text, role in zip(table.column("turn").to_pylist(), table.column("text").to_pylist(), table.column("role").to_pylist(), strict=True):
-            # The pair across two blocks is left out; it is like those within.
-            if before is not None or turn == 0:
+        columns = (table.column(c).to_pylist() for c in ("turn", "text", "role", "nth", "alone", "counts"))
+        for turn, text, role, nth, alone, counts in zip(*columns, strict=True):
+            if role is None or not counts:
+                before = role
+                continue
+            # A turn without a conversation is the start of one only if its number says so.
+            if before is not None or (turn == 0 if alone else nth == 1):
                 key = ("move", before or "", 0, role)
                 out[key] = out.get(key, 0) + 1
             before = role
@@ -162,10 +168,9 @@ def decode(turns: DataFrame, model: Hmm) -> DataFrame:
     s = len(model.roles)
     slim = turns.select("conv_id", F.col("turn").cast("long"), F.col("text").cast("string"))
     rows = written(_blocked(slim), "turns")
-    order = [("turn", "ascending"), ("text", "ascending")]
 
     def summed(table):
-        table = table.sort_by(order)
+        table = table.sort_by("nth")
         matrix = chained(model.steps(table.column("text").to_pylist(), False))
         return pa.table({"chain": table.column("chain")[:1], "place": table.column("block")[:1], "matrix": pa.array([matrix.ravel().tolist()], pa.list_(pa.float64()))})
 
@@ -198,7 +203,7 @@ def decode(turns: DataFrame, model: Hmm) -> DataFrame:
     out_schema = rows.select("conv_id", "turn", "text", "n_rows").schema.add("role_pred", "string").add("rendered", "string")
 
     def decided(table):
-        table = table.sort_by(order)
+        table = table.sort_by("nth")
         texts = table.column("text").to_pylist()
         path = best_path(model.steps(texts, False), table.column("enter")[0].as_py(), table.column("leave")[0].as_py())
         roles = [model.roles[k] for k in path]

@@ -83,6 +83,15 @@ def test_chats_of_odd_rows(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_roles_are_learned_from_whole_texts_and_sparse_turns(spark):
+    assert chat.observe("what? " + "x" * 500)[3] == chat.observe("x" * 500 + "¿")[3] == 1
+    rows = [(c, 7 + 100 * k, ("user", "assistant")[k % 2], f"turn {k}", "", "", 1) for c in range(20) for k in range(70)]
+    model = chat.fit(spark.createDataFrame(rows, TURNS))
+    # From assistant, from user, and the start: 34 and 35 moves in each of 20 conversations.
+    counts = np.array([[0, 34 * 20], [35 * 20, 0], [0, 20]]) + 0.5
+    assert np.allclose(model.moves, np.log(counts / counts.sum(axis=1, keepdims=True)))
+
+
 def test_chat_roles_by_held_out_accuracy(spark, folder):
     got = queries.QUERIES["op1_chat_roles"](spark, folder)
     truth = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "text", "role").distinct()
