@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscan.llm import chat, langid, links, minhash, mixing, packing, quantised, rules, suffixes, token_cache
-from emberscan.llm.store import new_path
+from emberscan.llm import chat, langid, links, minhash, mixing, packing, quantised, rules, suffixes, token_cache, token_files
+from emberscan.llm.store import new_path, remove, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_soft_mixing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-files")
+    try:
+        token_files.write_tokens(table(spark, sf_dir, "documents"), folder, "byte_bpe_50k.json")
+        with workspace(spark) as keep:
+            return keep(token_files.read_digests(spark, folder))
+    finally:
+        remove(spark, folder)

@@ -75,6 +75,11 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
     _delete(spark, [p for p in paths if p not in stays])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an operator filled, if it is there."""
+    _delete(spark, [path])
+
+
 def discard(df: DataFrame) -> None:
     """Delete a working table that nothing reads any more."""
     _delete(df.sparkSession, sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}))
