@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscan.llm import chat, langid, links, minhash, mixing, packing, quantised, rules, suffixes, token_cache, token_files
+from emberscan.llm import chat, langid, links, minhash, mixing, packing, phrases, quantised, rules, suffixes, token_cache, token_files
 from emberscan.llm.store import new_path, remove, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,32 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
             return keep(token_files.read_digests(spark, folder))
     finally:
         remove(spark, folder)
+
+
+@query("op11_phrases", """
+    WITH texts AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+    worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pieces),
+    sized AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM worded),
+    runs AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM sized),
+    counted AS (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+    candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE size > 1 AND f >= 30),
+    cuts AS (SELECT lang, phrase, a, w, unnest(range(1, size)) AS k FROM candidates),
+    scored AS (
+        SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, ((2000000::HUGEINT * c.a) // (l.f + r.f))::BIGINT AS score
+        FROM cuts c
+        JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+        JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_sizes AS (SELECT lang, w, a, size, unnest(range(2, size)) AS s FROM candidates),
+    covers AS (SELECT lang, unnest(list_transform(range(1, size - s + 2), lambda i: array_to_string(w[i:i + s - 1], ' '))) AS phrase, a AS f FROM inner_sizes),
+    covered AS (SELECT lang, phrase, max(f) AS f FROM covers GROUP BY ALL),
+    kept AS (SELECT b.* FROM best b LEFT JOIN covered v ON v.lang = b.lang AND v.phrase = b.phrase
+             WHERE v.f IS NULL OR 100::HUGEINT * v.f < 80::HUGEINT * b.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
