@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberscan.llm import chat, langid, links, minhash, mixing, packing, phrases, quantised, rules, suffixes, token_cache, token_files
+from emberscan.llm import chat, langid, links, minhash, mixing, packing, phrases, quantised, repair, rules, suffixes, token_cache, token_files
 from emberscan.llm.store import new_path, remove, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    with workspace(spark) as keep:
+        return keep(repair.repair_report(repair.damage(conversations), conversations))
