@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscan.llm.batches import LOWER, Joined, chunks, mix
+from emberscan.llm.batches import Joined, chunks, mix
 from emberscan.llm.store import prepare, workspace, written
 from emberscan.operators.scan import attach
 
@@ -36,7 +36,9 @@ SHARD_LIMIT = 96 << 20
 #: A small corpus is mined in so many shards at least, if it has as many input splits.
 LEAST_SHARDS = 12
 #: Bytes of text whose words are found together.
-TEXT_CHUNK = 4 << 20
+TEXT_CHUNK = 2 << 20
+#: Parts of a shard's phrases that are sorted one after the other.
+SLICES = 8
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -63,15 +65,14 @@ class PhraseConfig:
 
 
 def _stretches(text: bytes) -> Iterator[bytes]:
-    """A text in stretches of some megabytes, cut where a piece ends."""
+    """A text in stretches of some megabytes; no word is cut."""
     start = 0
     while len(text) - start > TEXT_CHUNK:
         stop = start + TEXT_CHUNK
-        # The first end of a piece from there on; a piece itself is never cut.
         while stop < len(text):
-            ends = np.flatnonzero(_ENDS_PIECE[np.frombuffer(text[stop:stop + TEXT_CHUNK], np.uint8)])
+            ends = np.flatnonzero(_ENDS_WORD[np.frombuffer(text[stop:stop + TEXT_CHUNK], np.uint8)])
             if len(ends):
-                stop += int(ends[0]) + 1
+                stop += int(ends[0])
                 break
             stop += TEXT_CHUNK
         yield text[start:stop]
@@ -84,66 +85,78 @@ class Shard:
 
     def __init__(self):
         self.size = 0
+        #: Whether the last piece is over.
+        self.ended = True
         self._coded: list[pa.DictionaryArray] = []
-        self._langs: list[np.ndarray] = []
         self._breaks: list[np.ndarray] = []
-        self.lang_names: dict[str, int] = {}
-        self.totals: list[int] = []
+        self.totals: dict[str, int] = {}
 
-    def add(self, langs: list[str], texts: list[bytes], totals: list[int]) -> None:
-        """Texts, their languages, and how many words the corpus has in each of those."""
+    def add(self, langs: list[str], texts: list[bytes], totals: list[int], continues: bool = False) -> None:
+        """Texts, their languages, and how many words the corpus has in each of those.
+
+        With `continues`, the one text goes on where the last one stopped.
+        """
         self.size += sum(map(len, texts))
+        self.totals |= dict(zip(langs, totals, strict=True))
         joined = Joined(texts, lower=True)
         inside = ~_ENDS_WORD[joined.bytes]
         starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
+        ends = np.flatnonzero(inside & np.concatenate((~inside[1:], [True]))) + 1
+        # The newline that ends every text ends a piece, but for the last one, which may go on.
+        piece_ends = np.flatnonzero(_ENDS_PIECE[joined.bytes[:-1]])
+        before_first = starts[0] if len(starts) else len(joined.bytes)
+        self.ended = not continues or self.ended or bool(len(piece_ends) and piece_ends[0] < before_first)
         if not len(starts):
             return
-        ends = np.flatnonzero(inside & np.concatenate((~inside[1:], [True]))) + 1
+        if not self.ended:
+            self._breaks[-1][-1] = False
+        self.ended = bool(len(piece_ends) and piece_ends[-1] >= ends[-1])
+        # A word is cut off from the next one if a piece ends between them.
+        after = np.searchsorted(piece_ends, ends[:-1])
+        self._breaks.append(np.append(after != np.searchsorted(piece_ends, starts[1:]), True))
+
         offsets = np.concatenate(([0], np.cumsum(ends - starts)))
         letters = joined.bytes[inside]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-        self._coded.append(words.dictionary_encode())
-        # A word is cut off from the next one if a piece ends between them; every text ends with a newline.
-        pieces = np.concatenate(([0], np.cumsum(_ENDS_PIECE[joined.bytes], dtype=np.int32)))
-        self._breaks.append(np.concatenate((pieces[starts[1:]] != pieces[ends[:-1]], [True])))
-        for name, total in zip(langs, totals, strict=True):
-            if name not in self.lang_names:
-                self.lang_names[name] = len(self.totals)
-                self.totals.append(total)
-        codes = np.fromiter((self.lang_names[x] for x in langs), np.int32, len(langs))
-        self._langs.append(codes[joined.owner(starts)])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        named = pa.array([x.encode() for x in langs], pa.large_binary()).dictionary_encode()
+        spelled = words.dictionary
+        pairs = named.indices.to_numpy()[joined.owner(starts)].astype(np.int64) * len(spelled) + words.indices.to_numpy()
+        distinct, numbers = np.unique(pairs, return_inverse=True)
+        # No word holds a newline, so it marks where the language begins.
+        both = pc.binary_join_element_wise(spelled.take(pa.array(distinct % len(spelled))), named.dictionary.take(pa.array(distinct // len(spelled))), pa.scalar(b"\n", pa.large_binary()))
+        self._coded.append(pa.DictionaryArray.from_arrays(pa.array(numbers.astype(np.int32)), both))
 
     def close(self) -> bool:
         """Number the words of all that was added. False if there are none."""
         if not self._coded:
             return False
         unified = pa.chunked_array(self._coded).unify_dictionaries()
-        values = unified.chunk(0).dictionary
-        codes = np.concatenate([c.indices.to_numpy() for c in unified.chunks]).astype(np.int64)
-        langs = np.concatenate(self._langs)
+        self._coded = []
+        both = unified.chunk(0).dictionary
+        self.words = np.concatenate([c.indices.to_numpy() for c in unified.chunks]).astype(np.int32)
         self.breaks = np.concatenate(self._breaks)
-        self._coded, self._langs, self._breaks = [], [], []
-        pairs, numbers, self.counts = np.unique(langs * np.int64(len(values)) + codes, return_inverse=True, return_counts=True)
-        self.words = numbers.astype(np.int32)
-        self.lang = (pairs // len(values)).astype(np.int32)
-        self.names = list(self.lang_names)
-        self.texts = values.take(pa.array(pairs % len(values)))
-        spelled, named = values.to_pylist(), [x.encode() for x in self.names]
-        prints = [Joined(x) for x in (spelled, named)]
-        of_word, of_lang = (j.fingerprints(j.starts, j.ends) for j in prints)
-        self.hashes = mix(of_word[pairs % len(values)] ^ mix(of_lang[self.lang] + _STEP))
+        self._breaks = []
+        self.counts = np.bincount(self.words, minlength=len(both))
+        split = pc.split_pattern(both.cast(pa.large_string()), "\n", max_splits=1)
+        self.texts = pc.list_element(split, 0)
+        named = pc.list_element(split, 1).dictionary_encode()
+        self.names, self.lang = named.dictionary.to_pylist(), named.indices.to_numpy().astype(np.int32)
+        edges = np.frombuffer(both.buffers()[1], np.int64)[both.offset:both.offset + len(both) + 1]
+        held = Joined([both.buffers()[2].to_pybytes() if edges[-1] else b""])
+        self.hashes = held.fingerprints(edges[:-1], edges[1:])
         return True
 
     def language_words(self) -> np.ndarray:
         return np.bincount(self.lang, weights=self.counts, minlength=len(self.names)).astype(np.int64)
 
+    def language_totals(self) -> np.ndarray:
+        return np.array([self.totals[x] for x in self.names], np.int64)
+
 
 @dataclass
 class Level:
-    """Phrases of one length: where they start, and for each distinct one its first word, its hash and its count."""
+    """Distinct phrases of one length: where one of each starts, its hash, and how often it occurs."""
 
-    at: np.ndarray
-    number: np.ndarray
     example: np.ndarray
     hashes: np.ndarray
     counts: np.ndarray
@@ -153,38 +166,41 @@ def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.n
     """Apriori inside a shard: phrases of kept words, each extended only if both phrases inside it were kept.
 
     `keep(first_words, hashes, counts)` says which distinct phrases stay. Phrases are numbered exactly: a longer one is the
-    number of the shorter one it begins with and its last word.
+    number of the shorter one it begins with and its last word. They are told apart `SLICES` times a part of them, by that
+    number, so that no more than a part is sorted at a time.
     """
-    kept_at = keep_word[shard.words]
-    at = np.flatnonzero(kept_at)
-    number, hashes = shard.words.astype(np.int64), shard.hashes
-    alive = np.zeros(len(shard.words) + 1, bool)
-    alive[at] = True
-    spot = number
+    alive = keep_word[shard.words]
+    spot, hashes = shard.words, shard.hashes
     for size in range(2, longest + 1):
         # The phrase one word on must be alive too, and no piece may end inside.
-        ends = at + size - 1
-        fits = ends < len(shard.words)
-        at, ends = at[fits], ends[fits]
-        fits = alive[at + 1] & ~shard.breaks[ends - 1]
-        at, ends = at[fits], ends[fits]
-        if not len(at):
+        reach = len(shard.words) - size + 1
+        if reach <= 0:
             return
-        distinct, first, number, counts = np.unique(spot[at] << np.int64(32) | shard.words[ends], return_index=True, return_inverse=True, return_counts=True)
-        example = at[first]
-        own = mix(hashes[distinct >> np.int64(32)] * _STEP + shard.hashes[distinct & np.int64(0xFFFFFFFF)] + _U(size))
-        stays = keep(shard.words[example], own, counts)
-        if not stays.any():
+        at = np.flatnonzero(alive[:reach] & alive[1:reach + 1] & ~shard.breaks[size - 2:size - 2 + reach]).astype(np.int32)
+        slices = spot[at] % SLICES
+        next_alive, next_spot = np.zeros(len(shard.words), bool), np.zeros(len(shard.words), np.int32)
+        kept: list[Level] = []
+        known = 0
+        for number in range(SLICES):
+            here = at[slices == number]
+            if not len(here):
+                continue
+            distinct, first, inverse, counts = np.unique(
+                spot[here].astype(np.int64) << np.int64(32) | shard.words[here + (size - 1)], return_index=True, return_inverse=True, return_counts=True)
+            example = here[first]
+            own = mix(hashes[distinct >> np.int64(32)] * _STEP + shard.hashes[distinct & np.int64(0xFFFFFFFF)] + _U(size))
+            stays = keep(shard.words[example], own, counts)
+            rename = (np.cumsum(stays) - 1 + known).astype(np.int32)
+            lives = stays[inverse]
+            here = here[lives]
+            next_alive[here] = True
+            next_spot[here] = rename[inverse[lives]]
+            known += int(stays.sum())
+            kept.append(Level(example[stays], own[stays], counts[stays]))
+            yield size, kept[-1]
+        if not known:
             return
-        rename = np.cumsum(stays) - 1
-        here = stays[number]
-        at = at[here]
-        spot = np.zeros(len(shard.words), np.int64)
-        spot[at] = rename[number[here]]
-        alive[:] = False
-        alive[at] = True
-        hashes = own[stays]
-        yield size, Level(at, spot[at], example[stays], hashes, counts[stays])
+        alive, spot, hashes = next_alive, next_spot, np.concatenate([x.hashes for x in kept])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
@@ -194,9 +210,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             langs = part.column("lang").to_pylist()
             totals = part.column("n").to_pylist() if "n" in part.schema.names else [0] * len(langs)
             if len(texts) == 1:
-                for stretch in _stretches(texts[0]):
-                    shard.add(langs, [stretch], totals)
-                    if shard.size >= SHARD_LIMIT:
+                for k, stretch in enumerate(_stretches(texts[0])):
+                    shard.add(langs, [stretch], totals, continues=k > 0)
+                    # A piece stays in one shard.
+                    if shard.size >= SHARD_LIMIT and shard.ended:
                         yield shard
                         shard = Shard()
             else:
@@ -231,7 +248,7 @@ def count_words(texts: DataFrame) -> DataFrame:
             if shard.close():
                 names = pa.array(shard.names, pa.string()).take(pa.array(shard.lang))
                 yield pa.RecordBatch.from_arrays([
-                    names, shard.texts.cast(pa.large_string()).cast(pa.string()), pa.array(shard.hashes.view(np.int64)),
+                    names, shard.texts.cast(pa.string()), pa.array(shard.hashes.view(np.int64)),
                     pa.array(shard.counts.astype(np.int64))], schema=_WORDS)
 
     return texts.mapInArrow(counted, _WORDS_DDL).groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f"))
@@ -253,7 +270,7 @@ def mine_shards(texts: DataFrame, frequent_words: np.ndarray, config: PhraseConf
         for shard in _shards(batches):
             if not shard.close():
                 continue
-            least = local_support(config.support, shard.language_words(), np.array(shard.totals, np.int64))
+            least = local_support(config.support, shard.language_words(), shard.language_totals())
             names = pa.array(shard.names, pa.string())
             yield pa.RecordBatch.from_arrays([
                 names, pa.array(np.zeros(len(names), np.int32)), pa.array(np.zeros(len(names), np.int64)), pa.array(least - 1)], schema=_FOUND)
@@ -277,7 +294,7 @@ def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: n
             if not shard.close():
                 continue
             keep_word = _has(words.value, shard.hashes)
-            names, spelled = pa.array(shard.names, pa.string()), shard.texts.cast(pa.large_string()).cast(pa.string())
+            names, spelled = pa.array(shard.names, pa.string()), shard.texts.cast(pa.string())
             for size, level in levels(shard, keep_word, lambda _, hashes, __: _has(phrases.value, hashes), config.longest):
                 for lo in range(0, len(level.example), 200_000):
                     at = level.example[lo:lo + 200_000]
