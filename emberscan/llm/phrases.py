@@ -31,10 +31,10 @@ from emberscan.operators.scan import attach
 #: Bits of the table of frequent phrases that each shard gets: 16 MiB whatever the corpus.
 BITS = 1 << 27
 #: Text of a shard: what is aimed at, and where a shard ends in any case.
-SHARD_BYTES = 64 << 20
-SHARD_LIMIT = 96 << 20
+SHARD_BYTES = 48 << 20
+SHARD_LIMIT = 64 << 20
 #: A small corpus is mined in so many shards at least, if it has as many input splits.
-LEAST_SHARDS = 12
+LEAST_SHARDS = 18
 #: Bytes of text whose words are found together.
 TEXT_CHUNK = 2 << 20
 #: Parts of a shard's phrases that are sorted one after the other.
@@ -144,6 +144,8 @@ class Shard:
         edges = np.frombuffer(both.buffers()[1], np.int64)[both.offset:both.offset + len(both) + 1]
         held = Joined([both.buffers()[2].to_pybytes() if edges[-1] else b""])
         self.hashes = held.fingerprints(edges[:-1], edges[1:])
+        del unified, both, split, edges, held
+        pa.default_memory_pool().release_unused()
         return True
 
     def language_words(self) -> np.ndarray:
@@ -177,7 +179,7 @@ def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.n
         if reach <= 0:
             return
         at = np.flatnonzero(alive[:reach] & alive[1:reach + 1] & ~shard.breaks[size - 2:size - 2 + reach]).astype(np.int32)
-        slices = spot[at] % SLICES
+        slices = (spot[at] % SLICES).astype(np.uint8)
         next_alive, next_spot = np.zeros(len(shard.words), bool), np.zeros(len(shard.words), np.int32)
         kept: list[Level] = []
         known = 0
