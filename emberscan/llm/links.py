@@ -15,7 +15,8 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 MAX_RULES = 1000
 #: Share of score that follows links; the rest returns to the seeds.
 DAMPING = 0.85
-ROUNDS = 16
+#: The walk ends when so little of the seeds' score (which is one) is still on its way.
+TOLERANCE = 1e-10
 #: Rounds in one plan before the scores are written.
 TOGETHER = 4
 #: A host of whose pages at least this share is allowed (blocked) by a rule is a seed of trust (distrust).
@@ -66,26 +67,41 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(above).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """`host, trust, distrust` by personalised PageRank.
 
     `seeds` has `host, trust, distrust`, each summing to one. Trust follows links; distrust goes from a host to the hosts
     that link to it. Score at a host without further links goes to nobody. Both walks are one join and one sum a round.
+
+    Every round moves what the last one brought and adds it to the scores, which so grow towards their limit from below;
+    what is on its way shrinks by the damping at least, so the walk ends within log(tolerance) / log(damping) rounds, and
+    after a path's length where links make no circles.
     """
     forward = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select(
         F.col("src").alias("at"), F.col("dst").alias("to"), (F.col("weight") / F.col("total")).alias("t"), F.lit(0.0).alias("d"))
     back = edges.join(edges.groupBy("dst").agg(F.sum("weight").alias("total")), "dst").select(
         F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(0.0).alias("t"), (F.col("weight") / F.col("total")).alias("d"))
     steps = written(forward.unionByName(back), "steps")
-    scores = seeds
-    start = seeds.select("host", ((1 - DAMPING) * F.col("trust")).alias("trust"), ((1 - DAMPING) * F.col("distrust")).alias("distrust"))
-    for k in range(1, rounds + 1):
-        moved = steps.join(scores.withColumnRenamed("host", "at"), "at").select(
-            F.col("to").alias("host"), (DAMPING * F.col("trust") * F.col("t")).alias("trust"), (DAMPING * F.col("distrust") * F.col("d")).alias("distrust"))
-        scores = moved.unionByName(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
-        if k % TOGETHER == 0 or k == rounds:
-            scores = written(scores, "scores")
-    return scores
+    scores = seeds.select("host", ((1 - DAMPING) * F.col("trust")).alias("trust"), ((1 - DAMPING) * F.col("distrust")).alias("distrust"))
+    moving, arrived = scores, [scores]
+    while True:
+        for _ in range(TOGETHER):
+            moving = steps.join(moving.withColumnRenamed("host", "at"), "at").groupBy(F.col("to").alias("host")).agg(
+                F.sum(DAMPING * F.col("trust") * F.col("t")).alias("trust"), F.sum(DAMPING * F.col("distrust") * F.col("d")).alias("distrust")) \
+                .where("trust > 0 or distrust > 0")
+            arrived.append(moving)
+        # The rounds of one plan share their joins; the last one is what goes on.
+        last = len(arrived) - 1
+        batch = arrived[0].withColumn("round", F.lit(0))
+        for k in range(1, len(arrived)):
+            batch = batch.unionByName(arrived[k].withColumn("round", F.lit(k)))
+        batch = written(batch, "rounds")
+        scores = batch.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        moving = batch.where(F.col("round") == last).drop("round")
+        left = moving.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
+        if max(left["trust"] or 0.0, left["distrust"] or 0.0) <= tolerance:
+            return scores
+        arrived = [written(scores, "scores")]
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

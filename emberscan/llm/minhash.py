@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from emberscan.llm.batches import Joined, chunks, mix, shingles
 from emberscan.llm.graph import components
 from emberscan.llm.store import prepare, workspace, written
+from emberscan.session import shuffle_partitions
 
 #: Rows of one list that are compared in one task; longer lists are compared block by block.
 BLOCK = 1024
@@ -21,7 +22,7 @@ BLOCK = 1024
 @dataclass(frozen=True)
 class MinHashConfig:
     """`percent` is the least similarity. A pair at exactly 80 % agrees in at least 36 of 64 coordinates but for a chance
-    of 3 in a million, so `matches` costs no links that matter, and pairs below 30 % hardly ever reach it."""
+    of 4 in a million, so `matches` costs no links that matter, and pairs below 30 % hardly ever reach it."""
 
     words: int = 5
     percent: int = 80
@@ -68,10 +69,16 @@ def _signatures(sets: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.nda
     return out
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """Ids and texts, and a hash that tells apart the texts of one id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def described(docs: DataFrame, config: MinHashConfig) -> DataFrame:
-    """`doc_id, n_shingles, d1, d2, tokens`: size and digest of each text's set, and its signature (NULL for an empty set)."""
+    """`doc_id, text_hash, n_shingles, d1, d2, tokens`: size and digest of each text's set, and its signature (NULL for an empty set)."""
     prepare(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +95,10 @@ def described(docs: DataFrame, config: MinHashConfig) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(np.where(sizes > 0, config.coordinates, 0)))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(sizes.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests), lists], schema=schema)
+                    part.column("doc_id"), part.column("text_hash"), pa.array(sizes.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests), lists], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        describe, "doc_id long, n_shingles long, d1 long, d2 long, tokens array<long>")
+    return _hashed(docs).mapInArrow(
+        describe, "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, tokens array<long>")
 
 
 def _posted(reps: DataFrame, config: MinHashConfig) -> DataFrame:
@@ -110,8 +117,8 @@ def _posted(reps: DataFrame, config: MinHashConfig) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """`rep, shingles`: the full sets of the documents in `needed`, recomputed from their texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(needed, "rep", "left_semi")
+    """`rep, shingles`: the full sets of the classes in `needed`, recomputed from the text that `doc_id, text_hash` names."""
+    rows = _hashed(docs).join(needed, ["doc_id", "text_hash"]).select("rep", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +209,7 @@ def _with_components(rows: DataFrame, labels: DataFrame, column: str, output: st
 def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept`: groups of documents linked by set similarity.
 
-    1. Texts with equal sets are one class, named by its least document; only classes are joined.
+    1. Texts with equal sets are one class; only classes are joined. The classes of one id's texts are linked.
     2. Classes are posted under the prefix of their signature (`_posted`).
     3. In every list each member is compared with the list's first one, the best such pair of a class first; pairs
        whose ends are linked already are skipped. A group of n near copies so costs about n comparisons, not n squared.
@@ -211,7 +218,7 @@ def near_duplicates(docs: DataFrame, config: MinHashConfig = MinHashConfig()) ->
     Every link, of step 3 or 4, is confirmed on the two full sets.
 
     Defined results: a text without words, or NULL, has an empty set and is linked with nothing; a text of fewer words
-    than a shingle is one shingle; rows that repeat a `doc_id` are one document and get the same component; a NULL
+    than a shingle is one shingle; rows that repeat a `doc_id` are one document, which has the links of all its texts; a NULL
     `doc_id` is linked with nothing (component NULL, not kept); an empty table gives an empty result; other columns are
     ignored. `kept` marks the least document of each component.
     """
@@ -223,19 +230,30 @@ def _near_duplicates(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     prepare(docs.sparkSession)
     rows = written(described(docs, config), "signatures")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = written(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = written(usable.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "d1", "d2", "tokens")
-                   .join(classes, ["rep", "d1", "d2"], "left_semi").dropDuplicates(["rep", "d1", "d2"]).select("rep", "n", "tokens"), "classes")
+    # Classes are numbered in the order of their least documents, so the least number of a component has its least document.
+    least = usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select("d1", "d2", "least.*")
+    order = ["doc_id", "d1", "d2"]
+    classes = written(least.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+                      .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = written(usable.withColumnRenamed("n_shingles", "n").join(classes, ["doc_id", "text_hash", "d1", "d2"])
+                   .dropDuplicates(["rep"]).select("rep", "n", "tokens"), "classes")
     posted = written(_posted(reps, config), "postings")
     lists = written(posted.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("first")).where("members > 1")
                     .select("token", "members", F.col("first.rep").alias("pivot"), F.col("first.n").alias("m")), "lists")
     pairs = written(posted.join(lists, "token").where((F.col("rep") != F.col("pivot")) & _alike_in_size("n", "m", config.percent))
                     .groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("hits")), "pairs")
-    sets = written(_shingled(docs, written(posted.join(lists.select("token"), "token").select("rep").distinct(), "needed"), config.words)
-                   .dropDuplicates(["rep"]), "sets")
+    needed = posted.join(lists.select("token"), "token").select("rep").distinct().join(classes.select("rep", "doc_id", "text_hash"), "rep")
+    sets = written(_shingled(docs, written(needed, "needed"), config.words).dropDuplicates(["rep"]), "sets")
 
     best = pairs.groupBy("a").agg(F.max(F.struct("hits", (-F.col("b")).alias("nb"))).alias("x")).select("a", (-F.col("x.nb")).alias("b"))
-    links = written(confirmed(best, sets, config.percent), "links")
+    # Different texts of one id are one document.
+    varied = usable.groupBy("doc_id").agg(F.min("d1").alias("a1"), F.max("d1").alias("b1"), F.min("d2").alias("a2"), F.max("d2").alias("b2")) \
+        .where("a1 != b1 or a2 != b2").select("doc_id")
+    texts = usable.select("doc_id", "d1", "d2").join(varied, "doc_id").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct()
+    texts = written(texts, "texts")
+    same = texts.join(texts.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").where("rep != b").select(F.col("rep").alias("a"), "b")
+
+    links = written(confirmed(best, sets, config.percent).unionByName(same), "links")
     labels = written(components(links), "labels")
 
     open_pairs = _with_components(_with_components(pairs, labels, "a", "ca"), labels, "b", "cb").where("ca != cb")
@@ -262,8 +280,9 @@ def _near_duplicates(docs: DataFrame, config: MinHashConfig) -> DataFrame:
         if not rest.isEmpty():
             labels = written(components(links.unionByName(rest)), "labels")
 
-    named = written(_with_components(classes, labels, "rep", "component_id").select("d1", "d2", "component_id"), "named")
-    out = rows.drop("tokens").join(named, ["d1", "d2"], "left")
+    named = _with_components(classes, labels, "rep", "comp").select("d1", "d2", "comp")
+    named = written(named.join(classes.select(F.col("rep").alias("comp"), F.col("doc_id").alias("component_id")), "comp").drop("comp"), "named")
+    out = rows.drop("tokens", "text_hash").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

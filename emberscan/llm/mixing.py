@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberscan.llm.batches import IS_SPACE, Joined, chunks
+from emberscan.llm.batches import mix as spread
 from emberscan.llm.store import prepare, written
+from emberscan.llm.tokens import encoder
 
 #: Labelled documents the classifier is fitted on, at most.
 SAMPLE = 6000
@@ -19,11 +21,13 @@ SAMPLE = 6000
 BUCKETS = 1 << 16
 SHAPES, LEVELS = 4, 8
 EPOCHS = 40
-#: Steps of the fit, and the relative miss of the totals at which it ends.
-STEPS = 60
-TOLERANCE = 1e-3
-#: Steps in one plan before the rates are written.
-TOGETHER = 6
+#: The relative miss of the totals at which the fit ends; a fit that has not got there after so many steps is an error.
+TOLERANCE = 1e-6
+STEPS = 200
+#: Directions of the domains' moments below this share of the largest are those that no rates can change.
+SINGULAR = 1e-10
+#: The tokenizer that documents are weighed by.
+TOKENIZER = "byte_bpe_50k.json"
 
 #: Target share of tokens for each domain of the labels table.
 WEIGHTS = {"clean": 0.88, "low": 0.07, "toxic": 0.05}
@@ -94,8 +98,8 @@ class Classifier:
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str]) -> Classifier:
     """A classifier from at most `SAMPLE` labelled documents, the first by a hash of their id.
 
-    The sample's ids, bounded, are broadcast; only these texts are turned into features for the driver. Without labelled
-    documents all domains are equally likely.
+    The sample's ids, bounded, are broadcast; only these texts are turned into features for the driver. A label and an id
+    count once, with the least text, however many rows have them. Without labelled documents all domains are equally likely.
     """
     prepare(docs.sparkSession)
     out = Classifier(domains)
@@ -113,8 +117,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str]) -> Cl
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("domain"), pa.array(found, pa.binary())], ["doc_id", "domain", "found"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     got = rows.select("doc_id", "domain", "text").mapInArrow(described, "doc_id long, domain string, found binary").collect()
-    got = sorted(((r["doc_id"], r["domain"], bytes(r["found"])) for r in got))[:2 * SAMPLE]
+    got = sorted((r["doc_id"], r["domain"], bytes(r["found"])) for r in got)
     if not got:
         return out
     found = [np.frombuffer(x[2], np.int32) for x in got]
@@ -123,78 +128,107 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str]) -> Cl
     return out
 
 
-def classified(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns, `n_tokens` (words), and `posterior`, an array in the order of the classifier's domains."""
+def classified(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ("doc_id",), tokenizer: str = TOKENIZER) -> DataFrame:
+    """`keep` columns, `n_tokens`, `posterior`, an array in the order of the classifier's domains, and `coin`, a number in
+    [0, 1) from the text and the row's place in its task."""
     prepare(docs.sparkSession)
     weights, bias, domains = classifier.weights.astype(np.float32), classifier.bias, classifier.domains
     rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("n_tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
+    schema = rows.drop("_text").schema.add("n_tokens", "long").add("posterior", T.ArrayType(T.DoubleType())).add("coin", "double")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(domains)
         model.weights, model.bias = weights, bias
+        tally = 0
         for batch in batches:
             for part, texts in chunks(batch, "_text"):
-                owner, columns, counts = features(texts)
+                owner, columns, _ = features(texts)
                 found = model.posteriors(owner, columns, len(texts))
+                counts, _ = encoder(tokenizer).encode(texts)
+                joined = Joined(texts)
+                places = np.arange(tally, tally + len(texts), dtype=np.uint64)
+                tally += len(texts)
+                coins = (spread(joined.fingerprints(joined.starts, joined.ends) ^ spread(places)) >> np.uint64(11)) / float(1 << 53)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in range(part.num_columns - 1)), pa.array(counts.astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(domains)), pa.array(found.ravel()))],
-                    names=[*part.schema.names[:-1], "n_tokens", "posterior"])
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(domains)), pa.array(found.ravel())), pa.array(coins)],
+                    names=[*part.schema.names[:-1], "n_tokens", "posterior", "coin"])
 
     return rows.mapInArrow(judged, schema)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
-    """`rows` (with `n_tokens`, `posterior`) and `rate`: nonnegative, with expected token totals near the targets.
+def multipliers(rows: DataFrame, targets: list[float], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """One number a domain, such that rates of `max(0, 1 + posterior * numbers)` bring the totals to the targets; and the
+    relative misses that are left because no rates can mend them.
 
-    Least squares over all rates by projected gradient from rates of one, in the metric of the documents' tokens: a step
-    moves a rate by its posteriors times the relative misses, which are a few numbers. So each step is one aggregation
-    of the table that brings a total per domain to the driver, and rates are written every few steps. The step length
-    comes from the largest eigenvalue of the domains' moments, another few numbers.
+    Least squares over all rates by projected gradient, from rates of one. A gradient step moves every rate by its
+    posteriors times the misses, so what has been moved in all is the posteriors times a few sums, and the projection makes
+    what fell below zero zero. Steps are taken in the metric of the rows whose rates are not zero: their moments, like the
+    totals, are a few numbers, and one aggregation of the table brings both to the driver. A step that does not lower the
+    miss is halved.
     """
     k = len(targets)
+    target = np.array(targets)
+    unit = max(float(np.abs(target).max()), 1e-9)
     p = [F.col("posterior")[i] for i in range(k)]
-    moments = rows.agg(*(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)),
-                       *(F.coalesce(F.sum(F.col("n_tokens") * p[i]), F.lit(0.0)).alias(f"mass{i}") for i in range(k))).first()
-    # Misses are measured against what a domain has now, which keeps the problem well conditioned whatever the targets.
-    scale = np.maximum(np.array([moments[f"mass{i}"] for i in range(k)]), 1e-9)
-    gram = np.array([[moments[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / np.sqrt(np.outer(scale, scale))
-    largest = float(np.linalg.eigvalsh(gram).max())
-    current = rows.withColumn("rate", F.lit(1.0))
-    if not largest > 0:
-        return current
-    length = 1 / largest
-    for step in range(1, steps + 1):
-        totals = current.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * p[i]).alias(f"t{i}") for i in range(k))).first()
-        miss = np.array([totals[f"t{i}"] for i in range(k)]) - np.array(targets)
-        if np.abs(miss).max() < TOLERANCE * max(targets):
-            break
-        shift = sum((p[i] * float(length * miss[i] / scale[i]) for i in range(k)), F.lit(0.0))
-        current = current.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - shift))
-        if step % TOGETHER == 0:
-            current = written(current, "rates")
-    return current
-
-
-def copies(rate: Column, doc_id: Column) -> Column:
-    """Whole copies for a rate: the whole part, and one more for the share of ids that the rest asks for."""
-    chance = F.pmod(F.xxhash64(doc_id, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+
+    def state(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = F.lit(1.0) + sum((p[i] * float(numbers[i]) for i in range(k)), F.lit(0.0))
+        held = F.when(raw > 0, F.col("n_tokens")).otherwise(0)
+        found = rows.agg(*(F.coalesce(F.sum(held * raw * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)),
+                         *(F.coalesce(F.sum(held * p[i] * p[j]), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+        totals = np.array([found[f"t{i}"] for i in range(k)])
+        return (totals - target) / unit, np.array([[found[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / unit
+
+    numbers = np.zeros(k)
+    miss, moments = state(numbers)
+    for _ in range(steps):
+        values, vectors = np.linalg.eigh(moments)
+        able = values > SINGULAR * max(float(values.max()), 1e-300)
+        along = vectors[:, able].T @ miss
+        if not able.any() or np.abs(vectors[:, able] @ along).max() < TOLERANCE:
+            return numbers, miss
+        move = vectors[:, able] @ (along / values[able])
+        length = 1.0
+        while True:
+            tried = numbers - length * move
+            next_miss, next_moments = state(tried)
+            if next_miss @ next_miss < miss @ miss or length < 1e-6:
+                break
+            length /= 2
+        if length < 1e-6:
+            return numbers, miss
+        numbers, miss, moments = tried, next_miss, next_moments
+    raise RuntimeError(f"the rates have not met their totals after {steps} steps; relative misses {miss.tolist()}")
+
+
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
+    """`rows` (with `n_tokens`, `posterior`) and `rate`: nonnegative, with expected token totals at the targets, or as near
+    as rates can bring them (`multipliers`)."""
+    numbers, _ = multipliers(rows, targets, steps)
+    raw = F.lit(1.0) + sum((F.col("posterior")[i] * float(x) for i, x in enumerate(numbers)), F.lit(0.0))
+    return rows.withColumn("rate", F.greatest(F.lit(0.0), raw))
+
+
+def copies(rate: Column, coin: Column) -> Column:
+    """Whole copies for a rate: the whole part, and one more if the row's coin, even in [0, 1), is below the rest."""
+    return (F.floor(rate) + (coin < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS, keep: tuple[str, ...] = ("doc_id",),
+        tokenizer: str = TOKENIZER) -> DataFrame:
     """`keep` columns (with `doc_id`), `n_tokens, posterior, rate, copies` of every document.
 
-    The targets are the weights' shares of all tokens, so the corpus keeps its size in expectation.
+    The targets are the weights' shares of all tokens (the tokenizer's), so the corpus keeps its size in expectation. Every
+    row tosses its own coin, rows without an id and repeated ones too, and the coins are written with the posteriors.
 
     Defined results: an empty or NULL text has no tokens and gets the rate of its posteriors; without labels all domains
     are equally likely everywhere, and all rates are equal; repeated rows are rated alike; a NULL `doc_id` is kept; an
     empty table gives an empty result; other columns are ignored. Domains without a weight are given none.
     """
     domains = sorted(weights)
-    rows = written(classified(docs, fit_classifier(docs, labels, domains), keep), "posteriors")
+    rows = written(classified(docs, fit_classifier(docs, labels, domains), keep, tokenizer), "posteriors")
     total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     share = sum(weights.values()) or 1.0
     rated = fit_rates(rows, [total * weights[d] / share for d in domains])
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return rated.withColumn("copies", copies(F.col("rate"), F.col("coin"))).drop("coin")

@@ -16,7 +16,7 @@ DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # Names that the operators use themselves.
-    *(T.StructField(c, T.StringType()) for c in ("rep", "host", "token", "kept", "rate", "row", "score", "text_id", "_text", "deal"))])
+    *(T.StructField(c, T.StringType()) for c in ("rep", "host", "token", "kept", "rate", "row", "score", "text_id", "_text", "deal", "_key", "_kept", "_copies", "_copy", "coin", "number", "copies", "left"))])
 
 
 def prose(rng: random.Random, n: int) -> str:
@@ -40,7 +40,7 @@ def awkward(rng: random.Random) -> list[tuple[int | None, str | None]]:
 
 
 def documents(spark, texts):
-    rows = [(i, t, random.Random(k).choice(["en", "de", None]), random.Random(k).choice(["a", "b", None]), None, *["x"] * 10) for k, (i, t) in enumerate(texts)]
+    rows = [(i, t, random.Random(k).choice(["en", "de", None]), random.Random(k).choice(["a", "b", None]), None, *["x"] * 18) for k, (i, t) in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 

@@ -254,13 +254,28 @@ def test_trust_and_distrust_follow_links(spark):
         m[names.index(a), names.index(b)] = w
     start = np.array([float(x == "good.com") for x in names])
     score, step = start, m / np.maximum(m.sum(axis=1, keepdims=True), 1)
-    for _ in range(links.ROUNDS):
+    for _ in range(300):
         score = 0.15 * start + 0.85 * score @ step
     for r in got.values():
         if r["host"] in names:
             assert abs(r["trust"] - score[names.index(r["host"])]) < 1e-9
 
 
+@pytest.mark.parametrize("ring", [False, True])
+def test_scores_of_long_chains_equal_a_dense_solve(spark, ring):
+    n = 40
+    edges = [(f"h{k:02d}", f"h{k + 1:02d}", 1) for k in range(n - 1)] + ([(f"h{n - 1}", "h00", 3), (f"h{n - 1}", "h07", 1)] if ring else [])
+    seeds = spark.createDataFrame([("h00", 1.0, 0.0), (f"h{n - 1}", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r["host"]: r for r in links.propagate(spark.createDataFrame(edges, "src string, dst string, weight long"), seeds).collect()}
+    m = np.zeros((n, n))
+    for a, b, w in edges:
+        m[int(a[1:]), int(b[1:])] = w
+    for name, walk, seed in (("trust", m, 0), ("distrust", m.T, n - 1)):
+        step = walk / np.maximum(walk.sum(axis=1, keepdims=True), 1)
+        want = 0.15 * np.linalg.solve(np.eye(n) - 0.85 * step.T, np.eye(n)[seed])
+        assert max(abs(got[f"h{k:02d}"][name] - want[k]) for k in range(n)) < 1e-9
+
+
 def test_pages_run_without_python(spark, folder):
     plan = queries.QUERIES["op6_link_graph"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -291,7 +306,12 @@ def test_pipeline_stages_on_odd_rows(spark, folder):
             assert out.columns == docs.columns
     one = stages["near_duplicates"](spark, docs, folder)
     ids = [r["doc_id"] for r in one.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and 7 in ids and 40 not in ids and None not in ids
+    # A NULL id is no reason to go: the empty text without an id stays, the copy of a text that has one goes.
+    assert len(ids) == len(set(ids)) and 7 in ids and 40 not in ids and None in ids
+    assert [r["text"] for r in one.collect() if r["doc_id"] is None] == [None]
+    for name in ("language", "near_duplicates", "repeated_passages", "target_weights"):
+        again = stages[name](spark, docs, folder).select("_key", "_kept", "_copies", "_copy", "left", "number").distinct().collect()
+        assert [tuple(r) for r in again] == [("x",) * 6]
     cut = {r["doc_id"]: r for r in stages["repeated_passages"](spark, docs, folder).collect()}
     assert 40 not in cut and cut[7]["text"] == dict(texts)[7] and cut[201]["n_chars"] == len(cut[201]["text"])
 
