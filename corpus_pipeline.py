@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberscan.llm import langid, minhash, mixing, packing, suffixes
 from emberscan.llm.store import written
-from emberscan.operators import scan
+from emberscan.session import shuffle_partitions
 
 #: Texts whose nearest language is not at least so near are in none of the learned languages.
 LEAST_COSINE = 0.03
@@ -18,55 +18,64 @@ TOKENIZER = "byte_bpe_50k.json"
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages. Without letters, or near to none of them, they go."""
     learned = langid.prototypes(docs.where(~langid.is_held_out()))
-    # The whole row travels as one value, so that no column of it can clash with what is added.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    rows = docs.select(_row(docs), F.col("text"))
     judged = langid.predict(rows, learned, ("row",))
     return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_COSINE)).select("row.*")
 
 
+def _row(docs: DataFrame) -> Column:
+    """The whole row as one value: whatever its columns are called, none clashes with what a stage adds."""
+    return F.struct(*docs.columns).alias("row")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least. Rows with equal id and text are one document, rows that
-    share only the id are different ones. A row without an id is not kept, whatever its text."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    named = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id"), key.alias("_key")).agg(F.count("*").alias("_rows"))
-    named = written(named, "named")
-    if named.groupBy("_id").count().where("count > 1").isEmpty():
-        kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-        kept = written(named.join(kept, "_id", "left_semi").select("_key"), "kept")
-    else:
-        # The operator takes an id for one document, so each document gets its place in the order of ids for one.
-        ranked = written(scan.prefix_scan(named.withColumn("_one", F.lit(1)), [], ["_id", "_key"], sums={"_place": "_one"}).select("_key", "_place"), "ranked")
-        texts = docs.select(key.alias("_key"), "text").join(ranked, "_key").select(F.col("_place").cast("long").alias("doc_id"), "text")
-        kept = minhash.near_duplicates(texts).where("kept").select(F.col("doc_id").alias("_place")).distinct()
-        kept = written(ranked.join(kept, "_place", "left_semi").select("_key"), "kept")
-    rows = docs.withColumn("_key", key).where("doc_id is not null").join(kept, "_key", "left_semi")
-    return (rows if named.where("_rows > 1").isEmpty() else rows.dropDuplicates(["_key"])).select(*docs.columns)
+    """One document of each group of near-duplicates: the least, those without an id last.
+
+    Rows with equal id and text are one document, rows that share only the id are different ones. Documents are numbered in
+    the order of their ids and then of a digest, and the operator gets the numbers, so a row without an id is judged by its
+    text like any other.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    key = F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.when(text.isNull(), ":").otherwise(F.concat(F.lit("="), text))), 256))
+    named = written(docs.groupBy(key.alias("key")).agg(F.min(doc_id).alias("id"), F.count("*").alias("rows")), "named")
+    order = [F.col("id").asc_nulls_last(), F.col("key")]
+    numbered = named.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    numbered = written(numbered.select("key", F.monotonically_increasing_id().alias("number")), "numbered")
+    texts = docs.select(key.alias("key"), text.alias("text")).join(numbered, "key").select(F.col("number").alias("doc_id"), "text")
+    kept = minhash.near_duplicates(texts).where("kept").select(F.col("doc_id").alias("number")).distinct()
+    kept = written(numbered.join(kept, "number", "left_semi").select("key"), "kept")
+    rows = docs.select(_row(docs), key.alias("key")).join(kept, "key", "left_semi")
+    return (rows if named.where("rows > 1").isEmpty() else rows.dropDuplicates(["key"])).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that an earlier document has; documents of which nothing is left go."""
+    """Texts without the bytes that a document with a smaller id has; documents of which nothing is left go.
+
+    A row without an id neither loses bytes nor takes any, a NULL text stays NULL, and `n_chars` follows a changed text.
+    """
     judged = suffixes.repeated_bytes(docs, with_text=True).where("n_removed > 0")
-    cut = judged.select(F.xxhash64("doc_id", "text_id").alias("_key"), F.col("kept_text").alias("_kept")).dropDuplicates(["_key"])
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = docs.withColumn("_key", key).join(cut, "_key", "left").where("_kept is null or _kept != ''")
-    changed = {"text": F.coalesce("_kept", "text")}
+    cut = judged.select(F.col("doc_id").alias("id"), "text_id", F.col("kept_text").alias("left")).dropDuplicates(["id", "text_id"])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("text_id"))
+    rows = rows.join(cut, ["id", "text_id"], "left").where("left is null or left != ''")
+    changed = {"text": F.coalesce("left", "row.text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length("left"))
+    return rows.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, so that the labelled domains reach their weights."""
+    """Each row as often as its rate says, so that the labelled domains reach their weights in expectation.
+
+    Rows without an id or text and repeated rows have rates and coins of their own; a rate below one may leave a row out.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    key = F.xxhash64("doc_id", "text").alias("_key")
-    rated = mixing.mix(docs.select("doc_id", "text", key), labels, keep=("doc_id", "_key"))
-    wanted = written(rated.select("_key", F.col("copies").alias("_copies")).dropDuplicates(["_key"]), "copies").where("_copies > 0")
-    rows = docs.withColumn("_key", key).join(wanted, "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rated = mixing.mix(docs.select(_row(docs), "doc_id", "text"), labels, keep=("row",), tokenizer=TOKENIZER)
+    return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences."""
+    """Token pieces of all documents, packed into sequences; a NULL text is its end token alone, and every row is packed."""
     return packing.pack_documents(docs, TOKENIZER)
 
 
