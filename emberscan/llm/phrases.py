@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from emberscan.llm.batches import Joined, chunks, mix
 from emberscan.llm.store import prepare, workspace, written
 from emberscan.operators.scan import attach
+from emberscan.session import shuffle_partitions
 
 #: Bits of the table of frequent phrases that each shard gets: 16 MiB whatever the corpus.
 BITS = 1 << 27
@@ -37,6 +38,8 @@ SHARD_LIMIT = 64 << 20
 LEAST_SHARDS = 18
 #: Bytes of text whose words are found together.
 TEXT_CHUNK = 2 << 20
+#: Words of the corpus for each bucket that phrases of all shards are put together in.
+BUCKET_WORDS = 2_000_000
 #: Parts of a shard's phrases that are sorted one after the other.
 SLICES = 8
 
@@ -49,8 +52,10 @@ _ENDS_WORD[[0x20, 0x09]] = True
 
 _WORDS_DDL = "lang string, phrase string, hash long, f long"
 _WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("f", pa.int64())])
-_FOUND_DDL = "lang string, size int, hash long, excess long"
-_FOUND = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("hash", pa.int64()), ("excess", pa.int64())])
+_FOUND_DDL = "lang string, bucket long, hidden long, hashes binary, excess binary"
+_FOUND = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("hidden", pa.int64()), ("hashes", pa.binary()), ("excess", pa.binary())])
+_COUNTED_DDL = "lang string, bucket long, phrases string, counts binary"
+_COUNTED = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("phrases", pa.string()), ("counts", pa.binary())])
 
 
 @dataclass(frozen=True)
@@ -261,10 +266,21 @@ def local_support(support: int, here: np.ndarray, total: np.ndarray) -> np.ndarr
     return np.maximum(1, -(-(support * here) // np.maximum(total, 1)))
 
 
-def mine_shards(texts: DataFrame, frequent_words: np.ndarray, config: PhraseConfig) -> DataFrame:
-    """`lang, size, hash, excess` over all shards: what is found above what a shard may hide.
+def _dealt(lang: np.ndarray, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of phrases by language and bucket; where each such run begins (and the last ends), its language and bucket."""
+    bucket = (hashes % _U(buckets)).astype(np.int64)
+    place = lang.astype(np.int64) * buckets + bucket
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    begins = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.empty(0, np.int64)
+    return order, np.append(begins, len(place)), place[begins] // buckets, place[begins] % buckets
 
-    Rows of size 0 hold what all shards of the language together may hide of any phrase.
+
+def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, config: PhraseConfig) -> DataFrame:
+    """`lang, bucket, hashes, excess`: what the shards found, and by how much it is above what a shard may hide.
+
+    A row holds all that a shard found in one bucket of one language, as packed numbers. Rows of bucket -1 hold, in
+    `hidden`, how often a shard may hide any phrase of the language.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent_words)
 
@@ -274,20 +290,42 @@ def mine_shards(texts: DataFrame, frequent_words: np.ndarray, config: PhraseConf
                 continue
             least = local_support(config.support, shard.language_words(), shard.language_totals())
             names = pa.array(shard.names, pa.string())
-            yield pa.RecordBatch.from_arrays([
-                names, pa.array(np.zeros(len(names), np.int32)), pa.array(np.zeros(len(names), np.int64)), pa.array(least - 1)], schema=_FOUND)
+            none = pa.nulls(len(names), pa.binary())
+            yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), -1)), pa.array(least - 1), none, none], schema=_FOUND)
             keep_word = (shard.counts >= least[shard.lang]) & _has(shared.value, shard.hashes)
-            for size, level in levels(shard, keep_word, lambda first, _, counts: counts >= least[shard.lang[first]], config.longest):
-                lang = shard.lang[shard.words[level.example]]
-                yield pa.RecordBatch.from_arrays([
-                    names.take(pa.array(lang)), pa.array(np.full(len(lang), size, np.int32)), pa.array(level.hashes.view(np.int64)),
-                    pa.array(level.counts - (least[lang] - 1))], schema=_FOUND)
+            found = [(shard.lang[shard.words[level.example]], level.hashes, level.counts) for _, level in
+                     levels(shard, keep_word, lambda first, _, counts: counts >= least[shard.lang[first]], config.longest)]
+            if not found:
+                continue
+            lang, hashes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            order, edges, of_lang, bucket = _dealt(lang, hashes, buckets)
+            hashes, excess = hashes[order], (counts - (least[lang] - 1))[order].astype(np.int64)
+            packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (hashes, excess)]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang)), pa.array(bucket), pa.array(np.zeros(len(bucket), np.int64)), *packed], schema=_FOUND)
+
+    return texts.mapInArrow(mined, _FOUND_DDL)
+
 
-    return texts.mapInArrow(mined, _FOUND_DDL).groupBy("lang", "size", "hash").agg(F.sum("excess").alias("excess"))
+def promising(found: DataFrame, config: PhraseConfig) -> DataFrame:
+    """`hash` of every phrase that may have the support: what the shards found and what they may hide reach it."""
+    hidden = written(found.where("bucket < 0").groupBy("lang").agg(F.sum("hidden").alias("most")), "hidden")
+    packed = attach(found.where("bucket >= 0").select("lang", "bucket", "hashes", "excess"), hidden, "lang", max_rows=10_000)
 
+    def merged(batch: pa.Table) -> pa.Table:
+        hashes, excess = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("excess", np.int64)))
+        distinct, numbers = np.unique(hashes, return_inverse=True)
+        reach = np.bincount(numbers, weights=excess) + batch.column("most")[0].as_py()
+        return pa.table({"hash": pa.array(distinct[reach >= config.support].view(np.int64))})
 
-def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: np.ndarray, config: PhraseConfig) -> DataFrame:
-    """`lang, phrase, f` of every phrase whose bit is set, counted over the whole corpus."""
+    return packed.groupBy("lang", "bucket").applyInArrow(merged, "hash long")
+
+
+def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: np.ndarray, buckets: int, config: PhraseConfig) -> DataFrame:
+    """`lang, phrase, f` of every phrase with the support, counted over the whole corpus among those whose bit is set.
+
+    A row that is shuffled holds what a shard has of one bucket of one language: phrases, one a line, and packed counts.
+    A bucket tells its phrases apart by their letters.
+    """
     spark = texts.sparkSession
     words, phrases = spark.sparkContext.broadcast(frequent_words), spark.sparkContext.broadcast(candidates)
 
@@ -298,14 +336,27 @@ def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: n
             keep_word = _has(words.value, shard.hashes)
             names, spelled = pa.array(shard.names, pa.string()), shard.texts.cast(pa.string())
             for size, level in levels(shard, keep_word, lambda _, hashes, __: _has(phrases.value, hashes), config.longest):
-                for lo in range(0, len(level.example), 200_000):
-                    at = level.example[lo:lo + 200_000]
-                    phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(shard.words[at + k])) for k in range(size)], " ")
-                    yield pa.RecordBatch.from_arrays([
-                        names.take(pa.array(shard.lang[shard.words[at]])), phrase, pa.array(level.hashes[lo:lo + 200_000].view(np.int64)),
-                        pa.array(level.counts[lo:lo + 200_000])], schema=_WORDS)
-
-    return texts.mapInArrow(counted, _WORDS_DDL).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+                order, edges, of_lang, bucket = _dealt(shard.lang[shard.words[level.example]], level.hashes, buckets)
+                if not len(order):
+                    continue
+                at = level.example[order]
+                phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(shard.words[at + k])) for k in range(size)], " ")
+                lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), phrase), "\n")
+                counts = level.counts[order].astype(np.int64)
+                packed = pa.array([counts[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang)), pa.array(bucket), lines, packed], schema=_COUNTED)
+
+    def summed(key: tuple, batch: pa.Table) -> pa.Table:
+        lines = pc.list_flatten(pc.split_pattern(batch.column("phrases").cast(pa.large_string()), "\n")).combine_chunks()
+        coded = lines.dictionary_encode()
+        counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int64)
+        # Halves of the counts are exact as floating point numbers.
+        low, high = (np.bincount(coded.indices.to_numpy(), weights=x).astype(np.int64) for x in (counts & 0xFFFFFFFF, counts >> 32))
+        f = (high << 32) + low
+        some = np.flatnonzero(f >= config.support)
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(some), pa.string()), "phrase": coded.dictionary.take(pa.array(some)).cast(pa.string()), "f": pa.array(f[some])})
+
+    return texts.mapInArrow(counted, _COUNTED_DDL).groupBy("lang", "bucket").applyInArrow(summed, "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> tuple[DataFrame, DataFrame]:
@@ -319,13 +370,12 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
     frequent = words.where(F.col("f") >= config.support)
     bits = bit_table(frequent)
 
-    n_bytes = words.agg(F.sum(F.col("f") * (F.octet_length("phrase") + 1))).first()[0] or 0
-    wanted = max(LEAST_SHARDS, -(-int(n_bytes) // SHARD_BYTES))
+    size = words.agg(F.sum(F.col("f") * (F.octet_length("phrase") + 1)).alias("bytes"), F.sum("f").alias("n")).first()
+    wanted = max(LEAST_SHARDS, -(-int(size["bytes"] or 0) // SHARD_BYTES))
+    buckets = max(shuffle_partitions(spark), int(size["n"] or 0) // BUCKET_WORDS)
     sized = attach(texts, totals, "lang", max_rows=10_000).coalesce(wanted)
-    found = written(mine_shards(sized, bits, config), "found")
-    hidden = written(found.where("size = 0").select("lang", F.col("excess").alias("hidden")), "hidden")
-    promising = attach(found.where("size > 0"), hidden, "lang", max_rows=10_000).where(F.col("excess") + F.col("hidden") >= config.support)
-    counts = count_candidates(sized, bits, bit_table(promising), config).where(F.col("f") >= config.support)
+    found = written(mine_shards(sized, bits, buckets, config), "found")
+    counts = count_candidates(sized, bits, bit_table(promising(found, config)), buckets, config)
     phrases = written(frequent.select("lang", "phrase", "f").unionByName(counts), "phrases")
     return phrases, totals
 
