@@ -29,13 +29,13 @@ from emberscan.llm.store import prepare, workspace, written
 from emberscan.operators.scan import attach
 from emberscan.session import shuffle_partitions
 
-#: Bits of the table of frequent phrases that each shard gets: 16 MiB whatever the corpus.
-BITS = 1 << 27
+#: Bits of the table of frequent phrases that each shard gets: 8 MiB whatever the corpus.
+BITS = 1 << 26
 #: Text of a shard: what is aimed at, and where a shard ends in any case.
-SHARD_BYTES = 48 << 20
-SHARD_LIMIT = 64 << 20
+SHARD_BYTES = 32 << 20
+SHARD_LIMIT = 40 << 20
 #: A small corpus is mined in so many shards at least, if it has as many input splits.
-LEAST_SHARDS = 18
+LEAST_SHARDS = 26
 #: Bytes of text whose words are found together.
 TEXT_CHUNK = 2 << 20
 #: Words of the corpus for each bucket that phrases of all shards are put together in.
