@@ -13,16 +13,19 @@ from emberscan.functions import waveforms as wf
 from emberscan.operators import cluster
 from emberscan.operators import coherence as ch
 from emberscan.operators import coincidence as co
+from emberscan.operators import graphnet as gn
 from emberscan.operators import learn
 from emberscan.operators import signal as sg
 from emberscan.operators import sky as sk
+from emberscan.operators import slides as sl
 from emberscan.operators import tiles as tl
 from emberscan.operators.cluster import trigger_labels
 from emberscan.operators.rangejoin import neighbour_pairs
 from emberscan.plans import pipelines as pl
+from emberscan.plans.queries_coincidence import IFOS
 from emberscan.plans.queries_events import PERCOLATED, RWITH, graph_nodes, numbered_tiles, percolated
 from emberscan.plans.registry import query
-from emberscan.plans.views import TRIG, WIN, sparse_windows, table, tile_sql, triggers, windows, with_views
+from emberscan.plans.views import SPAN_S, TRIG, WIN, sparse_windows, table, tile_sql, triggers, windows, with_views
 from emberscan.session import cut_lineage, ensure_checkpoint_dir
 from emberscan.streaming import online
 
@@ -295,11 +298,29 @@ def logistic_baseline(spark, folder):
     return learn.LogisticBaseline(features).fit(rows).score(rows)
 
 
+def coincident_pairs(left, right, keys):
+    """Admitted pairs of two detectors' events with the features the learned rankings read."""
+    config = co.CoincidenceConfig(light_travel_time_s=60.0, timing_jitter_s=2.0)
+    return co.candidate_edges(left, right, config, (), keys).select(
+        *keys, F.col("id_l").alias("src"), F.col("id_r").alias("dst"), "dt_s", "frequency_overlap", "time_overlap",
+        (F.abs("dt_s") / F.col("tolerance_s")).alias("dt_over_tolerance"), F.log(F.col("EnWDF_l") / F.col("EnWDF_r")).alias("log_ratio"), "cost")
+
+
+NODE_FEATURES, LINK_FEATURES = ("EnWDF", "freqMean", "duration"), ("dt_s",)
+
+
 @query("anomaly_residual")
 def anomaly_residual(spark, folder):
-    t = cut_lineage(network_table(spark, folder))
-    features = ("dt_over_tolerance", "wavegram_similarity", "frequency_overlap", "network_correlation", "network_min_enwdf")
-    return learn.BackgroundAnomaly(features).fit(t.where("dt_over_tolerance > 0.5")).score(t)
+    """How unlike an accidental pair each pair of any two detectors' events is, learned from five slides of all of them."""
+    t = cut_lineage(triggers(spark, folder))
+    left, right = co.by_detector_pair(t, IFOS)
+    shifts = [s for s, in sl.draw_shifts(5, 1, SPAN_S, 3600.0)]
+    moved = sl.slide_events(right, shifts, 0.0, SPAN_S, "gpsPeak", ["gpsPeak", "gpsStart"])
+    slid = coincident_pairs(sl.replicate(left, len(shifts)), moved, ["pair", sl.SLIDE])
+    links = cut_lineage(ch.intra_edges(t, 300.0))
+    net = gn.AccidentalNetwork(NODE_FEATURES, LINK_FEATURES, ("dt_over_tolerance", "frequency_overlap", "time_overlap", "log_ratio"))
+    net.fit_slides(t, links, slid, epochs=40)
+    return net.anomalies(t, links, coincident_pairs(left, right, ["pair"]))
 
 
 # --- the sky -----------------------------------------------------------------
@@ -474,25 +495,26 @@ def wavegram_search(spark, folder):
 
 @query("message_passing_scores")
 def message_passing_scores(spark, folder):
-    """Cross-detector edges scored from their ends, each end seeing its own detector's neighbours."""
-    t = cut_lineage(triggers(spark, folder).where(F.col("ifo").isin("click", "view")))
-    config = co.CoincidenceConfig(light_travel_time_s=4.0, timing_jitter_s=0.5)
-    e = co.candidate_edges(t.where("ifo = 'click'"), t.where("ifo = 'view'"), config).select(
-        F.col("id_l").alias("src"), F.col("id_r").alias("dst"), "dt_s", "frequency_overlap", "time_overlap", "cost")
-    e = cut_lineage(e.withColumn("label", (F.col("cost") < 1.0).cast("int")))
-    scorer = learn.MessagePassingScorer(["EnWDF", "freqMean", "duration"], ["dt_s", "frequency_overlap", "time_overlap"])
-    intra = ch.intra_edges(t, 300.0)
-    return scorer.fit(t, intra, e).score(t, intra, e)
+    """Pairs of any two detectors' events, each event hearing its own detector's neighbours; what is sent is learned."""
+    t = cut_lineage(triggers(spark, folder))
+    pairs = coincident_pairs(*co.by_detector_pair(t, IFOS), ["pair"])
+    pairs = cut_lineage(pairs.withColumn("label", (F.col("dt_over_tolerance") < 0.3).cast("int")))
+    net = gn.CoincidenceNetwork(NODE_FEATURES, LINK_FEATURES, ("dt_s", "frequency_overlap", "time_overlap"))
+    links = cut_lineage(ch.intra_edges(t, 300.0))
+    # Fitted on the first half of the span, which shares no pair with the second.
+    early = pairs.join(t.select(F.col("id").alias("src"), "gps"), "src").withColumn("early", F.col("gps") < SPAN_S / 2).drop("gps")
+    net.fit(t, links, early, mask=F.col("early"), epochs=40)
+    return net.judged(t, links, pairs)
 
 
 @query("detector_edge_scores")
 def detector_edge_scores(spark, folder):
-    """One detector's own edges scored after two rounds of messages along them."""
-    nodes = graph_nodes(spark, folder)
+    """One detector's own edges scored after two rounds of learned messages along them."""
+    nodes = cut_lineage(graph_nodes(spark, folder))
     e = cut_lineage(cluster.detector_edges(nodes).withColumn("label", (F.col("time_overlap") > 0).cast("int")))
-    both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    scorer = learn.MessagePassingScorer(["EnWDF", "snrPeak", "duration"], ["onset_gap", "frequency_overlap", "log_energy_ratio"], rounds=2, prefix="edge")
-    return scorer.fit(nodes, both, e, node_id="trigger_id").score(nodes, both, e, node_id="trigger_id")
+    net = gn.EdgeNetwork(("EnWDF", "snrPeak", "duration"), ("onset_gap", "frequency_overlap", "log_energy_ratio"), hidden=16)
+    net.fit_edges(nodes, e, node_id="trigger_id", epochs=40)
+    return net.judged_edges(nodes, e, node_id="trigger_id")
 
 
 @query("sky_contains_truth")
