@@ -118,7 +118,9 @@ def _posted(reps: DataFrame, config: MinHashConfig) -> DataFrame:
 
 def _shingled(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """`rep, shingles`: the full sets of the classes in `needed`, recomputed from the text that `doc_id, text_hash` names."""
-    rows = _hashed(docs).join(needed, ["doc_id", "text_hash"]).select("rep", "text")
+    # Most texts go by their ids alone, so few are dealt by what tells apart the texts of one id.
+    some = _hashed(docs).join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = some.join(needed, ["doc_id", "text_hash"]).select("rep", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
