@@ -110,6 +110,11 @@ def candidate_edges(left: DataFrame, right: DataFrame, config: CoincidenceConfig
     b = right.select(*keys, *cols).withColumn("_lo", F.col("gpsStart")).withColumn(
         "_hi", F.col("gpsStart") + F.col("duration"))
     pairs = overlap_join(a, b, ("_lo", "_hi"), ("_lo", "_hi"), keys)
+    return admitted(pairs, config, ifos).drop("_lo_l", "_hi_l", "_lo_r", "_hi_r")
+
+
+def admitted(pairs: DataFrame, config: CoincidenceConfig, ifos: Sequence[str] = ()) -> DataFrame:
+    """Those pairs of events (columns with `_l` and `_r`) that may be one signal, with the cost of pairing them."""
     L, R = (lambda c: F.col(c + "_l")), (lambda c: F.col(c + "_r"))
     a0, a1 = L("gpsStart"), L("gpsStart") + L("duration")
     b0, b1 = R("gpsStart"), R("gpsStart") + R("duration")
@@ -131,14 +136,18 @@ def candidate_edges(left: DataFrame, right: DataFrame, config: CoincidenceConfig
     if config.morphology_weight:
         le, re = (F.greatest(s("EnWDF") * s("EnWDF"), F.lit(TINY)) for s in (L, R))
         cost = cost + F.lit(config.morphology_weight) * F.abs(F.log(le / re))
-    return scored.withColumn("cost", cost).drop("_lo_l", "_hi_l", "_lo_r", "_hi_r")
+    return scored.withColumn("cost", cost)
 
 
 def one_to_one_candidates(left: DataFrame, right: DataFrame, config: CoincidenceConfig,
                           ifos: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
     """Candidates in which no event is used twice: most pairs first, then least total cost."""
+    return chosen_candidates(candidate_edges(left, right, config, ifos, keys), keys)
+
+
+def chosen_candidates(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The one-to-one choice among admitted pairs, as candidates."""
     keys = list(keys)
-    edges = candidate_edges(left, right, config, ifos, keys)
     chosen = assign_one_to_one(edges, [*keys], "id_l", "id_r", "cost")
     sa, sb = F.col("EnWDF_l"), F.col("EnWDF_r")
     return chosen.select(
