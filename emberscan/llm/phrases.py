@@ -15,6 +15,7 @@ phrases, between shards by their texts; nothing is decided by hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -210,6 +211,23 @@ def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.n
         alive, spot, hashes = next_alive, next_spot, np.concatenate([x.hashes for x in kept])
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is kept for later stages, and what it held would be missing there."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
+
+
+def _released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work`, giving memory back when it is through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+    return run
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     shard = Shard()
     for batch in batches:
@@ -223,11 +241,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
                     if shard.size >= SHARD_LIMIT and shard.ended:
                         yield shard
                         shard = Shard()
+                        give_back()
             else:
                 shard.add(langs, texts, totals)
             if shard.size >= SHARD_LIMIT:
                 yield shard
                 shard = Shard()
+                give_back()
     yield shard
 
 
@@ -258,7 +278,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     names, shard.texts.cast(pa.string()), pa.array(shard.hashes.view(np.int64)),
                     pa.array(shard.counts.astype(np.int64))], schema=_WORDS)
 
-    return texts.mapInArrow(counted, _WORDS_DDL).groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(_released(counted), _WORDS_DDL).groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f"))
 
 
 def local_support(support: int, here: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -299,11 +319,11 @@ def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, conf
                 continue
             lang, hashes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
             order, edges, of_lang, bucket = _dealt(lang, hashes, buckets)
-            hashes, excess = hashes[order], (counts - (least[lang] - 1))[order].astype(np.int64)
+            hashes, excess = hashes[order], (counts - (least[lang] - 1))[order].astype(np.int32)
             packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (hashes, excess)]
             yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang)), pa.array(bucket), pa.array(np.zeros(len(bucket), np.int64)), *packed], schema=_FOUND)
 
-    return texts.mapInArrow(mined, _FOUND_DDL)
+    return texts.mapInArrow(_released(mined), _FOUND_DDL)
 
 
 def promising(found: DataFrame, config: PhraseConfig) -> DataFrame:
@@ -312,7 +332,7 @@ def promising(found: DataFrame, config: PhraseConfig) -> DataFrame:
     packed = attach(found.where("bucket >= 0").select("lang", "bucket", "hashes", "excess"), hidden, "lang", max_rows=10_000)
 
     def merged(batch: pa.Table) -> pa.Table:
-        hashes, excess = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("excess", np.int64)))
+        hashes, excess = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("excess", np.int32)))
         distinct, numbers = np.unique(hashes, return_inverse=True)
         reach = np.bincount(numbers, weights=excess) + batch.column("most")[0].as_py()
         return pa.table({"hash": pa.array(distinct[reach >= config.support].view(np.int64))})
@@ -342,21 +362,20 @@ def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: n
                 at = level.example[order]
                 phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(shard.words[at + k])) for k in range(size)], " ")
                 lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), phrase), "\n")
-                counts = level.counts[order].astype(np.int64)
+                counts = level.counts[order].astype(np.int32)
                 packed = pa.array([counts[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang)), pa.array(bucket), lines, packed], schema=_COUNTED)
 
     def summed(key: tuple, batch: pa.Table) -> pa.Table:
         lines = pc.list_flatten(pc.split_pattern(batch.column("phrases").cast(pa.large_string()), "\n")).combine_chunks()
         coded = lines.dictionary_encode()
-        counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int64)
-        # Halves of the counts are exact as floating point numbers.
-        low, high = (np.bincount(coded.indices.to_numpy(), weights=x).astype(np.int64) for x in (counts & 0xFFFFFFFF, counts >> 32))
-        f = (high << 32) + low
+        counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32)
+        # Sums of counts below 2**31 are exact as floating point numbers up to 2**53.
+        f = np.bincount(coded.indices.to_numpy(), weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
         some = np.flatnonzero(f >= config.support)
         return pa.table({"lang": pa.array([key[0].as_py()] * len(some), pa.string()), "phrase": coded.dictionary.take(pa.array(some)).cast(pa.string()), "f": pa.array(f[some])})
 
-    return texts.mapInArrow(counted, _COUNTED_DDL).groupBy("lang", "bucket").applyInArrow(summed, "lang string, phrase string, f long")
+    return texts.mapInArrow(_released(counted), _COUNTED_DDL).groupBy("lang", "bucket").applyInArrow(summed, "lang string, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) -> tuple[DataFrame, DataFrame]:
