@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberscan.functions import arrays as ar
 from emberscan.functions.geometry import travel_times
 from emberscan.operators import coincidence as co
+from emberscan.operators import netslides as ns
 from emberscan.operators import rangejoin as rj
 from emberscan.operators import rank as rk
 from emberscan.operators import slides as sl
@@ -265,3 +266,39 @@ def rank_far(spark, folder):
     r = rk.rank_by_rate(zero.select("pair_id", "id_l", "id_r", "network_min_enwdf"), bg, "network_min_enwdf", "pair_id", 5 * SPAN_S, SPAN_S)
     return r.select("id_l", "id_r", R6("network_min_enwdf").alias("network_min_enwdf"), "n_background_ge",
                     F.round("far_hz", 12).alias("far_hz"), F.round("far_per_day", 9).alias("far_per_day"), F.round("fap", 9).alias("fap"))
+
+
+#: All detectors but the first are moved, in the default number of slides; slide 0 is the zero lag.
+NETWORK_SHIFTS = ns.network_shifts(IFOS, 100, SPAN_S, 3600.0)
+
+NETWORK_EDGES = f"""
+shift AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{i}', {s!r}::DOUBLE)" for k, slide in enumerate(NETWORK_SHIFTS) for i, s in slide.items())}) v(slide, ifo, s)),
+placed AS (SELECT t.*, slide, gpsCentroid - 0.0 + s AS m FROM trig t JOIN shift USING (ifo)),
+moved AS (SELECT *, CASE WHEN slide = 0 THEN 0.0 ELSE 0.0 + (m - {SPAN_S}::DOUBLE * floor(m / {SPAN_S}::DOUBLE)) - gpsCentroid END AS d FROM placed),
+ev AS (SELECT slide, ifo, id, gpsPeak + d AS peak, gpsStart + d AS t0, gpsStart + d + duration AS t1, freqMin AS f0, freqMax AS f1, freqMean AS f, tSpread FROM moved),
+a AS (SELECT *, unnest(range(floor((t0 - 10) / 128)::BIGINT, floor((t1 + 10) / 128)::BIGINT + 1)) AS cell FROM ev),
+b AS (SELECT *, unnest(range(floor(t0 / 128)::BIGINT, floor(t1 / 128)::BIGINT + 1)) AS cell FROM ev),
+met AS (SELECT a.ifo || ',' || b.ifo AS pair, a.slide AS slide_index, a.id AS id_l, b.id AS id_r, a.peak - b.peak AS dt, a.t0 AS a0, a.t1 AS a1, b.t0 AS b0, b.t1 AS b1,
+               abs(a.f - b.f) / greatest(a.f1 - a.f0, b.f1 - b.f0, 1.0) AS apart,
+               least(4.0 + 3.0 * sqrt(pow(greatest(a.tSpread, 0.5), 2) + pow(greatest(b.tSpread, 0.5), 2)), 10.0) AS tol
+        FROM a JOIN b ON a.slide = b.slide AND a.cell = b.cell AND a.ifo < b.ifo
+        WHERE a.cell = greatest(floor((a.t0 - 10) / 128), floor(b.t0 / 128))),
+kept AS (SELECT *, abs(dt) / greatest(tol, 1e-12) + apart AS cost FROM met WHERE least(a1, b1 + tol) >= greatest(a0, b0 - tol))"""
+
+
+@query("network_slides", with_views(TRIG, NETWORK_EDGES) + """
+SELECT pair, slide_index::INT AS slide_index, id_l, id_r, round(dt, 6) AS dt_s, round(cost, 6) AS cost FROM kept""")
+def network_slides(spark, folder):
+    """Every admitted pair of events of all detectors, at zero lag and in a hundred slides."""
+    e = ns.slid_edges(triggers(spark, folder), IFOS, CONFIG, NETWORK_SHIFTS, 0.0, SPAN_S)
+    return e.select("pair", "slide_index", "id_l", "id_r", R6("dt_s").alias("dt_s"), R6("cost").alias("cost"))
+
+
+@query("network_slides_by_pair", with_views(TRIG, NETWORK_EDGES) + """
+SELECT pair, count(*)::BIGINT AS n_pairs, count(DISTINCT slide_index)::BIGINT AS n_slides, count(*) FILTER (slide_index = 0)::BIGINT AS n_zero_lag,
+       round(min(cost), 6) AS least_cost FROM kept GROUP BY pair""")
+def network_slides_by_pair(spark, folder):
+    """How many accidental pairs each two detectors have over all slides, and how many at zero lag."""
+    e = ns.slid_edges(triggers(spark, folder), IFOS, CONFIG, NETWORK_SHIFTS, 0.0, SPAN_S)
+    return e.groupBy("pair").agg(F.count("*").alias("n_pairs"), F.count_distinct("slide_index").alias("n_slides"),
+                                 F.count_if(F.col("slide_index") == 0).alias("n_zero_lag"), R6(F.min("cost")).alias("least_cost"))
