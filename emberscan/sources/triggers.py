@@ -60,31 +60,43 @@ def _row_reader(spark: SparkSession):
         spark.conf.set(name, before)
 
 
+#: A run is the folder above a file, or above the `name=value` folders it lies in.
+RUN_OF_FILE = r"^(.*?)(?:/[^/=]+=[^/]*)*/[^/]*$"
+
+
+def run_folders(spark: SparkSession, paths: list[str], pattern: str = "*.parquet") -> list[str]:
+    """The runs below some folders, however deep; files may be named, too. Spark lists them, no file is opened."""
+    if not paths:
+        raise ValueError("no trigger file paths")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(paths)
+    runs = files.select(F.regexp_extract("path", RUN_OF_FILE, 1).alias("run")).distinct().orderBy("run").collect()
+    if not runs:
+        raise ValueError(f"no trigger files {pattern} below {', '.join(paths)}")
+    return [r["run"] for r in runs]
+
+
 def read_triggers(spark: SparkSession, path: str | list[str], ifo: str | None = None, pattern: str = "*.parquet",
                   foreign: bool = False) -> DataFrame:
-    """Triggers under run folders, measurements as doubles and NaN as NULL.
+    """Triggers of all runs below some folders, measurements as doubles and NaN as NULL.
 
     A run is a folder of files, or what `write_triggers` made: there, `ifo` and `n_coeff` are folders, which a filter on
-    them prunes. With `foreign`, the files are read once by the row reader and kept in the
-    checkpoint folder; write them with `write_triggers` to be rid of the detour.
+    them prunes in every run. A run whose files lack a column of a trigger is refused by name. The plan has one scan a run.
+    With `foreign`, the files are read once by the row reader and kept in the checkpoint folder; write them with
+    `write_triggers` to be rid of the detour.
     """
     from emberscan.session import cut_lineage
 
-    paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.option("pathGlobFilter", pattern)
-    runs = [reader.parquet(p) for p in paths]
-    for run in runs:
-        lacking = {"wt_index", "wt_value"} - set(run.columns)
-        if lacking:
-            raise ValueError(f"these are not trigger files: no column {sorted(lacking)}")
     own = {f.name: f for f in [*TRIGGER, T.StructField("ifo", T.StringType())]}
     raw = None
-    for path_, run in zip(paths, runs, strict=True):
-        kept = T.StructType([own[c] for c in run.columns if c in own])
-        part = reader.schema(kept).parquet(path_).withColumn("_file", F.col("_metadata.file_path"))
+    for run in run_folders(spark, [path] if isinstance(path, str) else list(path), pattern):
+        reader = spark.read.option("pathGlobFilter", pattern).option("basePath", run)
+        found = reader.parquet(run).columns
+        lacking = [f.name for f in TRIGGER if f.name not in found]
+        if lacking:
+            raise ValueError(f"these are not trigger files: {run} has no column {', '.join(lacking)}")
+        part = reader.schema(T.StructType([own[c] for c in found if c in own])).parquet(run).withColumn("_file", F.col("_metadata.file_path"))
         raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
-    found = set(raw.columns)
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in (*TIMES, *MEASURED) if c in found}
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in (*TIMES, *MEASURED)}
     out = raw.withColumns(clean)
     if foreign:
         with _row_reader(spark):
@@ -104,7 +116,7 @@ def with_stride(triggers: DataFrame, folder: str) -> DataFrame:
     # A file's window is in its name, or is its partition; its run is the folder above, or above the partitions.
     named = F.regexp_extract("_file", WINDOW_IN_NAME, 1)
     t = triggers.withColumn("_win", F.when(named != "", named).otherwise(F.col("n_coeff").cast("string"))).withColumn(
-        "_dir", F.regexp_extract("_file", r"^(.*?)(?:/[^/=]+=[^/]*)*/[^/]*$", 1))
+        "_dir", F.regexp_extract("_file", RUN_OF_FILE, 1))
     # One sidecar per run and window length.
     joined = t.join(beside, on=["_dir", "_win"], how="left")
     told = F.assert_true(F.col("_rate").isNotNull() & (F.col("_hop") > 0), "a trigger file has no usable run parameters beside it")

@@ -68,6 +68,36 @@ def test_files_without_coefficients_are_refused(spark, tmp_path):
         tr.read_triggers(spark, str(tmp_path / "x"))
 
 
+def test_a_tree_of_runs_is_read_whole_and_pruned_in_every_run(spark, tmp_path):
+    base = tmp_path / "o4" / "night"
+    for k, (name, n) in enumerate((("run1", 30), ("deep/run2", 20))):
+        df = tr.triggers_from_records(spark, records(n), "H1").unionByName(tr.triggers_from_records(spark, records(5), "L1"))
+        tr.write_triggers(df, str(base / name))
+        (base / name / "parametersUsed-Win64.json").write_text(json.dumps(dict(window=64, overlap=16 * (k + 1), sampling=8192, ResamplingFactor=4)))
+    assert [r.rsplit("/", 1)[1] for r in tr.run_folders(spark, [str(tmp_path)])] == ["run2", "run1"]
+    back = tr.read_triggers(spark, str(tmp_path))
+    assert back.count() == 60 and set(tr.TRIGGER.names) <= set(back.columns)
+    some = back.where("ifo = 'L1'")
+    assert some.count() == 10
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(ifo") == 2
+    strides = tr.with_stride(back, str(tmp_path)).groupBy("stride").count().collect()
+    assert {(r.stride, r["count"]) for r in strides} == {(48 / 2048, 35), (32 / 2048, 25)}
+    # Both runs, named one by one.
+    assert tr.read_triggers(spark, [str(base / "run1"), str(base / "deep" / "run2")]).count() == 60
+
+
+def test_no_paths_no_files_and_missing_columns_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="no trigger file paths"):
+        tr.read_triggers(spark, [])
+    with pytest.raises(ValueError, match="no trigger files"):
+        tr.read_triggers(spark, str(tmp_path))
+    bad = tr.triggers_from_records(spark, records(2), "H1").drop("freqMean", "sigma")
+    bad.write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(ValueError, match="bad has no column sigma, freqMean"):
+        tr.read_triggers(spark, str(tmp_path))
+
+
 def test_run_parameters(tmp_path):
     path = str(tmp_path / "p.json")
     tr.RunParameters(64, 16, 8192, 4, {"channel": "A"}).dump(path)
