@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberscan.operators import clean, summary
 from emberscan.plans.registry import query
 from emberscan.plans.views import TRIG, WIN, labelled_scores, table, tile_sql, triggers, windows, with_views, sparse_windows
 from emberscan.operators.slides import pool_backgrounds
+from emberscan.session import ensure_checkpoint_dir
+from emberscan.sources import triggers as files
 
 R6 = lambda c: F.round(c, 6)
 
@@ -21,6 +25,33 @@ def trigger_schema_scan(spark, folder):
         R6("freqMax").alias("freqMax"), "n_coeff")
 
 
+@query("trigger_runs_read_back", with_views(WIN, tile_sql()) + """,
+per AS (SELECT trigger_id, count(*)::BIGINT AS n, sum(c * c) AS e, max(abs(c)) AS peak, min(k)::BIGINT AS first_index FROM coef GROUP BY trigger_id)
+SELECT CASE WHEN label < 5 THEN 'run1' ELSE 'run2' END AS run, ifo, round(gps, 6) AS gps, w.n_coeff, round((sqrt(e) / sigma)::FLOAT::DOUBLE, 3) AS "EnWDF", round(peak, 4) AS "snrPeak",
+       n AS n_coefficients, round(e, 4) AS energy, first_index
+FROM win w JOIN per USING (trigger_id)""")
+def trigger_runs_read_back(spark, folder):
+    """All windows with coefficients, written as two runs of a tree and read back from its top."""
+    w = sparse_windows(spark, folder).where(F.size("wt_index") > 0)
+    energy = F.aggregate("wt_value", F.lit(0.0), lambda a, v: a + v * v)
+    span = F.col("n_coeff") / F.col("fs")
+    measured = {c: F.lit(None).cast("double") for c in files.MEASURED} | {
+        "EnWDF": F.sqrt(energy) / F.col("sigma"), "snrPeak": F.array_max(F.transform("wt_value", lambda v: F.abs(v))), "duration": span, "sigma": F.col("sigma")}
+    rows = w.withColumns(measured | {c: F.col("gps") for c in files.TIMES}).withColumns({
+        "wave": F.lit("Haar"), "wt_index": F.col("wt_index").cast("array<int>"), "wt_value": F.col("wt_value").cast("array<float>")})
+    rows = rows.select("ifo", *files.TRIGGER.names, F.when(F.col("label") < 5, "run1").otherwise("run2").alias("run"))
+    ensure_checkpoint_dir(spark)
+    base = f"{spark.sparkContext.getCheckpointDir()}/runs-{uuid.uuid4().hex}"
+    for run in ("run1", "run2"):
+        files.write_triggers(rows.where(F.col("run") == run).drop("run"), f"{base}/o4/{run}")
+    back = files.read_triggers(spark, base)
+    energy = F.aggregate("wt_value", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    return back.select(
+        F.regexp_extract("_file", "/(run[12])/", 1).alias("run"), "ifo", R6("gps").alias("gps"), "n_coeff", F.round("EnWDF", 3).alias("EnWDF"),
+        F.round("snrPeak", 4).alias("snrPeak"), F.size("wt_index").cast("long").alias("n_coefficients"), F.round(energy, 4).alias("energy"),
+        F.array_min("wt_index").cast("long").alias("first_index"))
+
+
 @query("trigger_union_tagged", with_views(TRIG) + """
 SELECT segment_id, count(*)::BIGINT AS n, round(sum("EnWDF"), 4) AS total
 FROM (SELECT 'day' AS segment_id, * FROM trig WHERE ifo = 'click' UNION ALL SELECT 'night', * FROM trig WHERE ifo = 'view')
