@@ -61,20 +61,27 @@ class CoincidenceConfig:
     frequency_weight: float = 1.0
     morphology_weight: float = 0.0
 
-    def travel_time(self, ifos: Sequence[str] = ()) -> float:
-        stated = self.light_travel_time_s
-        return network_light_travel_time(ifos) if stated is None else float(stated)
+    def between(self, ifos: Sequence[str] = ()) -> "Tolerances":
+        """What these settings come to for a group of detectors."""
+        travel = network_light_travel_time(ifos) if self.light_travel_time_s is None else float(self.light_travel_time_s)
+        return Tolerances(
+            travel_s=travel, jitter_s=self.timing_jitter_s, sigmas=self.timing_sigma,
+            cap_s=float(self.maximum_tolerance_s if self.maximum_tolerance_s is not None else travel * self.maximum_tolerance_travel_times))
 
-    def maximum_tolerance(self, ifos: Sequence[str] = ()) -> float:
-        stated = self.maximum_tolerance_s
-        return self.travel_time(ifos) * self.maximum_tolerance_travel_times if stated is None else float(stated)
 
-    def tolerance(self, left_spread: Column, right_spread: Column, ifos: Sequence[str] = ()) -> Column:
-        jitter = F.lit(self.timing_jitter_s)
-        a = F.greatest(F.coalesce(F.nanvl(left_spread, F.lit(0.0)), F.lit(0.0)), jitter)
-        b = F.greatest(F.coalesce(F.nanvl(right_spread, F.lit(0.0)), F.lit(0.0)), jitter)
-        wide = F.lit(self.travel_time(ifos)) + F.lit(self.timing_sigma) * quadrature(a, b)
-        return F.least(wide, F.lit(self.maximum_tolerance(ifos)))
+@dataclass(frozen=True)
+class Tolerances:
+    """How far apart in time the events of two detectors may be, in seconds."""
+
+    travel_s: float
+    jitter_s: float
+    sigmas: float
+    cap_s: float
+
+    def of_pair(self, one_spread: Column, other_spread: Column) -> Column:
+        """A pair's own: light travel and the two spreads, none below the jitter or unknown, and never more than the cap."""
+        spread = [F.greatest(F.coalesce(F.nanvl(s, F.lit(0.0)), F.lit(0.0)), F.lit(self.jitter_s)) for s in (one_spread, other_spread)]
+        return F.least(F.lit(self.travel_s) + F.lit(self.sigmas) * quadrature(*spread), F.lit(self.cap_s))
 
 
 def legacy_window(ifo_a: str, ifo_b: str, timing_jitter_s: float = 0.01) -> float:
@@ -88,8 +95,9 @@ def coincidence_reach(left: DataFrame, right: DataFrame, config: CoincidenceConf
         right.select("duration", "tSpread", F.lit("r").alias("side")))
     longest = lambda side: F.coalesce(F.max(F.when((F.col("side") == side) & ~F.isnan("duration"), F.col("duration"))), F.lit(0.0))
     widest = F.coalesce(F.max(F.when(~F.isnan("tSpread"), F.col("tSpread"))), F.lit(0.0))
-    facts = both.agg((F.lit(config.travel_time(ifos)) + longest("l") + longest("r")).alias("_far"), widest.alias("_wide"))
-    return facts.select(F.greatest("_far", config.tolerance(F.col("_wide"), F.col("_wide"), ifos)).alias("reach_s"))
+    allowed = config.between(ifos)
+    facts = both.agg((F.lit(allowed.travel_s) + longest("l") + longest("r")).alias("_far"), widest.alias("_wide"))
+    return facts.select(F.greatest("_far", allowed.of_pair(F.col("_wide"), F.col("_wide"))).alias("reach_s"))
 
 
 EVENT_COLUMNS = ("id", "gpsPeak", "gpsStart", "duration", "tSpread", "freqMin", "freqMean", "freqMax", "EnWDF")
@@ -104,7 +112,7 @@ def candidate_edges(left: DataFrame, right: DataFrame, config: CoincidenceConfig
     each pair is held to its own tolerance.
     """
     keys, cols = list(keys), list(EVENT_COLUMNS)
-    cap = config.maximum_tolerance(ifos)
+    cap = config.between(ifos).cap_s
     a = left.select(*keys, *cols).withColumn("_lo", F.col("gpsStart") - cap).withColumn(
         "_hi", F.col("gpsStart") + F.col("duration") + cap)
     b = right.select(*keys, *cols).withColumn("_lo", F.col("gpsStart")).withColumn(
@@ -118,14 +126,15 @@ def admitted(pairs: DataFrame, config: CoincidenceConfig, ifos: Sequence[str] =
     L, R = (lambda c: F.col(c + "_l")), (lambda c: F.col(c + "_r"))
     a0, a1 = L("gpsStart"), L("gpsStart") + L("duration")
     b0, b1 = R("gpsStart"), R("gpsStart") + R("duration")
-    tol = config.tolerance(L("tSpread"), R("tSpread"), ifos)
+    allowed = config.between(ifos)
+    tol = allowed.of_pair(L("tSpread"), R("tSpread"))
     low = lambda s: F.least(s("freqMin"), s("freqMax"))
     high = lambda s: F.greatest(s("freqMin"), s("freqMax"))
     scored = (
         pairs.withColumn("tolerance_s", tol)
         .withColumn("dt_s", L("gpsPeak") - R("gpsPeak"))
         .withColumn("frequency_overlap", overlap_fraction(low(L), high(L), low(R), high(R)))
-        .withColumn("time_overlap", clipped_overlap(a0, a1, b0, b1, F.lit(config.travel_time(ifos))))
+        .withColumn("time_overlap", clipped_overlap(a0, a1, b0, b1, F.lit(allowed.travel_s)))
         .where(intervals_touch(a0, a1, b0, b1, F.col("tolerance_s")))
         .where(F.col("frequency_overlap") >= config.minimum_frequency_overlap)
         .where(F.col("time_overlap") >= config.minimum_time_overlap)

@@ -129,7 +129,7 @@ def test_geometry():
     with pytest.raises(KeyError):
         geo.light_travel_time("H1", "X9")
     c = CoincidenceConfig()
-    assert c.maximum_tolerance(("H1", "L1")) == pytest.approx(2.5 * geo.light_travel_time("H1", "L1"))
+    assert c.between(("H1", "L1")).cap_s == pytest.approx(2.5 * geo.light_travel_time("H1", "L1"))
 
 
 def test_sky_regions_cover_the_truth(spark):
