@@ -119,7 +119,8 @@ def _posted(reps: DataFrame, config: MinHashConfig) -> DataFrame:
 def _shingled(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """`rep, shingles`: the full sets of the classes in `needed`, recomputed from the text that `doc_id, text_hash` names."""
     # Most texts go by their ids alone, so few are dealt by what tells apart the texts of one id.
-    some = _hashed(docs).join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = written(needed.select("doc_id").distinct(), "ids")
+    some = _hashed(docs).join(ids, "doc_id", "left_semi")
     rows = some.join(needed, ["doc_id", "text_hash"]).select("rep", "text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +239,7 @@ def _near_duplicates(docs: DataFrame, config: MinHashConfig) -> DataFrame:
     classes = written(least.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
                       .withColumn("rep", F.monotonically_increasing_id()), "classes")
     reps = written(usable.withColumnRenamed("n_shingles", "n").join(classes, ["doc_id", "text_hash", "d1", "d2"])
-                   .dropDuplicates(["rep"]).select("rep", "n", "tokens"), "classes")
+                   .dropDuplicates(["doc_id", "text_hash", "d1", "d2"]).select("rep", "n", "tokens"), "classes")
     posted = written(_posted(reps, config), "postings")
     lists = written(posted.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("first")).where("members > 1")
                     .select("token", "members", F.col("first.rep").alias("pivot"), F.col("first.n").alias("m")), "lists")
