@@ -44,13 +44,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-@query("op10_host_rules")
+@query("op10_host_rules", """
+    WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+    worded AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+                      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM rows_),
+    grams AS (SELECT r, i, w[i:i + 4] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM worded)),
+    again AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+    covered AS (SELECT r, count(DISTINCT i + j)::BIGINT AS n FROM again, (SELECT unnest(range(0, 5)) AS j) GROUP BY r),
+    counts AS (
+        SELECT d.r, doc_id, host, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
+               (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+               (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+        FROM worded d LEFT JOIN covered c USING (r)),
+    failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+    hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM failed GROUP BY host),
+    moments AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS m, var_pop(f / n) AS v, avg(1 / n) AS inverse, sum(n) / count(*) AS size FROM hosts),
+    between_ AS (SELECT *, v - m * (1 - m) * inverse AS b FROM moments),
+    prior AS (SELECT m, CASE WHEN b > 0 AND m * (1 - m) / b - 1 > 0 THEN m * (1 - m) / b - 1 ELSE size END AS s FROM between_),
+    rates AS (SELECT host, (f + m * s) / (n + m * s + (1 - m) * s) AS rate FROM hosts, prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {limit} AS kept, failed.host,
+           round(rate, 9) AS host_rate
+    FROM failed JOIN rates ON failed.host IS NOT DISTINCT FROM rates.host""".format(limit=rules.HOST_LIMIT))
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.host_rules(table(spark, sf_dir, "documents"))
+    out = rules.host_rules(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 9))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rate")
 
 
-@query("op3_minhash")
+@query("op3_minhash", """
+    WITH RECURSIVE worded AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    runs AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM worded WHERE len(w) > 0),
+    sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i:i + 3] END AS s FROM runs),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+    reach AS (SELECT DISTINCT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.at),
+    least AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN least l ON l.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.MinHashConfig(words=4))
 

@@ -12,6 +12,7 @@ import tokenizers
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import oracle  # noqa: E402
 import support  # noqa: E402
 from emberscan.llm import langid, minhash, mixing, packing, queries, rules, suffixes, token_cache, tokens  # noqa: E402
 from emberscan.llm.store import new_path  # noqa: E402
@@ -356,6 +357,11 @@ def test_mixing_odd_rows(spark, docs, nothing, texts):
     assert mixing.mix(nothing, labels).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op3_minhash", "op10_host_rules"])
+def test_queries_equal_their_sql(spark, folder, name):
+    assert oracle.compare(queries.QUERIES[name](spark, folder), oracle.connect(folder), queries.ORACLES[name]) == []
+
+
 @pytest.mark.parametrize("run", [
     lambda d: minhash.near_duplicates(d), lambda d: suffixes.repeated_bytes(d), lambda d: rules.host_rules(d), lambda d: langid.identify(d),
     lambda d: packing.pack_documents(d, "byte_bpe_50k.json"), lambda d: token_cache.count_tokens(d, new_path(d.sparkSession, "cache"), "piece_bpe_32k.model")])
