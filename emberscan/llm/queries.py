@@ -77,10 +77,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM worded WHERE len(w) > 0),
     sets AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i:i + 3] END AS s FROM runs),
     sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
-    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
-    reach AS (SELECT DISTINCT doc_id, doc_id AS at FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.at),
-    least AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id)
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * met >= 80 * (x.n + y.n - met)),
+    reach AS (SELECT DISTINCT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
     FROM documents d JOIN least l ON l.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
