@@ -84,18 +84,18 @@ def paired_dot(spark, folder):
 
 
 NEAREST = """
-near AS (SELECT a.id AS id_a, b.id AS id_b, a.gps AS ga, b.gps AS gb, a."EnWDF" AS ea, b."EnWDF" AS eb,
-                count(*) OVER (PARTITION BY a.id)::BIGINT AS n,
-                row_number() OVER (PARTITION BY a.id ORDER BY abs(a.gps - b.gps), b.gps, b.id) AS rn
-         FROM trig a JOIN trig b ON a.ifo = 'click' AND b.ifo = 'view' AND b.gps >= a.gps - {w} AND b.gps <= a.gps + {w})"""
+near AS (SELECT a.ifo || ',' || b.ifo AS pair, a.id AS id_a, b.id AS id_b, a.gps AS ga, b.gps AS gb, a."EnWDF" AS ea, b."EnWDF" AS eb,
+                count(*) OVER (PARTITION BY a.id, b.ifo)::BIGINT AS n,
+                row_number() OVER (PARTITION BY a.id, b.ifo ORDER BY abs(a.gps - b.gps), b.gps, b.id) AS rn
+         FROM trig a JOIN trig b ON a.ifo < b.ifo AND b.gps >= a.gps - {w} AND b.gps <= a.gps + {w})"""
 
 
 @query("nearest_coincidence", with_views(TRIG, NEAREST.format(w="300.0")) + """
-SELECT id_a, id_b, round(ga - gb, 6) AS dt_s, round((ga * ea + gb * eb) / (ea + eb), 5) AS gps_candidate,
+SELECT pair, id_a, id_b, round(ga - gb, 6) AS dt_s, round((ga * ea + gb * eb) / (ea + eb), 5) AS gps_candidate,
        round(sqrt(ea * ea + eb * eb), 6) AS network_enwdf, n AS n_candidate_matches FROM near WHERE rn = 1""")
 def nearest_coincidence(spark, folder):
-    c = co.nearest_coincidence(detector(spark, folder, "click"), detector(spark, folder, "view"), 300.0)
-    return c.select("id_a", "id_b", R6("dt_s").alias("dt_s"), F.round("gps_candidate", 5).alias("gps_candidate"),
+    c = co.nearest_coincidence(*co.by_detector_pair(triggers(spark, folder), IFOS), 300.0, ["pair"])
+    return c.select("pair", "id_a", "id_b", R6("dt_s").alias("dt_s"), F.round("gps_candidate", 5).alias("gps_candidate"),
                     R6("network_enwdf").alias("network_enwdf"), "n_candidate_matches")
 
 
@@ -117,11 +117,11 @@ def travel_time_matrix(spark, folder):
 CONFIG = co.CoincidenceConfig(light_travel_time_s=4.0, timing_jitter_s=0.5, timing_sigma=3.0)
 
 EDGES = """
-tol AS (SELECT a.id AS id_l, b.id AS id_r, a.gps AS ga, b.gps AS gb, a."EnWDF" AS ea, b."EnWDF" AS eb,
+tol AS (SELECT a.ifo || ',' || b.ifo AS pair, a.id AS id_l, b.id AS id_r, a.gps AS ga, b.gps AS gb, a."EnWDF" AS ea, b."EnWDF" AS eb,
                a."gpsStart" AS a0, a."gpsStart" + a.duration AS a1, b."gpsStart" AS b0, b."gpsStart" + b.duration AS b1,
                a."freqMin" AS af0, a."freqMax" AS af1, b."freqMin" AS bf0, b."freqMax" AS bf1, a."freqMean" AS af, b."freqMean" AS bf,
                least(4.0 + 3.0 * sqrt(pow(greatest(a."tSpread", 0.5), 2) + pow(greatest(b."tSpread", 0.5), 2)), 10.0) AS tol
-        FROM trig a JOIN trig b ON a.ifo = 'click' AND b.ifo = 'view'
+        FROM trig a JOIN trig b ON a.ifo < b.ifo
           AND a."gpsStart" - 10.0 <= b."gpsEnd" AND b."gpsStart" <= a."gpsEnd" + 10.0),
 edge AS (SELECT *, ga - gb AS dt,
                 greatest(0.0, least(af1, bf1) - greatest(af0, bf0)) / greatest(least(af1 - af0, bf1 - bf0), 1e-12) AS fo,
@@ -132,16 +132,16 @@ edge AS (SELECT *, ga - gb AS dt,
 
 
 @query("interval_candidates", with_views(TRIG, EDGES) + """
-SELECT id_l, id_r, round(dt, 6) AS dt_s, round(tol, 6) AS tolerance_s, round(fo, 6) AS frequency_overlap, round(tov, 6) AS time_overlap, round(cost, 6) AS cost FROM edge""")
+SELECT pair, id_l, id_r, round(dt, 6) AS dt_s, round(tol, 6) AS tolerance_s, round(fo, 6) AS frequency_overlap, round(tov, 6) AS time_overlap, round(cost, 6) AS cost FROM edge""")
 def interval_candidates(spark, folder):
-    e = co.candidate_edges(detector(spark, folder, "click"), detector(spark, folder, "view"), CONFIG)
+    e = co.candidate_edges(*co.by_detector_pair(triggers(spark, folder), IFOS), CONFIG, (), ["pair"])
     six = ("dt_s", "tolerance_s", "frequency_overlap", "time_overlap", "cost")
-    return e.select("id_l", "id_r", *[R6(c).alias(c) for c in six])
+    return e.select("pair", "id_l", "id_r", *[R6(c).alias(c) for c in six])
 
 
 @query("assignment_1to1")
 def assignment_1to1(spark, folder):
-    return co.one_to_one_candidates(detector(spark, folder, "click"), detector(spark, folder, "view"), CONFIG)
+    return co.one_to_one_candidates(*co.by_detector_pair(triggers(spark, folder), IFOS), CONFIG, (), ["pair"])
 
 
 @query("pairwise_network")
@@ -221,36 +221,39 @@ FIVE = [7200.0 * k + 31.0 for k in range(1, 6)]
 FIVE_LIST = ", ".join(f"({k}, {s}::DOUBLE)" for k, s in enumerate(FIVE))
 CANONICAL = f"""
 slides AS (SELECT * FROM (VALUES {FIVE_LIST}) v(slide_index, shift)),
-rep AS (SELECT slide_index, t.*, slides.shift AS slide_shift FROM trig t, slides WHERE ifo = 'view'),
+rep AS (SELECT slide_index, t.*, slides.shift AS slide_shift FROM trig t, slides),
 mv AS (SELECT *, "gpsCentroid" + slide_shift - {SPAN_S} * floor(("gpsCentroid" + slide_shift) / {SPAN_S}) - "gpsCentroid" AS disp FROM rep),
-slid AS (SELECT slide_index, id, "EnWDF", "tSpread", duration, "gpsPeak" + disp AS gps, "gpsStart" + disp AS "gpsStart" FROM mv),
-edge AS (SELECT b.slide_index, a.id AS id_l, b.id AS id_r, a.gps AS ga, b.gps AS gb, a."EnWDF" AS ea, b."EnWDF" AS eb,
+slid AS (SELECT slide_index, ifo, id, "EnWDF", "tSpread", duration, "gpsPeak" + disp AS gps, "gpsStart" + disp AS "gpsStart" FROM mv),
+edge AS (SELECT a.ifo || ',' || b.ifo AS pair, b.slide_index, a.id AS id_l, b.id AS id_r, a.gps AS ga, b.gps AS gb, a."EnWDF" AS ea, b."EnWDF" AS eb,
                a."gpsStart" AS a0, a."gpsStart" + a.duration AS a1, b."gpsStart" AS b0, b."gpsStart" + b.duration AS b1,
                least(4.0 + 3.0 * sqrt(pow(greatest(a."tSpread", 0.5), 2) + pow(greatest(b."tSpread", 0.5), 2)), 10.0) AS tol
-        FROM trig a JOIN slid b ON a.ifo = 'click' AND a."gpsStart" - 10.0 <= b."gpsStart" + b.duration AND b."gpsStart" <= a."gpsStart" + a.duration + 10.0)"""
+        FROM trig a JOIN slid b ON a.ifo < b.ifo AND a."gpsStart" - 10.0 <= b."gpsStart" + b.duration AND b."gpsStart" <= a."gpsStart" + a.duration + 10.0)"""
 
 
 @query("slides_canonical", with_views(TRIG, CANONICAL) + """
-SELECT slide_index::INT AS slide_index, id_l, id_r, round(ga - gb, 6) AS dt_s, round(least(ea, eb), 6) AS network_min_enwdf
+SELECT pair, slide_index::INT AS slide_index, id_l, id_r, round(ga - gb, 6) AS dt_s, round(least(ea, eb), 6) AS network_min_enwdf
 FROM edge WHERE least(a1, b1 + tol) >= greatest(a0, b0 - tol)""")
 def slides_canonical(spark, folder):
     e = canonical_background(spark, folder)
-    return e.select("slide_index", "id_l", "id_r", R6("dt_s").alias("dt_s"), R6("network_min_enwdf").alias("network_min_enwdf"))
+    return e.select("pair", "slide_index", "id_l", "id_r", R6("dt_s").alias("dt_s"), R6("network_min_enwdf").alias("network_min_enwdf"))
+
+
+def canonical_sides(spark, folder):
+    """Of every pair of detectors the first where it is, and the second moved, once per slide."""
+    left, right = co.by_detector_pair(triggers(spark, folder), IFOS)
+    moved = sl.slide_events(right, FIVE, 0.0, SPAN_S, "gpsCentroid", ["gpsPeak", "gpsCentroid", "gpsStart"])
+    return sl.replicate(left, len(FIVE)), moved.drop("slide_shift_s")
 
 
 def canonical_background(spark, folder):
     """Every pair the canonical slides admit, before any assignment."""
-    a = sl.replicate(detector(spark, folder, "click"), len(FIVE))
-    b = sl.slide_events(detector(spark, folder, "view"), FIVE, 0.0, SPAN_S, "gpsCentroid", ["gpsPeak", "gpsCentroid", "gpsStart"])
-    e = co.candidate_edges(a, b.drop("slide_shift_s"), CONFIG, keys=[sl.SLIDE])
+    e = co.candidate_edges(*canonical_sides(spark, folder), CONFIG, keys=["pair", sl.SLIDE])
     return e.withColumn("network_min_enwdf", F.least("EnWDF_l", "EnWDF_r"))
 
 
 @query("slides_one_to_one")
 def slides_one_to_one(spark, folder):
-    a = sl.replicate(detector(spark, folder, "click"), len(FIVE))
-    b = sl.slide_events(detector(spark, folder, "view"), FIVE, 0.0, SPAN_S, "gpsCentroid", ["gpsPeak", "gpsCentroid", "gpsStart"])
-    return co.one_to_one_candidates(a, b.drop("slide_shift_s"), CONFIG, keys=[sl.SLIDE])
+    return co.one_to_one_candidates(*canonical_sides(spark, folder), CONFIG, keys=["pair", sl.SLIDE])
 
 
 @query("rank_far", with_views(TRIG, EDGES.replace("edge AS", "zero AS"), CANONICAL) + f""",
@@ -259,7 +262,7 @@ r AS (SELECT id_l, id_r, least(ea, eb) AS s, (SELECT count(*) FROM bg WHERE bg.s
 SELECT id_l, id_r, round(s, 6) AS network_min_enwdf, n::BIGINT AS n_background_ge, round((n + 1) / {5 * SPAN_S}, 12) AS far_hz,
        round((n + 1) / {5 * SPAN_S} * 86400.0, 9) AS far_per_day, round(1 - exp(-(n + 1) / {5 * SPAN_S} * {SPAN_S}), 9) AS fap FROM r""")
 def rank_far(spark, folder):
-    zero = co.candidate_edges(detector(spark, folder, "click"), detector(spark, folder, "view"), CONFIG)
+    zero = co.candidate_edges(*co.by_detector_pair(triggers(spark, folder), IFOS), CONFIG, (), ["pair"])
     zero = zero.withColumn("network_min_enwdf", F.least("EnWDF_l", "EnWDF_r")).withColumn(
         "pair_id", F.concat_ws("-", "id_l", "id_r"))
     bg = canonical_background(spark, folder)

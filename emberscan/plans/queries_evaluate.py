@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberscan.operators import coincidence as co
 from emberscan.operators import evaluate as ee
 from emberscan.operators import rank as rk
 from emberscan.operators import tiles as tl
 from emberscan.operators.rangejoin import cross_pairs
 from emberscan.operators.scale import scale_maximum
 from emberscan.plans.registry import query
+from emberscan.plans.queries_coincidence import IFOS
 from emberscan.plans.queries_events import numbered_tiles
 from emberscan.plans.views import INJ, SCORES, TRIG, WIN, injections, labelled_scores, tile_sql, triggers, windows, with_views
 from emberscan.sources import submission as sub
@@ -260,15 +262,15 @@ def roc_auc(spark, folder):
 
 
 @query("edge_labels", with_views(TRIG, INJ) + """,
-ev AS (SELECT * FROM trig WHERE ifo IN ('click', 'view')),
+ev AS (SELECT * FROM trig),
 nx AS (SELECT ev.id, "gpsStart" AS s, "gpsEnd" AS e, (SELECT min(inj_gps) FROM inj WHERE inj_gps >= "gpsStart") AS a, (SELECT max(inj_gps) FROM inj WHERE inj_gps < "gpsStart") AS b FROM ev),
 ow AS (SELECT id, coalesce(CASE WHEN a >= s - 300.0 AND a <= e + 300.0 THEN a END, CASE WHEN b >= s - 300.0 AND b <= e + 300.0 THEN b END) AS o FROM nx),
-pr AS (SELECT x.id AS src, y.id AS dst FROM trig x JOIN trig y ON x.ifo = 'click' AND y.ifo = 'view' AND y.gps >= x.gps - 300.0 AND y.gps <= x.gps + 300.0)
+pr AS (SELECT x.id AS src, y.id AS dst FROM trig x JOIN trig y ON x.ifo < y.ifo AND y.gps >= x.gps - 300.0 AND y.gps <= x.gps + 300.0)
 SELECT src, dst, coalesce(p.o = q.o, FALSE)::INT AS label FROM pr JOIN ow p ON p.id = src JOIN ow q ON q.id = dst""")
 def edge_labels(spark, folder):
-    t = triggers(spark, folder).where(F.col("ifo").isin("click", "view"))
-    pick = lambda i: t.where(F.col("ifo") == i).select("id", "gps")
-    pairs = cross_pairs(pick("click"), pick("view"), "gps", "gps", 300.0).select(F.col("id_l").alias("src"), F.col("id_r").alias("dst"))
+    t = triggers(spark, folder)
+    sides = co.by_detector_pair(t.select("ifo", "id", "gps"), IFOS)
+    pairs = cross_pairs(*sides, "gps", "gps", 300.0, ["pair"]).select(F.col("id_l").alias("src"), F.col("id_r").alias("dst"))
     owners = ee.covered_injection(t, injections(spark, folder), 300.0)
     return ee.edge_labels(pairs, owners).select("src", "dst", "label")
 
