@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +40,13 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         df.write.partitionBy(*partition_by).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
-    for paths in _open:
+    for paths in _open.get():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_open: list[list[str]] = []
+#: The workspaces around the running code; another thread has its own.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open workspaces", default=())
 
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
@@ -67,12 +69,15 @@ def workspace(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         stays.append(paths[-1])
         return out
 
-    _open.append(paths)
+    token = _open.set((*_open.get(), paths))
     try:
         yield keep
+    except BaseException:
+        stays.clear()
+        raise
     finally:
-        _open.pop()
-    _delete(spark, [p for p in paths if p not in stays])
+        _open.reset(token)
+        _delete(spark, [p for p in paths if p not in stays])
 
 
 def remove(spark: SparkSession, path: str) -> None:

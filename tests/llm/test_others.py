@@ -2,6 +2,7 @@
 
 import random
 import sys
+import threading
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
 import support  # noqa: E402
-from emberscan.llm import chat, graph, links, packing, quantised, queries  # noqa: E402
+from emberscan.llm import chat, graph, links, packing, quantised, queries, store  # noqa: E402
 
 TURNS = "conv_id long, turn long, role string, text string, chain string, block string, n_rows long"
 
@@ -276,6 +277,34 @@ def test_scores_of_long_chains_equal_a_dense_solve(spark, ring):
         assert max(abs(got[f"h{k:02d}"][name] - want[k]) for k in range(n)) < 1e-9
 
 
+def test_operators_in_two_threads_keep_their_own_tables(spark):
+    ready, done, seen = threading.Event(), threading.Event(), []
+
+    def slow():
+        with store.workspace(spark) as keep:
+            mine = store.written(spark.range(5), "mine")
+            ready.set()
+            done.wait(60)
+            seen.append(keep(mine).count())
+
+    other = threading.Thread(target=slow)
+    other.start()
+    ready.wait(60)
+    with store.workspace(spark):
+        gone = store.written(spark.range(3), "gone")
+    done.set()
+    other.join()
+    assert seen == [5]
+    with pytest.raises(Exception):
+        gone.count()
+    with pytest.raises(KeyError):
+        with store.workspace(spark) as keep:
+            lost = keep(spark.range(3))
+            raise KeyError
+    with pytest.raises(Exception):
+        lost.count()
+
+
 def test_pages_run_without_python(spark, folder):
     plan = queries.QUERIES["op6_link_graph"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
