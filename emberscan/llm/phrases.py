@@ -41,6 +41,8 @@ LEAST_SHARDS = 26
 TEXT_CHUNK = 2 << 20
 #: Words of the corpus for each bucket that phrases of all shards are put together in.
 BUCKET_WORDS = 2_000_000
+#: The same for the words themselves, by the bytes of the input, and how many there are at most.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 14
 #: Parts of a shard's phrases that are sorted one after the other.
 SLICES = 8
 
@@ -51,8 +53,8 @@ _ENDS_PIECE[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ENDS_WORD = _ENDS_PIECE.copy()
 _ENDS_WORD[[0x20, 0x09]] = True
 
-_WORDS_DDL = "lang string, phrase string, hash long, f long"
-_WORDS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("f", pa.int64())])
+_WORDED_DDL = "lang string, bucket long, phrases string, hashes binary, counts binary"
+_WORDED = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("phrases", pa.string()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _FOUND_DDL = "lang string, bucket long, hidden long, hashes binary, excess binary"
 _FOUND = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("hidden", pa.int64()), ("hashes", pa.binary()), ("excess", pa.binary())])
 _COUNTED_DDL = "lang string, bucket long, phrases string, counts binary"
@@ -268,17 +270,45 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """`lang, phrase, hash, f`: how often each word occurs in each language."""
+def count_words(texts: DataFrame, buckets: int, support: int) -> DataFrame:
+    """`lang, phrase, hash, f` of every word that occurs `support` times in its language; rows without a `phrase` hold what
+    all words of one bucket come to, in `f`, and their bytes in `hash`.
+
+    What is shuffled are buckets of packed words, one row a shard, language and bucket.
+    """
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
             if shard.close():
-                names = pa.array(shard.names, pa.string()).take(pa.array(shard.lang))
-                yield pa.RecordBatch.from_arrays([
-                    names, shard.texts.cast(pa.string()), pa.array(shard.hashes.view(np.int64)),
-                    pa.array(shard.counts.astype(np.int64))], schema=_WORDS)
+                order, edges, of_lang, bucket = _dealt(shard.lang, shard.hashes, buckets)
+                spelled = shard.texts.cast(pa.string()).take(pa.array(order))
+                lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), spelled), "\n")
+                hashes, counts = shard.hashes[order], shard.counts[order].astype(np.int32)
+                packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (hashes, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(shard.names, pa.string()).take(pa.array(of_lang)), pa.array(bucket), lines, *packed], schema=_WORDED)
 
-    return texts.mapInArrow(_released(counted), _WORDS_DDL).groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f"))
+    def summed(key: tuple, batch: pa.Table) -> pa.Table:
+        words, f, first = _added(batch)
+        hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)[first]
+        some = np.flatnonzero(f >= support)
+        n_bytes = int((f * (pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)).sum())
+        return pa.table({
+            "lang": pa.array([key[0].as_py()] * (len(some) + 1), pa.string()), "phrase": pa.concat_arrays([pa.nulls(1, pa.string()), words.take(pa.array(some)).cast(pa.string())]),
+            "hash": pa.array(np.append(n_bytes, hashes[some])), "f": pa.array(np.append(f.sum(), f[some]))})
+
+    return texts.mapInArrow(_released(counted), _WORDED_DDL).groupBy("lang", "bucket").applyInArrow(summed, "lang string, phrase string, hash long, f long")
+
+
+def _added(batch: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct lines of all rows of a bucket, the sum of their counts, and where each first stands."""
+    lines = pc.list_flatten(pc.split_pattern(batch.column("phrases").cast(pa.large_string()), "\n")).combine_chunks()
+    coded = lines.dictionary_encode()
+    at = coded.indices.to_numpy()
+    counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32)
+    # Sums of counts below 2**31 are exact as floating point numbers up to 2**53.
+    f = np.bincount(at, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+    first = np.empty(len(f), np.int64)
+    first[at[::-1]] = np.arange(len(at))[::-1]
+    return coded.dictionary, f, first
 
 
 def local_support(support: int, here: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -367,13 +397,9 @@ def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: n
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang)), pa.array(bucket), lines, packed], schema=_COUNTED)
 
     def summed(key: tuple, batch: pa.Table) -> pa.Table:
-        lines = pc.list_flatten(pc.split_pattern(batch.column("phrases").cast(pa.large_string()), "\n")).combine_chunks()
-        coded = lines.dictionary_encode()
-        counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32)
-        # Sums of counts below 2**31 are exact as floating point numbers up to 2**53.
-        f = np.bincount(coded.indices.to_numpy(), weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+        found, f, _ = _added(batch)
         some = np.flatnonzero(f >= config.support)
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(some), pa.string()), "phrase": coded.dictionary.take(pa.array(some)).cast(pa.string()), "f": pa.array(f[some])})
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(some), pa.string()), "phrase": found.take(pa.array(some)).cast(pa.string()), "f": pa.array(f[some])})
 
     return texts.mapInArrow(_released(counted), _COUNTED_DDL).groupBy("lang", "bucket").applyInArrow(summed, "lang string, phrase string, f long")
 
@@ -384,12 +410,15 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
     prepare(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(config.undetermined)).alias("lang"), F.col("text").cast("string").alias("text")) \
         .where("text is not null")
-    words = written(count_words(texts), "words")
-    totals = written(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    frequent = words.where(F.col("f") >= config.support)
+    # Before anything is counted only the plan tells how much there may be; a bucket too many or too few costs little.
+    guess = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    words = written(count_words(texts, max(shuffle_partitions(spark), min(guess // BUCKET_BYTES, MOST_BUCKETS)), config.support), "words")
+    totals = written(words.where("phrase is null").groupBy("lang").agg(F.sum("f").alias("n"), F.sum("hash").alias("bytes")), "totals")
+    frequent = words.where("phrase is not null")
     bits = bit_table(frequent)
 
-    size = words.agg(F.sum(F.col("f") * (F.octet_length("phrase") + 1)).alias("bytes"), F.sum("f").alias("n")).first()
+    size = totals.agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).first()
+    totals = totals.select("lang", "n")
     wanted = max(LEAST_SHARDS, -(-int(size["bytes"] or 0) // SHARD_BYTES))
     buckets = max(shuffle_partitions(spark), int(size["n"] or 0) // BUCKET_WORDS)
     sized = attach(texts, totals, "lang", max_rows=10_000).coalesce(wanted)
