@@ -34,7 +34,7 @@ from emberscan.session import shuffle_partitions
 BITS = 1 << 26
 #: Text of a shard: what is aimed at, and where a shard ends in any case.
 SHARD_BYTES = 32 << 20
-SHARD_LIMIT = 40 << 20
+SHARD_LIMIT = 34 << 20
 #: A small corpus is mined in so many shards at least, if it has as many input splits.
 LEAST_SHARDS = 26
 #: Bytes of text whose words are found together.
@@ -289,6 +289,7 @@ def count_words(texts: DataFrame, buckets: int, support: int) -> DataFrame:
     def summed(key: tuple, batch: pa.Table) -> pa.Table:
         words, f, first = _added(batch)
         hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)[first]
+        give_back()
         some = np.flatnonzero(f >= support)
         n_bytes = int((f * (pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)).sum())
         return pa.table({
@@ -365,6 +366,7 @@ def promising(found: DataFrame, config: PhraseConfig) -> DataFrame:
         hashes, excess = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("excess", np.int32)))
         distinct, numbers = np.unique(hashes, return_inverse=True)
         reach = np.bincount(numbers, weights=excess) + batch.column("most")[0].as_py()
+        give_back()
         return pa.table({"hash": pa.array(distinct[reach >= config.support].view(np.int64))})
 
     return packed.groupBy("lang", "bucket").applyInArrow(merged, "hash long")
