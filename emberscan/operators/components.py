@@ -2,16 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberscan.session import cut_lineage
+from emberscan.session import cut_lineage, ship_package
 
 # A vertex with more than this share of the edges is a hub. There can be no
 # more hubs than twice the inverse of the share, which bounds what is broadcast.
 HUB_SHARE = 1e-4
 # Fewer rows than this meet in one task without harm.
 HUB_ROWS = 10_000
+# Edges a task contracts at a time, and the links it keeps before it hands them on.
+FOREST_EDGES, FOREST_LINKS = 1 << 20, 1 << 20
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`(vertex, least)` for every vertex that is not itself the least one it is connected to by these edges."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[:len(u)], at[len(u):]
+    least = np.arange(len(ids))
+    while True:
+        a, b = least[a], least[b]
+        open_ = a != b
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(jumped := least[least], least):
+            least = jumped
+    linked = np.flatnonzero(least != np.arange(len(ids)))
+    return ids[linked], ids[least[linked]]
+
+
+def _spanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that connect what the given ones do, at most one per vertex for as long as the links fit."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    links = waiting = 0
+    batch_of = lambda pair: pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+    for batch in batches:
+        kept.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        waiting += batch.num_rows
+        if waiting < FOREST_EDGES:
+            continue
+        found = _forest(*(np.concatenate(side) for side in zip(*kept)))
+        kept, links, waiting = [found], len(found[0]), 0
+        if links >= FOREST_LINKS:
+            yield batch_of(found)
+            kept = []
+    if kept:
+        yield batch_of(_forest(*(np.concatenate(side) for side in zip(*kept))))
+
+
+def spanning_edges(edges: DataFrame) -> DataFrame:
+    """`edges (u, v)` without those that close a circle inside their task: the same components from far fewer rows.
+
+    Pairs of close rows number their count times their density, but a task needs no more of them than it has vertices.
+    Nothing is shuffled for this, and a task holds a bounded number of links. Only whole-number vertices are contracted.
+    """
+    if any(not isinstance(edges.schema[c].dataType, T.LongType) for c in ("u", "v")):
+        return edges
+    ship_package(edges.sparkSession)
+    return edges.mapInArrow(_spanned, "u long, v long")
 
 
 def _minimum_of_neighbours(edges: DataFrame, total: int) -> DataFrame:
@@ -44,12 +100,12 @@ def component_labels(edges: DataFrame, source: str = "src", target: str = "dst",
     vertex hands its larger neighbours the least of its neighbourhood, then
     every vertex does so with its smaller ones, until only stars remain. The
     number of rounds grows with the logarithm of the vertices. Each round is
-    written to the checkpoint folder, so a lost executor costs one round.
+    written to the checkpoint folder, so a lost executor costs one round. Every
+    task first drops the edges that its others make needless.
     """
     a, b = F.col(source), F.col(target)
-    stars = cut_lineage(
-        edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    )
+    plain = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    stars = cut_lineage(spanning_edges(plain).distinct())
     state = _signature(stars)
     while state[0]:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))

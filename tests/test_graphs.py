@@ -39,6 +39,36 @@ def test_hubs_take_the_broadcast_way(spark, monkeypatch):
     assert all(got[v] == want[v] for v in got.index) and len(got) == n
 
 
+def test_dense_graphs_are_contracted_before_they_are_written(spark, monkeypatch):
+    from emberscan.operators import components
+    written, cut = [], components.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    n = 400
+    a = spark.range(n).withColumnRenamed("id", "src")
+    edges = a.crossJoin(spark.range(n).withColumnRenamed("id", "dst")).where("src % 2 = dst % 2").repartition(3)
+    got = components.component_labels(edges).toPandas().set_index("vertex").component
+    assert len(got) == n and all(got[v] == v % 2 for v in range(n))
+    assert written[0] <= 3 * n
+
+
+def test_links_are_handed_on_when_they_no_longer_fit(monkeypatch):
+    import pyarrow as pa
+
+    from emberscan.operators import components
+    monkeypatch.setattr(components, "FOREST_EDGES", 50)
+    monkeypatch.setattr(components, "FOREST_LINKS", 120)
+    rng = np.random.default_rng(8)
+    edges = rng.integers(0, 400, (900, 2))
+    batches = [pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["u", "v"]) for part in np.array_split(edges, 30)]
+    links = [pair for batch in components._spanned(iter(batches)) for pair in zip(*(c.to_pylist() for c in batch.columns))]
+    assert labels_of(400, links) == labels_of(400, edges.tolist()) and all(u > v for u, v in links)
+
+
 def best_by_force(edges):
     left, right = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
     cost = {(a, b): c for a, b, c in edges}
