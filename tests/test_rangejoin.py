@@ -87,3 +87,24 @@ def test_empty_sides(spark, two):
     assert rj.nearest_within(spark.createDataFrame(a), none, "t", "rt", 1.0, "id", "rid").count() == 0
     assert rj.cross_pairs(spark.createDataFrame(a), none, "t", "rt", 1.0).count() == 0
     assert rj.overlap_join(spark.createDataFrame(a), none, ("t", "e"), ("rt", "re")).count() == 0
+
+
+def test_lengths_of_one_order_share_a_level(spark):
+    spans = spark.range(10, 131).select(F.lit(0.0).alias("lo"), F.col("id").cast("double").alias("hi"))
+    levels = spans.select(rj._level(F.col("lo"), F.col("hi"), -4).alias("lv")).distinct()
+    assert levels.count() <= 2
+    cells = spans.select(F.size(rj._cells(F.col("lo"), F.col("hi"), rj._level(F.col("lo"), F.col("hi"), -4))).alias("n"))
+    assert cells.agg(F.max("n")).first()[0] <= 2
+
+
+def test_nearest_within_over_more_slabs_than_partitions(spark, two, monkeypatch):
+    from emberscan.operators import scan
+    a, b = two
+    near = lambda: rj.nearest_within(spark.createDataFrame(a), spark.createDataFrame(b), "t", "rt", 1.0, "id", "rid").select(
+        "l.id", "r.rid", "n_matches")
+    want = near().toPandas().sort_values("id").to_numpy().tolist()
+    monkeypatch.setattr(scan, "SLAB_ROWS", 100)
+    assert scan.slabs_for(spark, 3 * len(a) + len(b)) == 27 and scan.slabs_for(spark, 100) == 8
+    got = near()
+    assert got.rdd.getNumPartitions() == 27
+    assert got.toPandas().sort_values("id").to_numpy().tolist() == want
