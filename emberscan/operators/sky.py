@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscan.functions.geometry import SITES, SPEED_OF_LIGHT, sidereal_angle, sites_table
-from emberscan.operators.scan import lookup_join, prefix_scan
-from emberscan.session import shuffle_partitions
+from emberscan.session import cut_lineage, shuffle_partitions
+
+# Cells of the sky a task holds.
+SKY_ROWS = 1 << 21
 
 
 def with_grid(rows: DataFrame, n_ra: int, n_dec: int) -> DataFrame:
@@ -39,7 +41,10 @@ def localise(arrivals: DataFrame, n_ra: int = 360, n_dec: int = 180, key: str =
     sites = sites_table(arrivals.sparkSession)
     # Few and small rows that become many: their size would not tell adaptive
     # execution to keep them apart, so the number of partitions is given.
-    spread = arrivals.repartition(shuffle_partitions(arrivals.sparkSession), key)
+    # It follows from the cells, which a task sorts by candidate; the few arrivals are written to be counted.
+    arrivals = cut_lineage(arrivals)
+    tasks = max(shuffle_partitions(arrivals.sparkSession), -(-arrivals.count() * n_ra * n_dec // (2 * SKY_ROWS)))
+    spread = arrivals.repartition(tasks, key)
     a = spread.withColumn("ifo", F.upper("ifo")).join(F.broadcast(sites), on="ifo", how="left")
     known = F.assert_true(F.col("x").isNotNull(), "an arrival is at a detector whose site is not known")
     timed = F.assert_true(F.coalesce((F.col("spread") > 0) & ~F.isnan("gps"), F.lit(False)), "an arrival has no time or no positive spread")
@@ -78,8 +83,9 @@ def localise(arrivals: DataFrame, n_ra: int = 360, n_dec: int = 180, key: str =
 
 
 def _ranked(sky: DataFrame, key: str) -> DataFrame:
-    down = sky.withColumn("_down", -F.col("weight"))
-    return prefix_scan(down, [key], ["_down", "cell"], sums={"_upto": "weight"}).drop("_down")
+    # A candidate has as many rows as the grid has cells, so each is ranked where `localise` left it, without a shuffle.
+    down = Window.partitionBy(key).orderBy(-F.col("weight"), "cell").rowsBetween(Window.unboundedPreceding, 0)
+    return sky.withColumn("_upto", F.sum("weight").over(down))
 
 
 def credible_area(sky: DataFrame, level: float = 0.9, key: str = "candidate_id") -> DataFrame:
@@ -92,7 +98,7 @@ def credible_area(sky: DataFrame, level: float = 0.9, key: str = "candidate_id")
 
 def contains(sky: DataFrame, truth: DataFrame, level: float = 0.9, key: str = "candidate_id") -> DataFrame:
     """Whether each candidate's true position (`ra_true, dec_true`) is inside its region."""
-    ranked = lookup_join(_ranked(sky, key), truth, [key])
+    ranked = _ranked(sky, key).join(truth, on=[key])
     d = F.pow(F.col("ra") - F.col("ra_true"), 2) + F.pow(F.col("dec") - F.col("dec_true"), 2)
     # The cut is the weight of the first cell that brings the sum to the level.
     got = ranked.groupBy(key).agg(

@@ -132,6 +132,19 @@ def test_geometry():
     assert c.between(("H1", "L1")).cap_s == pytest.approx(2.5 * geo.light_travel_time("H1", "L1"))
 
 
+def test_skies_are_ranked_where_they_are(spark, monkeypatch):
+    from emberscan.operators import scan
+    monkeypatch.setattr(sk, "SKY_ROWS", 100)
+    monkeypatch.setattr(scan, "cut_lineage", lambda df: pytest.fail("the sky was written"))
+    rows = [(c, i, 1000.0 * c + t, 0.002) for c in range(20) for i, t in (("H1", 0.0), ("L1", 0.001))]
+    sky = sk.localise(spark.createDataFrame(rows, "candidate_id long, ifo string, gps double, spread double"), 24, 12)
+    assert sky.rdd.getNumPartitions() == 58 and sky.count() == 20 * 288
+    weights = sky.toPandas().sort_values(["weight", "cell"], ascending=[False, True]).groupby("candidate_id").weight
+    want = {c: int((w.cumsum() < 0.9).sum()) + 1 for c, w in weights}
+    got = sk.credible_area(sky)
+    assert dict(got.select("candidate_id", "n_cells").toPandas().to_numpy()) == want
+
+
 def test_sky_regions_cover_the_truth(spark):
     rng = np.random.default_rng(6)
     rows, truth = [], []
