@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from emberscan.functions.intervals import finite
 from emberscan.operators.clean import require
-from emberscan.operators.coherence import EDGE_FEATURES
+from emberscan.operators.coherence import EDGE_FEATURES, IntraLinks
+from emberscan.operators.rangejoin import sums_within
 from emberscan.operators.scan import lookup_join
 
 BASELINE_FEATURES = (*EDGE_FEATURES, "network_min_enwdf", "network_enwdf")
@@ -78,13 +79,46 @@ class LogisticBaseline:
         return out
 
 
-def neighbour_means(nodes: DataFrame, edges: DataFrame, features: Sequence[str], node_id: str = "id",
+#: Feature values are summed as whole numbers, this many of them to the largest one: sums of them are exact in any order.
+STEPS = float(1 << 56)
+
+
+def _band_means(nodes: DataFrame, links: IntraLinks, features: Sequence[str], node_id: str) -> DataFrame | None:
+    """Neighbour means over `IntraLinks` of the same nodes by a scan; None where ids repeat or a feature has no finite bound."""
+    value = lambda f: F.col(f).cast("double")
+    sound = [F.max(F.abs(value(f))).alias(f"m_{f}") for f in features]
+    facts = nodes.agg(F.count(F.lit(1)).alias("n"), *sound).first()
+    most = {f: facts[f"m_{f}"] for f in features}
+    # NaN counts as largest of all.
+    if any(m is not None and not m < 1e300 for m in most.values()) or not nodes.groupBy(node_id).count().where("count > 1").isEmpty():
+        return None
+    unit = {f: (m or 1.0) / STEPS for f, m in most.items()}
+    if any(u < 1e-290 for u in unit.values()):
+        return None
+    placed = nodes.where(F.col("ifo").isNotNull() & F.col(links.time).isNotNull() & ~F.isnan(F.col(links.time).cast("double")) & F.col(node_id).isNotNull())
+    placed = placed.select("ifo", F.col(links.time).alias("_time"), F.col(node_id).alias("_node"), F.lit(1).cast("long").alias("n_neighbours"), *[
+        c for k, f in enumerate(features) for c in (
+            F.coalesce(F.round(value(f) / unit[f]).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")).alias(f"s{k}"),
+            F.col(f).isNotNull().cast("long").alias(f"c{k}"))])
+    counted = [f"{x}{k}" for k in range(len(features)) for x in "sc"]
+    sums = sums_within(placed, "_time", "_node", links.window_s, ["n_neighbours", *counted], ["ifo"])
+    mean = lambda k, f: F.when(F.col(f"c{k}") > 0, F.col(f"s{k}").cast("double") / F.col(f"c{k}") * F.lit(unit[f])).alias(f"mean_{f}")
+    return sums.select(F.col("_node").alias(node_id), *[mean(k, f) for k, f in enumerate(features)], "n_neighbours")
+
+
+def neighbour_means(nodes: DataFrame, edges: DataFrame | IntraLinks, features: Sequence[str], node_id: str = "id",
                     source: str = "src", target: str = "dst", edge_features: Sequence[str] = ()) -> DataFrame:
     """Mean over a node's neighbours of their features and of the edges' own; zero without neighbours.
 
     One round of mean aggregation: messages are combined by target before they
-    are shuffled, so a hub costs what its messages cost and no more.
+    are shuffled, so a hub costs what its messages cost and no more. Over `IntraLinks` of these nodes no message is formed at
+    all: close rows number the square of their density, and their sums come from one scan.
     """
+    if isinstance(edges, IntraLinks):
+        means = _band_means(nodes, edges, features, node_id) if edges.nodes is nodes and edges.event == node_id and not edge_features else None
+        if means is not None:
+            return nodes.join(means, on=node_id, how="left").fillna(0, [f"mean_{f}" for f in features] + ["n_neighbours"])
+        edges = edges.edges()
     sent = nodes.select(F.col(node_id).alias(source), *[F.col(f).alias(f"_m_{f}") for f in features])
     messages = lookup_join(edges.select(source, target, *edge_features), sent, [source])
     means = messages.groupBy(F.col(target).alias(node_id)).agg(
