@@ -281,6 +281,19 @@ def search_schema() -> str:
     return "wave string, sigma double, EnWDF double, wt_index array<int>, wt_value array<double>"
 
 
+def basis_rows(x: pd.Series, names: Sequence[str], soft: bool) -> pd.DataFrame:
+    """Each window's winning basis and surviving coefficients, `dsp.BLOCK` numbers at a time."""
+    parts = []
+    step = max(dsp.BLOCK // max(len(x.iloc[0]), 1), 1) if len(x) else 1
+    for lo in range(0, len(x), step):
+        best = dsp.best_basis(np.vstack(x.iloc[lo:lo + step].to_numpy()), names, soft)
+        kept = [np.flatnonzero(c) for c in best["coeff"]]
+        parts.append(pd.DataFrame({"wave": best["wave"], "sigma": best["sigma"], "EnWDF": best["EnWDF"],
+                                   "wt_index": [k.astype("int32") for k in kept],
+                                   "wt_value": [c[k] for c, k in zip(best["coeff"], kept)]}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["wave", "sigma", "EnWDF", "wt_index", "wt_value"])
+
+
 def search(windows: DataFrame, fs: float, threshold: float, bases: Sequence[str] = dsp.BASES, soft: bool = False,
            carry: Sequence[str] = ("ifo", "first_sample")) -> DataFrame:
     """Triggers: per window the winning basis and its surviving coefficients, where the statistic passes.
@@ -292,15 +305,7 @@ def search(windows: DataFrame, fs: float, threshold: float, bases: Sequence[str]
 
     @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ':', 1) for f in search_schema().split(', '))}>")
     def transform(x: pd.Series) -> pd.DataFrame:
-        parts = []
-        step = max(dsp.BLOCK // max(len(x.iloc[0]), 1), 1) if len(x) else 1
-        for lo in range(0, len(x), step):
-            best = dsp.best_basis(np.vstack(x.iloc[lo:lo + step].to_numpy()), names, soft)
-            kept = [np.flatnonzero(c) for c in best["coeff"]]
-            parts.append(pd.DataFrame({"wave": best["wave"], "sigma": best["sigma"], "EnWDF": best["EnWDF"],
-                                       "wt_index": [k.astype("int32") for k in kept],
-                                       "wt_value": [c[k] for c, k in zip(best["coeff"], kept)]}))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["wave", "sigma", "EnWDF", "wt_index", "wt_value"])
+        return basis_rows(x, names, soft)
 
     n = F.size("window").cast("long")
     return windows.withColumn("_t", transform("window")).where(F.col("_t.EnWDF") > threshold).select(

@@ -159,3 +159,22 @@ def test_stitch_policies_and_refusals(spark):
     for bad in (dict(policy="sum"), dict(overlap=64), dict(overlap=40, taper_edges=True)):
         with pytest.raises(ValueError):
             sg.stitch(w, ["id"], FS, 64, **{"overlap": 16, **bad})
+
+
+def test_a_filtered_chunk_holds_no_more_than_itself():
+    rng = np.random.default_rng(3)
+    x, kernel = rng.normal(size=2368), rng.normal(size=2305)
+    y = dsp.convolve_valid(x, kernel)
+    assert y.base is None and y.nbytes == 64 * 8
+    assert np.allclose(y, np.convolve(x, kernel, "valid"))
+
+
+def test_windows_are_searched_in_small_blocks(spark, monkeypatch):
+    from emberscan.operators import signal as sg
+    seen, whole = [], dsp.best_basis
+    monkeypatch.setattr(dsp, "best_basis", lambda w, *a: seen.append(w.size) or whole(w, *a))
+    rng = np.random.default_rng(5)
+    windows = pd.Series(list(rng.normal(size=(10_000, 128))))
+    out = sg.basis_rows(windows, dsp.BASES[:1], False)
+    assert len(out) == 10_000 and max(seen) <= 1 << 18
+    assert np.allclose(out["EnWDF"], whole(np.vstack(windows.to_numpy()), dsp.BASES[:1])["EnWDF"])
