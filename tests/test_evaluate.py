@@ -217,3 +217,27 @@ def test_message_passing_is_symmetric_and_respects_the_mask(spark):
     flipped = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "label")
     b = s.score(nodes, edges, flipped).toPandas().set_index(["dst", "src", "w"]).gnn_score
     np.testing.assert_allclose(a.sort_index().to_numpy(), b.sort_index().to_numpy(), atol=1e-9)
+
+
+def test_pairs_are_labelled_without_being_shuffled(spark):
+    from emberscan.operators import coincidence as co
+    from emberscan.operators.rangejoin import cross_pairs
+    from emberscan.plans.queries_coincidence import IFOS
+    from emberscan.plans.queries_evaluate import labelled_pairs
+    schema = "id long, ifo string, gps double, gpsStart double, gpsEnd double, gpsPeak double, duration double"
+    rows = [(k, IFOS[k % 3], 7.0 * k, 7.0 * k - 2, 7.0 * k + 2, 7.0 * k, 4.0) for k in range(60)] + [(None, "click", 50.0, 48.0, 52.0, 50.0, 4.0)]
+    truth = spark.createDataFrame([(1, 45.0), (2, 200.0), (3, 210.0)], "injection_id long, inj_gps double")
+
+    def joined(t):
+        sides = co.by_detector_pair(t.select("ifo", "id", "gps"), IFOS)
+        pairs = cross_pairs(*sides, "gps", "gps", 20.0, ["pair"]).select(F.col("id_l").alias("src"), F.col("id_r").alias("dst"))
+        return ee.edge_labels(pairs, ee.covered_injection(t, truth, 20.0))
+
+    key = lambda df: sorted(map(repr, df.select("src", "dst", "label").collect()))
+    # Alone, and with an id that is held by two events.
+    for more in ([], [(5, "view", 201.0, 199.0, 203.0, 201.0, 4.0)]):
+        t = spark.createDataFrame(rows + more, schema)
+        got = labelled_pairs(t, truth, 20.0)
+        assert key(got) == key(joined(t)) and {r.label for r in got.collect()} == {0, 1}
+    plan = labelled_pairs(spark.createDataFrame(rows, schema), truth, 20.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
