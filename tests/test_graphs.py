@@ -159,3 +159,25 @@ def test_ties_go_to_the_same_pairs_at_every_size(spark, n):
     df = spark.createDataFrame(rows, "g long, l long, r long, c double")
     chosen = [sorted(map(tuple, assign_one_to_one(df, ["g"], "l", "r", "c", local_edges=k).select("g", "l", "r").collect())) for k in (0, 3, 5000)]
     assert chosen[0] == chosen[1] == chosen[2]
+
+
+def test_density_clusters_write_no_pairs_of_boxes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    # A dense lump, two strands that touch at points only, and strays.
+    x = np.vstack([rng.random((300, 3)) * 2.5, np.c_[10 + 0.45 * np.arange(40), np.zeros((40, 2))],
+                   np.c_[10 + 0.45 * np.arange(40), np.full(40, 1.02), np.zeros(40)], 40 + 30 * rng.random((30, 3))])
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 1.0
+    core = near.sum(axis=1) >= 3
+    root = labels_of(len(x), [(a, b) for a, b in np.argwhere(near) if core[a] and core[b]])
+    want = [root[k] if core[k] else min((root[j] for j in np.flatnonzero(near[k] & core)), default=-1) for k in range(len(x))]
+    written, write = [], cl.cut_lineage
+
+    def counted(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(cl, "cut_lineage", counted)
+    points = spark.createDataFrame([(k, "a", *map(float, p)) for k, p in enumerate(x)], "id long, ifo string, x double, y double, z double")
+    got = {r.id: (r.cluster_id, r.is_core) for r in cl.dbscan(points, [F.col(c) for c in "xyz"], "id", 3).collect()}
+    assert [got[k] for k in range(len(x))] == [(w, bool(c)) for w, c in zip(want, core)]
+    assert max(written) <= len(x)
