@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from emberscan.operators import assignment
 from emberscan.operators import cluster as cl
+from emberscan.operators import coincidence as co
 from emberscan.operators.assignment import assign_one_to_one
 from emberscan.operators.components import component_labels
 from tests_support import labels_of
@@ -161,6 +163,40 @@ def test_ties_go_to_the_same_pairs_at_every_size(spark, n):
     assert chosen[0] == chosen[1] == chosen[2]
 
 
+@pytest.mark.parametrize("n,reach,block,most", [(40, 1.5, 60, 4000), (7, 1.2, 9, 9)])
+def test_blocks_of_an_axis_choose_the_pairs_of_the_whole(spark, monkeypatch, n, reach, block, most):
+    rng = np.random.default_rng(n)
+    # More left ends than right ones to the left, the other way round elsewhere; costs tie; a pair comes twice, an end is NULL.
+    x, y = np.r_[np.linspace(0, n / 8, n // 2), np.linspace(n / 8, n / 2, n - n // 2)], np.linspace(0, n / 2, n)
+    rows = [(1, i, j, float(x[i]), float(y[j]), float(rng.integers(0, 4))) for i in range(n) for j in range(n) if abs(x[i] - y[j]) <= reach]
+    rows += [(*rows[0][:5], 9.0), (1, None, 1, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g long, l long, r long, x double, y double, c double")
+    want = sorted(map(tuple, assign_one_to_one(df, ["g"], "l", "r", "c", local_edges=10**6).collect()))
+    left_over, augment = [], assignment._augment_on_cluster
+
+    def counted(*given):
+        left_over.append(given[-1].count())
+        return augment(*given)
+    monkeypatch.setattr(assignment, "LEAST_EDGES", 1)
+    monkeypatch.setattr(assignment, "_augment_on_cluster", counted)
+    got = assign_one_to_one(df, ["g"], "l", "r", "c", places=("x", "y"), block_edges=block, most_edges=most)
+    assert sorted(map(tuple, got.collect())) == want
+    # Only what no block can tell is left to the joins.
+    assert sum(left_over) == 0 if most > len(rows) else 0 < sum(left_over) < n
+
+
+def test_a_dense_lump_of_events_is_paired_without_a_join_per_pair(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("one phase of joins a pair")
+    monkeypatch.setattr(assignment, "_augment_on_cluster", refuse)
+    rng = np.random.default_rng(3)
+    side = lambda first, n: spark.createDataFrame(
+        [(first + k, t, t - 5.0, 10.0, 0.5, 10.0, 20.0, 30.0, 5.0) for k, t in enumerate(map(float, rng.uniform(0, 8, n)))],
+        "id long, gpsPeak double, gpsStart double, duration double, tSpread double, freqMin double, freqMean double, freqMax double, EnWDF double")
+    found = co.one_to_one_candidates(side(0, 90), side(1000, 75), co.CoincidenceConfig(light_travel_time_s=4.0)).toPandas()
+    assert len(found) == found.id_a.nunique() == found.id_b.nunique() == 75
+
+
 def test_density_clusters_write_no_pairs_of_boxes(spark, monkeypatch):
     rng = np.random.default_rng(11)
     # A dense lump, two strands that touch at points only, and strays.
