@@ -207,6 +207,8 @@ def network_edges(events: DataFrame, windows: dict[tuple[str, str], float]) -> D
     events between them, all of which are within the window too, so linking each
     event to the nearest one of the other detector on either side gives the same
     components with at most two edges per event and pair. No pairs are formed.
+    An edge may come twice, from either end. Rows are dealt by time over all
+    pairs, so that a task can contract what is connected there to one link an event.
     """
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(w)).alias("w"))
                       for (a, b), w in sorted(windows.items())])
@@ -224,8 +226,8 @@ def network_edges(events: DataFrame, windows: dict[tuple[str, str], float]) -> D
     return (
         seen.select("id", "gpsPeak", "w", other.alias("o"))
         .where(F.col("o").isNotNull() & (F.abs(F.col("o.t") - F.col("gpsPeak")) <= F.col("w")))
+        .repartitionByRange(shuffle_partitions(events.sparkSession), "gpsPeak", "id")
         .select(F.least("id", "o.id").alias("src"), F.greatest("id", "o.id").alias("dst"))
-        .distinct()
     )
 
 

@@ -13,7 +13,7 @@ from emberscan.operators import rank as rk
 from emberscan.operators import slides as sl
 from emberscan.operators import sky as sk
 from emberscan.operators.coincidence import CoincidenceConfig, network_candidates, network_edges, legacy_window
-from emberscan.operators.components import component_labels
+from emberscan.operators.components import component_labels, spanning_edges
 from emberscan.plans import pipelines as pl
 from tests_support import labels_of
 
@@ -121,6 +121,19 @@ def test_network_groups_equal_all_pairs(spark):
     assert (c.n_ifos == 3).all() and set(c.ifos_involved) <= {"H1,L1,V1"}
 
 
+def test_network_edges_are_contracted_where_they_are_made(spark):
+    n = 600
+    df = spark.createDataFrame([(k, ("H1", "L1", "V1")[k * k % 7 % 3], 0.5 * k) for k in range(n)], "id long, ifo string, gpsPeak double")
+    edges = network_edges(df, {("H1", "L1"): 9.0, ("H1", "V1"): 9.0, ("L1", "V1"): 9.0}).select(F.col("dst").alias("u"), F.col("src").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left = spanning_edges(edges).count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    # One link an event, and a few at the borders of the tasks.
+    assert left <= n + 100
+
+
 def test_geometry():
     assert geo.light_travel_time("H1", "L1") == pytest.approx(0.010012846, abs=1e-7)
     assert geo.network_light_travel_time(["H1", "V1", "L1", "X9"]) == pytest.approx(geo.light_travel_time("H1", "V1"))
