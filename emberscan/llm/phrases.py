@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberscan.llm.batches import Joined, chunks, mix
+from emberscan.llm.batches import CHUNK, Joined, chunks, mix
 from emberscan.llm.store import prepare, workspace, written
 from emberscan.operators.scan import attach
 from emberscan.session import shuffle_partitions
@@ -43,8 +43,11 @@ TEXT_CHUNK = 2 << 20
 BUCKET_WORDS = 2_000_000
 #: The same for the words themselves, by the bytes of the input, and how many there are at most.
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 14
-#: Parts of a shard's phrases that are sorted one after the other.
-SLICES = 8
+#: Parts of a shard's phrases, each some of the buckets, that are sorted and handed on one after the other.
+SLICES = 16
+#: Words of a shard that are looked at together, and phrases that leave a task together (or those of one bucket).
+BLOCK = 1 << 18
+BATCH_PHRASES = 1 << 15
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -141,19 +144,28 @@ class Shard:
         unified = pa.chunked_array(self._coded).unify_dictionaries()
         self._coded = []
         both = unified.chunk(0).dictionary
-        self.words = np.concatenate([c.indices.to_numpy() for c in unified.chunks]).astype(np.int32)
+        self.words = np.concatenate([c.indices.to_numpy() for c in unified.chunks]).astype(np.int32, copy=False)
+        del unified
         self.breaks = np.concatenate(self._breaks)
         self._breaks = []
-        self.counts = np.bincount(self.words, minlength=len(both))
+        self.counts = np.zeros(len(both), np.int64)
+        for start in range(0, len(self.words), BLOCK):
+            self.counts += np.bincount(self.words[start:start + BLOCK], minlength=len(both))
         split = pc.split_pattern(both.cast(pa.large_string()), "\n", max_splits=1)
         self.texts = pc.list_element(split, 0)
         named = pc.list_element(split, 1).dictionary_encode()
         self.names, self.lang = named.dictionary.to_pylist(), named.indices.to_numpy().astype(np.int32)
         edges = np.frombuffer(both.buffers()[1], np.int64)[both.offset:both.offset + len(both) + 1]
-        held = Joined([both.buffers()[2].to_pybytes() if edges[-1] else b""])
-        self.hashes = held.fingerprints(edges[:-1], edges[1:])
-        del unified, both, split, edges, held
-        pa.default_memory_pool().release_unused()
+        letters = both.buffers()[2]
+        self.hashes = np.empty(len(both), np.uint64)
+        start = 0
+        while start < len(both):
+            stop = max(start + 1, int(np.searchsorted(edges, edges[start] + CHUNK, "right")) - 1)
+            held = Joined([letters.slice(edges[start], edges[stop] - edges[start]).to_pybytes()])
+            self.hashes[start:stop] = held.fingerprints(edges[start:stop] - edges[start], edges[start + 1:stop + 1] - edges[start])
+            start = stop
+        del both, split, edges, letters, held
+        give_back()
         return True
 
     def language_words(self) -> np.ndarray:
@@ -172,45 +184,52 @@ class Level:
     counts: np.ndarray
 
 
-def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], longest: int) -> Iterator[tuple[int, Level]]:
+def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], longest: int, buckets: int) -> Iterator[tuple[int, Level]]:
     """Apriori inside a shard: phrases of kept words, each extended only if both phrases inside it were kept.
 
     `keep(first_words, hashes, counts)` says which distinct phrases stay. Phrases are numbered exactly: a longer one is the
-    number of the shorter one it begins with and its last word. They are told apart `SLICES` times a part of them, by that
-    number, so that no more than a part is sorted at a time.
+    number of the shorter one it begins with and its last word. They are told apart in `SLICES` parts, each with buckets of
+    its own, so that no more than a part is sorted at a time and a part can be handed on before the next one is sorted.
     """
-    alive = keep_word[shard.words]
-    spot, hashes = shard.words, shard.hashes
+    # The number of the phrase that starts at each word, -1 if it was not kept. Of the words, only this is held a second time.
+    spot = np.where(keep_word, np.arange(len(keep_word), dtype=np.int32), np.int32(-1))[shard.words]
+    hashes = shard.hashes
+    slices = min(SLICES, buckets)
+    part = np.empty(len(shard.words), np.uint8)
     for size in range(2, longest + 1):
-        # The phrase one word on must be alive too, and no piece may end inside.
         reach = len(shard.words) - size + 1
         if reach <= 0:
             return
-        at = np.flatnonzero(alive[:reach] & alive[1:reach + 1] & ~shard.breaks[size - 2:size - 2 + reach]).astype(np.int32)
-        slices = (spot[at] % SLICES).astype(np.uint8)
-        next_alive, next_spot = np.zeros(len(shard.words), bool), np.zeros(len(shard.words), np.int32)
-        kept: list[Level] = []
+        longer = lambda first, last: mix(hashes[first] * _STEP + shard.hashes[last] + _U(size))
+        part.fill(slices)
+        for start in range(0, reach, BLOCK):
+            stop = min(start + BLOCK, reach)
+            # The phrase one word on must be alive too, and no piece may end inside.
+            at = start + np.flatnonzero((spot[start:stop] >= 0) & (spot[start + 1:stop + 1] >= 0) & ~shard.breaks[start + size - 2:stop + size - 2])
+            part[at] = longer(spot[at], shard.words[at + (size - 1)]) % _U(buckets) * _U(slices) // _U(buckets)
+        kept: list[np.ndarray] = []
         known = 0
-        for number in range(SLICES):
-            here = at[slices == number]
+        for number in range(slices):
+            here = np.flatnonzero(part == number).astype(np.int32)
             if not len(here):
                 continue
             distinct, first, inverse, counts = np.unique(
                 spot[here].astype(np.int64) << np.int64(32) | shard.words[here + (size - 1)], return_index=True, return_inverse=True, return_counts=True)
             example = here[first]
-            own = mix(hashes[distinct >> np.int64(32)] * _STEP + shard.hashes[distinct & np.int64(0xFFFFFFFF)] + _U(size))
+            own = longer(distinct >> np.int64(32), distinct & np.int64(0xFFFFFFFF))
             stays = keep(shard.words[example], own, counts)
-            rename = (np.cumsum(stays) - 1 + known).astype(np.int32)
-            lives = stays[inverse]
-            here = here[lives]
-            next_alive[here] = True
-            next_spot[here] = rename[inverse[lives]]
-            known += int(stays.sum())
-            kept.append(Level(example[stays], own[stays], counts[stays]))
-            yield size, kept[-1]
-        if not known:
+            # A word is in one slice only, and nothing but its own number is read there.
+            spot[here] = np.where(stays, np.cumsum(stays) - 1 + known, -1).astype(np.int32)[inverse]
+            level = Level(example[stays], own[stays], counts[stays])
+            del here, distinct, first, inverse, counts, example, own
+            known += len(level.hashes)
+            if size < longest:
+                kept.append(level.hashes)
+            yield size, level
+        if not known or size == longest:
             return
-        alive, spot, hashes = next_alive, next_spot, np.concatenate([x.hashes for x in kept])
+        spot[part == slices] = -1
+        hashes = np.concatenate(kept)
 
 
 def give_back() -> None:
@@ -280,11 +299,11 @@ def count_words(texts: DataFrame, buckets: int, support: int) -> DataFrame:
         for shard in _shards(batches):
             if shard.close():
                 order, edges, of_lang, bucket = _dealt(shard.lang, shard.hashes, buckets)
-                spelled = shard.texts.cast(pa.string()).take(pa.array(order))
-                lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), spelled), "\n")
-                hashes, counts = shard.hashes[order], shard.counts[order].astype(np.int32)
-                packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (hashes, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.names, pa.string()).take(pa.array(of_lang)), pa.array(bucket), lines, *packed], schema=_WORDED)
+                names = pa.array(shard.names, pa.string())
+                for runs, lot, ends in _lots(order, edges):
+                    spelled = shard.texts.take(pa.array(lot)).cast(pa.string())
+                    packed = [_packed(x, ends) for x in (shard.hashes[lot], shard.counts[lot].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang[runs])), pa.array(bucket[runs]), _lines(spelled, ends), *packed], schema=_WORDED)
 
     def summed(key: tuple, batch: pa.Table) -> pa.Table:
         words, f, first = _added(batch)
@@ -327,6 +346,28 @@ def _dealt(lang: np.ndarray, hashes: np.ndarray, buckets: int) -> tuple[np.ndarr
     return order, np.append(begins, len(place)), place[begins] // buckets, place[begins] % buckets
 
 
+def _lots(order: np.ndarray, edges: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """What `_dealt` gives in lots of at most `BATCH_PHRASES` (or one run): the runs, their phrases, and where each run ends there.
+
+    A task hands on a lot at a time, since a batch is held whole on both sides of the pipe.
+    """
+    start = 0
+    while start < len(edges) - 1:
+        stop = max(start + 1, int(np.searchsorted(edges, edges[start] + BATCH_PHRASES, "right")) - 1)
+        yield slice(start, stop), order[edges[start]:edges[stop]], edges[start:stop + 1] - edges[start]
+        start = stop
+
+
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The numbers of each run as bytes."""
+    return pa.array([values[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+
+
+def _lines(phrases: pa.Array, edges: np.ndarray) -> pa.Array:
+    """The phrases of each run, one a line."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), phrases), "\n")
+
+
 def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, config: PhraseConfig) -> DataFrame:
     """`lang, bucket, hashes, excess`: what the shards found, and by how much it is above what a shard may hide.
 
@@ -344,15 +385,14 @@ def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, conf
             none = pa.nulls(len(names), pa.binary())
             yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), -1)), pa.array(least - 1), none, none], schema=_FOUND)
             keep_word = (shard.counts >= least[shard.lang]) & _has(shared.value, shard.hashes)
-            found = [(shard.lang[shard.words[level.example]], level.hashes, level.counts) for _, level in
-                     levels(shard, keep_word, lambda first, _, counts: counts >= least[shard.lang[first]], config.longest)]
-            if not found:
-                continue
-            lang, hashes, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-            order, edges, of_lang, bucket = _dealt(lang, hashes, buckets)
-            hashes, excess = hashes[order], (counts - (least[lang] - 1))[order].astype(np.int32)
-            packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary()) for x in (hashes, excess)]
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang)), pa.array(bucket), pa.array(np.zeros(len(bucket), np.int64)), *packed], schema=_FOUND)
+            for _, level in levels(shard, keep_word, lambda first, _, counts: counts >= least[shard.lang[first]], config.longest, buckets):
+                lang = shard.lang[shard.words[level.example]]
+                excess = (level.counts - (least[lang] - 1)).astype(np.int32)
+                order, edges, of_lang, bucket = _dealt(lang, level.hashes, buckets)
+                for runs, lot, ends in _lots(order, edges):
+                    packed = [_packed(x[lot], ends) for x in (level.hashes, excess)]
+                    none_hidden = pa.array(np.zeros(len(ends) - 1, np.int64))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang[runs])), pa.array(bucket[runs]), none_hidden, *packed], schema=_FOUND)
 
     return texts.mapInArrow(_released(mined), _FOUND_DDL)
 
@@ -386,17 +426,14 @@ def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: n
             if not shard.close():
                 continue
             keep_word = _has(words.value, shard.hashes)
-            names, spelled = pa.array(shard.names, pa.string()), shard.texts.cast(pa.string())
-            for size, level in levels(shard, keep_word, lambda _, hashes, __: _has(phrases.value, hashes), config.longest):
+            names = pa.array(shard.names, pa.string())
+            for size, level in levels(shard, keep_word, lambda _, hashes, __: _has(phrases.value, hashes), config.longest, buckets):
                 order, edges, of_lang, bucket = _dealt(shard.lang[shard.words[level.example]], level.hashes, buckets)
-                if not len(order):
-                    continue
-                at = level.example[order]
-                phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(shard.words[at + k])) for k in range(size)], " ")
-                lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), phrase), "\n")
-                counts = level.counts[order].astype(np.int32)
-                packed = pa.array([counts[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang)), pa.array(bucket), lines, packed], schema=_COUNTED)
+                for runs, lot, ends in _lots(order, edges):
+                    at = level.example[lot]
+                    phrase = pc.binary_join_element_wise(*[shard.texts.take(pa.array(shard.words[at + k])).cast(pa.string()) for k in range(size)], " ")
+                    packed = _packed(level.counts[lot].astype(np.int32), ends)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang[runs])), pa.array(bucket[runs]), _lines(phrase, ends), packed], schema=_COUNTED)
 
     def summed(key: tuple, batch: pa.Table) -> pa.Table:
         found, f, _ = _added(batch)

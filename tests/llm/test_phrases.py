@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -109,6 +112,55 @@ def test_shards_miss_no_frequent_phrase():
         assert (least - 1).sum() < 30
 
 
+class Handed:
+    """Takes the place of a DataFrame: keeps the function that tasks would run."""
+
+    def __init__(self):
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def mapInArrow(self, work, _):  # noqa: N802
+        self.work = work
+        return self
+
+
+def test_a_shard_is_handed_on_in_small_batches():
+    rng = random.Random(5)
+    words = rng.choices([f"word{k}" for k in range(20_000)], k=300_000)
+    pieces = [words[k:k + 1000] for k in range(0, len(words), 1000)]
+    texts = pa.RecordBatch.from_pydict({"lang": ["en"] * len(pieces), "text": [" ".join(p) for p in pieces], "n": pa.array([10**9] * len(pieces), pa.int64())})
+    task = Handed()
+    # As in a large corpus: every phrase of the shard has to be told.
+    phrases.mine_shards(task, np.full(phrases.BITS // 8, 255, np.uint8), 30, PhraseConfig())
+    f = Counter(" ".join(p[k:k + size]) for p in pieces for size in (2, 3, 4) for k in range(len(p) - size + 1))
+    told, sizes = Counter(), []
+    tracemalloc.start()
+    for batch in task.work(iter([texts])):
+        sizes.append(batch.nbytes)
+        told.update(x for packed in batch.column("excess").drop_null().to_pylist() for x in np.frombuffer(packed, np.int32).tolist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told == Counter(f.values())
+    assert max(sizes) < 1 << 20
+    # Bytes for each word of the shard, above those for the chunk of text at hand.
+    assert peak < 60 * len(words) + 16 * phrases.TEXT_CHUNK
+
+
+def test_a_words_hash_is_the_same_in_every_shard():
+    texts = [" ".join(f"{'x' * 40}{k}" for k in range(60_000)), "y" * (2 << 20) + " middle z", "one two"]
+    hashes = []
+    for order in (texts, texts[::-1], texts[1:]):
+        shard = phrases.Shard()
+        for text in order:
+            shard.add(["en"], [text.encode()], [9])
+        assert shard.close()
+        hashes.append(dict(zip(shard.texts.to_pylist(), shard.hashes.tolist(), strict=True)))
+    assert hashes[0] == hashes[1] and len(hashes[0]) == 60_005 and len(set(hashes[0].values())) == 60_005
+    assert hashes[2].items() <= hashes[0].items() and len(hashes[2]) == 5
+
+
 def test_bits_are_found_again(spark):
     hashes = [0, 1, 7, 8, 32767, 32768, phrases.BITS - 1, -1, -(1 << 63), 123456789123456789]
     bits = phrases.bit_table(spark.createDataFrame([(h,) for h in hashes], "hash long"))
