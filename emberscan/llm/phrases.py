@@ -4,13 +4,14 @@ A shard is a run of whole pieces of text that fits in a task. A phrase with supp
 s * (words of the shard) / (words of the corpus) in one shard at least, so mining every shard completely at that lowered
 support (per language, rounded up) misses none. The union of what the shards find is then counted exactly.
 
-Two things keep the first pass small without losing a phrase. The words of the corpus are counted before it, and a shard
-extends frequent words only. And a shard tells the counts of what it found, so a phrase goes on only if those, together
+Three things keep what the shards find small without losing a phrase. The words of the corpus are counted before, and a
+shard extends frequent words only. Shards are mined for pairs first and for longer phrases then, and extend only pairs that
+may be frequent in the corpus. And a shard tells the counts of what it found, so a phrase goes on only if those, together
 with the most that the silent shards may hide, can reach the support.
 
 What is known about frequent phrases travels to the shards as a bit table of fixed size: a bit that is set by chance lets a
-phrase through to the exact count, which drops it. Inside a shard phrases are told apart by exact numbers of words and
-phrases, between shards by their texts; nothing is decided by hashes.
+phrase through to the exact count, which drops it; so do equal hashes of two phrases that shards found. Inside a shard
+phrases are told apart by exact numbers of words and phrases, between shards by their texts; nothing is decided by hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberscan.llm.batches import CHUNK, Joined, chunks, mix
-from emberscan.llm.store import prepare, workspace, written
+from emberscan.llm.store import discard, prepare, workspace, written
 from emberscan.operators.scan import attach
 from emberscan.session import shuffle_partitions
 
@@ -184,10 +185,11 @@ class Level:
     counts: np.ndarray
 
 
-def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], longest: int, buckets: int) -> Iterator[tuple[int, Level]]:
+def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[int, np.ndarray, np.ndarray, np.ndarray], np.ndarray], longest: int,
+           buckets: int) -> Iterator[tuple[int, Level]]:
     """Apriori inside a shard: phrases of kept words, each extended only if both phrases inside it were kept.
 
-    `keep(first_words, hashes, counts)` says which distinct phrases stay. Phrases are numbered exactly: a longer one is the
+    `keep(size, first_words, hashes, counts)` says which distinct phrases stay. Phrases are numbered exactly: a longer one is the
     number of the shorter one it begins with and its last word. They are told apart in `SLICES` parts, each with buckets of
     its own, so that no more than a part is sorted at a time and a part can be handed on before the next one is sorted.
     """
@@ -206,7 +208,7 @@ def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.n
             stop = min(start + BLOCK, reach)
             # The phrase one word on must be alive too, and no piece may end inside.
             at = start + np.flatnonzero((spot[start:stop] >= 0) & (spot[start + 1:stop + 1] >= 0) & ~shard.breaks[start + size - 2:stop + size - 2])
-            part[at] = longer(spot[at], shard.words[at + (size - 1)]) % _U(buckets) * _U(slices) // _U(buckets)
+            part[at] = _bucket(longer(spot[at], shard.words[at + (size - 1)]), buckets) * slices // buckets
         kept: list[np.ndarray] = []
         known = 0
         for number in range(slices):
@@ -217,7 +219,7 @@ def levels(shard: Shard, keep_word: np.ndarray, keep: Callable[[np.ndarray, np.n
                 spot[here].astype(np.int64) << np.int64(32) | shard.words[here + (size - 1)], return_index=True, return_inverse=True, return_counts=True)
             example = here[first]
             own = longer(distinct >> np.int64(32), distinct & np.int64(0xFFFFFFFF))
-            stays = keep(shard.words[example], own, counts)
+            stays = keep(size, shard.words[example], own, counts)
             # A word is in one slice only, and nothing but its own number is read there.
             spot[here] = np.where(stays, np.cumsum(stays) - 1 + known, -1).astype(np.int32)[inverse]
             level = Level(example[stays], own[stays], counts[stays])
@@ -336,9 +338,14 @@ def local_support(support: int, here: np.ndarray, total: np.ndarray) -> np.ndarr
     return np.maximum(1, -(-(support * here) // np.maximum(total, 1)))
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """By the upper half of a hash: shards tell phrases of one bucket apart by the lower half."""
+    return ((hashes >> _U(32)) % _U(buckets)).astype(np.int64)
+
+
 def _dealt(lang: np.ndarray, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order of phrases by language and bucket; where each such run begins (and the last ends), its language and bucket."""
-    bucket = (hashes % _U(buckets)).astype(np.int64)
+    bucket = _bucket(hashes, buckets)
     place = lang.astype(np.int64) * buckets + bucket
     order = np.argsort(place, kind="stable")
     place = place[order]
@@ -368,13 +375,21 @@ def _lines(phrases: pa.Array, edges: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), phrases), "\n")
 
 
-def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, config: PhraseConfig) -> DataFrame:
+def _excess_type(config: PhraseConfig) -> np.dtype:
+    """What is above the support counts as the support, so that this type holds it."""
+    return np.min_scalar_type(config.support)
+
+
+def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, config: PhraseConfig, pairs: np.ndarray | None = None) -> DataFrame:
     """`lang, bucket, hashes, excess`: what the shards found, and by how much it is above what a shard may hide.
 
-    A row holds all that a shard found in one bucket of one language, as packed numbers. Rows of bucket -1 hold, in
-    `hidden`, how often a shard may hide any phrase of the language.
+    Without `pairs` shards look for pairs of words, else for all longer phrases of pairs whose bit is set there. A row holds
+    what a shard found of one length in one bucket of one language, as packed numbers: the lower half of each hash, and at
+    most the support. Rows of bucket -1 hold, in `hidden`, how often a shard may hide any phrase of the language.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(frequent_words)
+    context = texts.sparkSession.sparkContext
+    shared, known = context.broadcast(frequent_words), None if pairs is None else context.broadcast(pairs)
+    longest = 2 if pairs is None else config.longest
 
     def mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
@@ -385,12 +400,20 @@ def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, conf
             none = pa.nulls(len(names), pa.binary())
             yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), -1)), pa.array(least - 1), none, none], schema=_FOUND)
             keep_word = (shard.counts >= least[shard.lang]) & _has(shared.value, shard.hashes)
-            for _, level in levels(shard, keep_word, lambda first, _, counts: counts >= least[shard.lang[first]], config.longest, buckets):
+
+            def keep(size: int, first: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+                often = counts >= least[shard.lang[first]]  # noqa: B023
+                return often & _has(known.value, hashes) if known is not None and size == 2 else often
+
+            for size, level in levels(shard, keep_word, keep, longest, buckets):
+                if known is not None and size == 2:
+                    continue
                 lang = shard.lang[shard.words[level.example]]
-                excess = (level.counts - (least[lang] - 1)).astype(np.int32)
+                excess = np.minimum(level.counts - (least[lang] - 1), config.support).astype(_excess_type(config))
+                lower = (level.hashes & _U(0xFFFFFFFF)).astype(np.uint32)
                 order, edges, of_lang, bucket = _dealt(lang, level.hashes, buckets)
                 for runs, lot, ends in _lots(order, edges):
-                    packed = [_packed(x[lot], ends) for x in (level.hashes, excess)]
+                    packed = [_packed(x[lot], ends) for x in (lower, excess)]
                     none_hidden = pa.array(np.zeros(len(ends) - 1, np.int64))
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(of_lang[runs])), pa.array(bucket[runs]), none_hidden, *packed], schema=_FOUND)
 
@@ -398,16 +421,16 @@ def mine_shards(texts: DataFrame, frequent_words: np.ndarray, buckets: int, conf
 
 
 def promising(found: DataFrame, config: PhraseConfig) -> DataFrame:
-    """`hash` of every phrase that may have the support: what the shards found and what they may hide reach it."""
+    """The lower half of the `hash` of every phrase that may have the support: what the shards found and what they may hide reach it."""
     hidden = written(found.where("bucket < 0").groupBy("lang").agg(F.sum("hidden").alias("most")), "hidden")
     packed = attach(found.where("bucket >= 0").select("lang", "bucket", "hashes", "excess"), hidden, "lang", max_rows=10_000)
 
     def merged(batch: pa.Table) -> pa.Table:
-        hashes, excess = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("excess", np.int32)))
+        hashes, excess = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("hashes", np.uint32), ("excess", _excess_type(config))))
         distinct, numbers = np.unique(hashes, return_inverse=True)
         reach = np.bincount(numbers, weights=excess) + batch.column("most")[0].as_py()
         give_back()
-        return pa.table({"hash": pa.array(distinct[reach >= config.support].view(np.int64))})
+        return pa.table({"hash": pa.array(distinct[reach >= config.support].astype(np.int64))})
 
     return packed.groupBy("lang", "bucket").applyInArrow(merged, "hash long")
 
@@ -427,7 +450,7 @@ def count_candidates(texts: DataFrame, frequent_words: np.ndarray, candidates: n
                 continue
             keep_word = _has(words.value, shard.hashes)
             names = pa.array(shard.names, pa.string())
-            for size, level in levels(shard, keep_word, lambda _, hashes, __: _has(phrases.value, hashes), config.longest, buckets):
+            for size, level in levels(shard, keep_word, lambda _, __, hashes, ___: _has(phrases.value, hashes), config.longest, buckets):
                 order, edges, of_lang, bucket = _dealt(shard.lang[shard.words[level.example]], level.hashes, buckets)
                 for runs, lot, ends in _lots(order, edges):
                     at = level.example[lot]
@@ -461,8 +484,13 @@ def frequent_phrases(docs: DataFrame, config: PhraseConfig = PhraseConfig()) ->
     wanted = max(LEAST_SHARDS, -(-int(size["bytes"] or 0) // SHARD_BYTES))
     buckets = max(shuffle_partitions(spark), int(size["n"] or 0) // BUCKET_WORDS)
     sized = attach(texts, totals, "lang", max_rows=10_000).coalesce(wanted)
-    found = written(mine_shards(sized, bits, buckets, config), "found")
-    counts = count_candidates(sized, bits, bit_table(promising(found, config)), buckets, config)
+    candidates = None
+    for _ in ("pairs", "longer phrases") if config.longest > 2 else ("pairs",):
+        found = written(mine_shards(sized, bits, buckets, config, candidates), "found")
+        hashes = written(promising(found, config), "promising")
+        discard(found)
+        candidates = bit_table(hashes) if candidates is None else candidates | bit_table(hashes)
+    counts = count_candidates(sized, bits, candidates, buckets, config)
     phrases = written(frequent.select("lang", "phrase", "f").unionByName(counts), "phrases")
     return phrases, totals
 
