@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberscan.operators import coincidence as co
+from emberscan.operators import slides as sl
 from emberscan.plans import registry
 from emberscan.plans.queries_coincidence import CONFIG
 
@@ -49,3 +50,17 @@ def test_a_share_that_is_asked_for_is_still_held_to(spark):
     some = co.candidate_edges(left, right, strict).select("id_l", "id_r").collect()
     assert 0 < len(some) < every.count()
     assert {*some} == {*every.where("frequency_overlap >= 0.3 and time_overlap >= 0.6").select("id_l", "id_r").collect()}
+
+
+def test_one_copy_of_the_unmoved_events_meets_all_slides(spark):
+    left, right = (events(spark, seed=s, ifo=i).withColumn("pair", F.lit("a,b")) for s, i in ((7, "a"), (8, "b")))
+    moved = sl.slide_events(right, [30.0, 170.0, 410.0], 0.0, 900.0, "gpsPeak", ["gpsPeak", "gpsStart"])
+    keys = ["pair", sl.SLIDE]
+    want = co.candidate_edges(sl.replicate(left, 2), moved, CONFIG, (), keys)
+    got = co.candidate_edges(sl.replicate(left, 2, written=False), moved, CONFIG, (), keys)
+    assert {*got.columns} == {*want.columns}
+    rows = lambda df: sorted(df.select(*sorted(df.columns)).collect())
+    assert rows(got) == rows(want) and want.count() > 20
+    # The left events are copied nowhere.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode([0,1])" not in plan and "sequence(0, 1" not in plan
