@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberscan.operators import coincidence as co
+from emberscan.operators import rank as rk
 from emberscan.operators import slides as sl
 from emberscan.plans import registry
-from emberscan.plans.queries_coincidence import CONFIG
+from emberscan.plans.queries_coincidence import CONFIG, rank_far
 
 registry.load()
 
@@ -64,3 +65,23 @@ def test_one_copy_of_the_unmoved_events_meets_all_slides(spark):
     # The left events are copied nowhere.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "explode([0,1])" not in plan and "sequence(0, 1" not in plan
+
+
+def test_events_of_unknown_or_equal_loudness_are_ranked_like_their_pairs(spark):
+    left, right = events(spark, seed=9), events(spark, seed=10, ifo="b")
+    left = left.withColumn("EnWDF", F.when(F.col("id") % 5 != 0, F.col("EnWDF")))
+    right = right.withColumn("EnWDF", F.when(F.col("id") % 7 != 0, F.col("EnWDF")))
+    bg = spark.createDataFrame([(float(x),) for x in (0, 1, 1, 3, 3, 3, 6, 8)] + [(None,)], "s double")
+    pairs = co.candidate_edges(left, right, CONFIG).withColumn("s", F.least("EnWDF_l", "EnWDF_r")).withColumn("p", F.concat_ws("-", "id_l", "id_r"))
+    want = rk.rank_by_rate(pairs.select("p", "s"), bg, "s", "p", 100.0, 10.0).toPandas().sort_values("p")
+    louds = left.unionByName(right).select("EnWDF").distinct()
+    ranked = {r["EnWDF"]: r["n_background_ge"] for r in rk.rank_by_rate(louds, bg, "EnWDF", "EnWDF", 100.0, 10.0, "s").collect()}
+    assert [ranked[None if s != s else s] for s in want.s] == want.n_background_ge.tolist()
+    assert want.s.isna().any()
+
+
+def test_no_pair_is_shuffled_to_be_ranked(spark, folder):
+    plan = rank_far(spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # Above the join that makes the pairs there are only projections.
+    above = plan[:next(k for k, line in enumerate(plan) if "Join" in line)]
+    assert above and all("Project" in line for line in above)
